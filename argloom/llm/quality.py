@@ -143,7 +143,7 @@ def cutoffs(counted: DataFrame, labels: DataFrame, limit: float = 0.005, error:
             for r in found:
                 if (r.stratum, r.ratio) == (s, name):
                     rejected[int(r.good == 1), r.level] += r["count"]
-            by_cutoff = rejected[:, ::-1].cumsum(axis=1)[:, ::-1][:, 1:]
+            by_cutoff = rejected[:, ::-1].cumsum(axis=1)  # a cutoff with k laxer ones rejects what all but k of the grid do
             good, best = int(rejected[1].sum()), 0
             for k, cutoff in enumerate(grid):
                 if not good or upper_bound(int(by_cutoff[1, k]), good, error / (len(GRID) * len(strata))) > limit:
