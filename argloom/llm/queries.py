@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from argloom.llm import byte_bpe, exact_dedup, mixing, quality, secrets, substring_dedup, token_count, toxicity, warc
+from argloom.llm import byte_bpe, exact_dedup, jaccard, mixing, quality, secrets, substring_dedup, token_count, toxicity, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -52,6 +52,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(documents(spark, sf_dir), n=5, threshold=0.8)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir), weights=(5, 2, 1), max_epochs=3)
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -112,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_warc": op6_warc,
     "op7_token_counts": op7_token_counts,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_mixing": op9_mixing,
     "op10_byte_bpe": op10_byte_bpe,
 }
