@@ -17,6 +17,8 @@ from argloom.functions.text import neutralise_enumerations
 LEAST = 6
 CUT, GLUE = "\\u0001", "\u0001\u0002"
 IN = r"[^\u0001]"
+#: A search inside a piece starts at the piece or after the cut before, nowhere else: long pieces are walked once.
+FROM = r"(?:\G|(?<=\u0001))"
 SPANS = "ARRAY<STRUCT<start: INT, end: INT>>"
 
 
@@ -26,11 +28,11 @@ def marked(text: Column) -> Column:
     t = F.translate(neutralise_enumerations(text), "\u0001\u0002", "  ")
     t = F.regexp_replace(t, rf"^[{b}]+|\n[{b}]*", f"{GLUE}$0\u0001")
     # sentences: not after an abbreviation, a lone letter or a number, and not before a small letter
-    t = F.regexp_replace(t, rf"{f}(?<!(?:\b\w|\b\d{{1,9}}|\b(?:{cues.ABBREVIATIONS}))\.?\s{{0,4}})([.!?;][\"'»)\]]*)([\s&&[^\n]]++)(?-i:(?!\p{{Ll}}))", f"$1{GLUE}$2\u0001")
+    t = F.regexp_replace(t, rf"{f}(?=[.!?;])(?<!(?:\b\w|\b\d{{1,9}}|\b(?:{cues.ABBREVIATIONS}))\.?\s{{0,4}})([.!?;][\"'»)\]]*)([\s&&[^\n]]++)(?-i:(?!\p{{Ll}}))", f"$1{GLUE}$2\u0001")
     # commas and colons with enough on both sides, the mark staying on the left
-    t = F.regexp_replace(t, rf"(?<={IN}{{{LEAST - 1}}})([,:])(?=[\s&&[^\u0001]]++{IN}{{{LEAST}}})", "$1\u0001")
-    t = F.regexp_replace(t, rf"{f}({IN}{{{LEAST},}}?)(?<!\by\s{{1,3}}compris\s{{0,3}})(\b(?:{cues.INLINE})\b)(?={IN}{{{LEAST}}})", f"$1{GLUE}$2\u0001")
-    t = F.regexp_replace(t, rf"{f}({IN}{{{LEAST},}}?)(?<!\w)(?={cues.NOMINAL})", "$1\u0001")
+    t = F.regexp_replace(t, rf"(?=[,:])(?<={IN}{{{LEAST - 1}}})([,:])(?=[\s&&[^\u0001]]++{IN}{{{LEAST}}})", "$1\u0001")
+    t = F.regexp_replace(t, rf"{f}{FROM}({IN}{{{LEAST},}}?)\b(?=(?:{cues.INLINE})\b)(?<!\by\s{{1,3}}compris\s{{0,3}})((?:{cues.INLINE})\b)(?={IN}{{{LEAST}}})", f"$1{GLUE}$2\u0001")
+    t = F.regexp_replace(t, rf"{f}{FROM}({IN}{{{LEAST},}}?)(?={cues.NOMINAL})(?<!\w)", "$1\u0001")
     t = F.regexp_replace(t, rf"{f}((?:^|(?<=\u0001))\s*chez\s{IN}+?)(\bet\s+)(?=sans\b{IN}{{2}})", f"$1{GLUE}$2\u0001")
     return F.regexp_replace(t, rf"{f}(?:^|(?<=\u0001))(?=\s*{cues.CONDITIONAL_HEAD})({IN}{{{LEAST},}}?)(\b(?:alors|then)\b)(?={IN}{{{LEAST}}})", f"$1{GLUE}$2\u0001")
 
@@ -40,47 +42,62 @@ def spans(text: Column) -> Column:
     b = cues.BLANKS
     head = rf"^[{b}]*(?:(?:\d{{1,3}}|[a-z]|[ivxl]{{1,5}})[.)°][{b}]+(?=\S))?"
 
-    def step(a: Column, piece: Column) -> Column:
-        glue = piece.startswith("\u0002")
-        n = F.length(piece) - glue.cast("int")
-        lead = F.length(F.regexp_extract(piece, head, 0))
-        tail = F.length(F.regexp_extract(F.substr(piece, lead + 1), rf"[{b}.,;:]*$", 0))
-        kept = ~glue & (n - lead - tail >= LEAST)
-        one = F.array(F.struct((a["at"] + lead).alias("start"), (a["at"] + n - tail).alias("end")))
-        return F.struct((a["at"] + n).alias("at"), F.when(kept, F.concat(a["out"], one)).otherwise(a["out"]).alias("out"))
+    # lengths are worked out in transforms, so that each pattern runs once a piece
+    sized = F.transform(F.split(marked(text), CUT, -1), lambda p: F.struct(p.alias("p"), p.startswith("\u0002").alias("glue"), F.length(F.regexp_extract(p, head, 0)).alias("lead")))
+    measured = F.transform(
+        F.transform(sized, lambda x: F.struct(x["glue"].alias("glue"), (F.length(x["p"]) - x["glue"].cast("int")).alias("n"), x["lead"].alias("lead"), F.when(x["glue"], "").otherwise(F.substr(x["p"], x["lead"] + 1)).alias("rest"))),
+        lambda x: F.struct(x["glue"].alias("glue"), x["n"].alias("n"), x["lead"].alias("lead"), (F.length(x["rest"]) - F.length(F.rtrim(x["rest"], F.lit(" \t\r\n\u00a0\u202f.,;:")))).alias("tail"), x["rest"].rlike(f"{cues.FLAGS}^{cues.INSERTION}").alias("inserted")),
+    )
+
+    def step(a: Column, x: Column) -> Column:
+        one = F.array(F.struct((a["at"] + x["lead"]).alias("start"), (a["at"] + x["n"] - x["tail"]).alias("end"), x["inserted"].alias("inserted")))
+        kept = ~x["glue"] & (x["n"] - x["lead"] - x["tail"] >= LEAST)
+        return F.struct((a["at"] + x["n"]).alias("at"), F.when(kept, F.concat(a["out"], one)).otherwise(a["out"]).alias("out"))
 
-    empty = F.expr(f"CAST(array() AS {SPANS})")
-    raw = F.aggregate(F.split(marked(text), CUT, -1), F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda a: a["out"])
+    empty = F.expr("CAST(array() AS ARRAY<STRUCT<start: INT, end: INT, inserted: BOOLEAN>>)")
+    raw = F.aggregate(measured, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda a: a["out"])
 
     def join(out: Column, s: Column) -> Column:
         last = F.element_at(out, -1)
-        between = F.substr(text, last["end"] + 1, s["start"] - last["end"])
-        opens = F.substr(text, s["start"] + 1, s["end"] - s["start"]).rlike(f"{cues.FLAGS}^{cues.INSERTION}")
-        joined = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last["start"].alias("start"), s["end"].alias("end"))))
-        return F.when((F.size(out) > 0) & opens & between.rlike(rf"^[{b},:]*$"), joined).otherwise(F.concat(out, F.array(s)))
+        weak = F.when((F.size(out) > 0) & s["inserted"], F.substr(text, last["end"] + 1, s["start"] - last["end"]).rlike(rf"^[{b},:]*$")).otherwise(F.lit(False))
+        joined = F.array(F.struct(last["start"].alias("start"), s["end"].alias("end")))
+        return F.when(weak, F.concat(F.slice(out, 1, F.size(out) - 1), joined)).otherwise(F.concat(out, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))))
 
-    return F.aggregate(raw, empty, join)
+    return F.aggregate(raw, F.expr(f"CAST(array() AS {SPANS})"), join)
 
 
 def segments(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, seg_no (from 1), start, end, seg_text, gap (text since the segment before), prefix_end (last mark before), sentence, sentence_open, paragraph, speaker."""
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = base.withColumn("spans", spans(F.col("text"))).withColumn("names", F.regexp_extract_all("text", F.lit(cues.SPEAKER), F.lit(1)))
+    # places that bound sentences, paragraphs and turns, each found in one walk over the text
+    blocks = F.split("text", "\n\n", -1)
+    found = found.select(
+        "*", ends(F.split("text", r"[.!?\n]", -1)).alias("opens"), ends(F.split("text", r"[.\n]", -1)).alias("closes"),
+        F.when(F.col("text").contains("\n\n"), F.filter(F.arrays_zip(ends(blocks, 2).alias("at"), F.transform(blocks, lambda x: F.trim(F.translate(x, "\t\r\n", "   ")) != "").alias("full")), lambda x: x["full"])).alias("blocks"),
+        F.when(F.size("names") > 0, ends(F.split("text", r"(?md)^(?=[A-ZÉÈÀÂÎÔÛ][A-ZÉÈÀÂÎÔÛ\-]+\s*\.)", -1), 0)).alias("turns"), F.regexp_like("text", F.lit(f"^{cues.SPEAKER.removeprefix('(?md)^')}")).alias("speaks_first"),
+    )
     one = found.select("*", F.posexplode("spans").alias("pos", "span")).select(
-        "doc_id", "text", "names", (F.col("pos") + 1).alias("seg_no"), F.col("span.start").alias("start"), F.col("span.end").alias("end"),
+        "*", (F.col("pos") + 1).alias("seg_no"), F.col("span.start").alias("start"), F.col("span.end").alias("end"),
         F.when(F.col("pos") > 0, F.get("spans", F.col("pos") - 1)["end"]).otherwise(F.lit(0)).alias("last_end"),
     )
-    before = F.substr("text", F.lit(1), F.col("start"))
-    blocks = F.split(before, "\n\n", -1)
-    at_start = F.substr("text", F.col("start") + 1).rlike(cues.SPEAKER.replace("(?md)", "")) & ((F.col("start") == 0) | before.endswith("\n"))
-    turn = F.size(F.regexp_extract_all(before, F.lit(cues.SPEAKER), F.lit(1))) + at_start.cast("int")
-    opening = F.length(before) - F.length(F.regexp_extract(before, r"[^.!?\n]*$", 0))
-    rest = F.regexp_extract(F.substr("text", F.col("end") + 1), r"^[^.\n]*[.\n]?", 0)
+    one = one.withColumn("gap", F.substr("text", F.col("last_end") + 1, F.col("start") - F.col("last_end"))).withColumn("bare_gap", F.rtrim("gap", F.lit(" \t\r\n")))
+    opening = F.coalesce(F.array_max(F.filter("opens", lambda x: x <= F.col("start"))), F.lit(0))
+    closing = F.coalesce(F.array_min(F.filter("closes", lambda x: x > F.col("end"))), F.length("text"))
+    # the pieces before turns: an empty first one if a label opens the text, which Java leaves out
+    turn = F.when(F.col("turns").isNull(), F.lit(0)).otherwise(F.size(F.filter("turns", lambda x: x <= F.col("start"))) - F.when(F.col("turns")[F.size("turns") - 1] <= F.col("start"), 1).otherwise(0) + F.col("speaks_first").cast("int"))
     return one.select(
-        "doc_id", "seg_no", "start", "end", F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("seg_text"),
-        F.substr("text", F.col("last_end") + 1, F.col("start") - F.col("last_end")).alias("gap"),
-        F.right(F.rtrim(before, F.lit(" \t\r\n")), F.lit(1)).alias("prefix_end"),
-        F.concat(F.substr("text", opening + 1, F.col("end") - opening), rest).alias("sentence"), opening.alias("sentence_open"),
-        F.size(F.filter(F.slice(blocks, 1, F.size(blocks) - 1), lambda x: F.trim(F.translate(x, "\t\r\n", "   ")) != "")).alias("paragraph"),
+        "doc_id", "seg_no", "start", "end", F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("seg_text"), "gap",
+        F.when(F.col("bare_gap") != "", F.right("bare_gap", F.lit(1))).when(F.col("last_end") > 0, F.substr("text", F.col("last_end"), F.lit(1))).otherwise("").alias("prefix_end"),
+        F.substr("text", opening + 1, closing - opening).alias("sentence"), opening.alias("sentence_open"),
+        F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(F.size(F.filter("blocks", lambda x: x["at"] <= F.col("start")))).alias("paragraph"),
         F.when(turn > 0, F.array_position(F.array_distinct("names"), F.get("names", turn - 1)) - 1).otherwise(F.lit(0)).cast("int").alias("speaker"),
     )
+
+
+def ends(parts: Column, mark: int = 1) -> Column:
+    """Where each part but the last ends, the mark after it included; then the end of the text and the mark."""
+    return F.aggregate(
+        F.transform(parts, lambda p: F.length(p) + mark), F.expr("CAST(array() AS ARRAY<INT>)"),
+        lambda a, n: F.array_append(a, F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + n),
+    )
