@@ -99,7 +99,7 @@ def folded_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, coalesce(array_to_string(list_sort(list_distinct(list_transform(list_filter(string_split(lower(p_name), ' '), w -> length(w) >= 3), w -> left(w, 5)))), ','), '') AS stems FROM part""")
+SELECT p_partkey, coalesce(array_to_string(list_sort(list_distinct(list_transform(list_filter(string_split(lower(p_name), ' '), lambda w: length(w) >= 3), lambda w: left(w, 5)))), ','), '') AS stems FROM part""")
 def stems_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", joined(F.sort_array(text.stems(F.regexp_replace("p_name", "[^A-Za-z ]", " ")))).alias("stems"))
 
@@ -245,7 +245,7 @@ def repaired_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CONSEQUENCES = EVENTS + """,
 ctx AS (SELECT doc_id, family, list(ent_id ORDER BY ent_id) AS contexts FROM ent WHERE kind = 'Context' GROUP BY ALL),
-trial AS (SELECT doc_id, family, m AS trial_no, list_filter(contexts, (c, i) -> (m >> (i - 1)) & 1 = 1) AS active FROM (SELECT *, unnest(range(1 << len(contexts))) AS m FROM ctx)),
+trial AS (SELECT doc_id, family, m AS trial_no, list_filter(contexts, lambda c, i: (m >> (i - 1)) & 1 = 1) AS active FROM (SELECT *, unnest(range(1 << len(contexts))) AS m FROM ctx)),
 cond AS (SELECT r.doc_id, rule_no, max(o.ent_id) AS option, list(c.ent_id) AS need FROM rule_c r JOIN own c ON c.doc_id = r.doc_id AND c.seg_no = premise JOIN own o ON o.doc_id = r.doc_id AND o.seg_no = conclusion GROUP BY ALL),
 appl AS (SELECT t.doc_id, t.family, trial_no, active, rule_no, option FROM trial t JOIN cond ON cond.doc_id = t.doc_id WHERE list_has_all(active, need)),
 beaten AS (SELECT DISTINCT w.doc_id, w.trial_no, l.rule_no FROM appl w JOIN appl l ON w.doc_id = l.doc_id AND w.trial_no = l.trial_no JOIN pref_x p ON p.family = w.family
@@ -297,7 +297,7 @@ def score_against_itself(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.ratios(score.score(both, both), "kind")
 
 
-@query(expected_sql("SELECT count(*) AS documents, count_if(family IN (2, 3)) AS polluted, CAST(2 * count_if(family = 2) + count_if(family = 3) AS BIGINT) AS invented FROM docs WHERE family IN (2, 3)"))
+@query(expected_sql("SELECT count(*) AS documents, CAST(count_if(family IN (2, 3)) AS BIGINT) AS polluted, CAST(2 * count_if(family = 2) + count_if(family = 3) AS BIGINT) AS invented FROM docs WHERE family IN (2, 3)"))
 def pollution_of_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = graphs(spark, sf_dir)
     return score.pollution(g["docs"].where("doc_id % 5 IN (2, 3)"), g["entities"], g["events"])
@@ -336,7 +336,7 @@ def batch_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpora.manifest(docs, docs.where("doc_id % 7 <> 0").select("doc_id", output.alias("output")))
 
 
-@query("SELECT count(*) AS total, count_if(doc_id % 7 <> 0) AS succeeded, count_if(doc_id % 7 = 0) AS failed, count_if(doc_id % 7 <> 0 AND (doc_id % 5 = 0 OR coalesce(text, '') = '')) AS empty FROM documents")
+@query("SELECT count(*) AS total, CAST(count_if(doc_id % 7 <> 0) AS BIGINT) AS succeeded, CAST(count_if(doc_id % 7 = 0) AS BIGINT) AS failed, CAST(count_if(doc_id % 7 <> 0 AND (doc_id % 5 = 0 OR coalesce(text, '') = '')) AS BIGINT) AS empty FROM documents")
 def manifest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpora.summary(batch_manifest(spark, sf_dir))
 

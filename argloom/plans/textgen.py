@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from argloom.operators import graph
+from argloom.session import cut
 from argloom.sources import brat
 
 DISCOUNT = [
@@ -61,7 +62,7 @@ def graphs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         docs = corpus(spark, sf_dir)
         found = graph.extract(docs)
         found["docs"] = docs
-        found["entities"], found["events"] = brat.tables(found, docs)
+        found["entities"], found["events"] = map(cut, brat.tables(found, docs))
         _made[key] = found
     return _made[key]
 
