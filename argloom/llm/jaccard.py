@@ -62,11 +62,11 @@ def depth_for(threshold: float, trees: int, deepest: int, recall: float) -> int:
 
 
 def sketches(docs: DataFrame, n: int, trees: int, deepest: int, seed: int = 11) -> DataFrame:
-    """id, row, set (128-bit digest of the shingle set as text, null without words), sketch (trees x deepest MinHash values)."""
+    """Of docs (id, row, t, sha): id, row, sha, set (128-bit digest of the shingle set as text, null without words), sketch (trees x deepest MinHash values)."""
     rng = np.random.default_rng(seed)
     a = rng.integers(1, 2**63, trees * deepest, dtype=np.uint64) * U64(2) + U64(1)
     b = rng.integers(0, 2**63, trees * deepest, dtype=np.uint64)
-    schema = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("set", pa.string()), ("sketch", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("sha", pa.string()), ("set", pa.string()), ("sketch", pa.binary())])
 
     def run(batches):
         import xxhash
@@ -85,9 +85,9 @@ def sketches(docs: DataFrame, n: int, trees: int, deepest: int, seed: int = 11)
                     h = ((s[k : k + 4096, None] * a + b) >> U64(32)).astype(np.uint32)
                     np.minimum(least, h.min(axis=0), out=least)
                 found.append(least.astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.string()), pa.array(found, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(sets, pa.string()), pa.array(found, pa.binary())], schema=schema)
 
-    return map_arrow(docs, run, "id long, row long, set string, sketch binary")
+    return map_arrow(docs, run, "id long, row long, sha string, set string, sketch binary")
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -136,9 +136,9 @@ def compare(sets: list[np.ndarray], threshold: float) -> np.ndarray:
 
 
 def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 20, deepest: int = 8, recall: float = 0.999, cell: int = 256, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, class_id (smallest id of its near-copy component), copy_id (of its class of copies), n_links (rows linked to it), kept (whether it stands for its class)."""
+    """Per row: doc_id, class_id (smallest id of its near-copy component), copy_id (of its class of copies), n_links (rows linked to it), kept (whether it stands for its class), text_sha256."""
     ship(docs.sparkSession)
-    narrow = docs.select(F.col(doc_id).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text).cast("binary").alias("t"))
+    narrow = docs.select(F.col(doc_id).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("t")).withColumn("sha", F.sha2("t", 256))
     rows = cut(sketches(narrow, n, trees, deepest))
     copies = cut(rows.where("set is not null").groupBy("set").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"), F.count("*").alias("members"), F.first("sketch").alias("sketch")))
     heads = copies.select("set", F.col("first.row").alias("head"), F.col("first.id").alias("head_id"), "members", "sketch")
@@ -206,14 +206,14 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 20, d
         .select("set", "head", F.col("head_id").alias("copy_id"), F.when(F.col("keeper").isNull(), F.col("head_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("keeper", "head").alias("keeper"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"))
     )
     alone = F.col("head").isNull()
-    return rows.select("id", "row", "set").join(per_head, "set", "left").select(
+    return rows.select("id", "row", "sha", "set").join(per_head, "set", "left").select(
         F.col("id").alias("doc_id"), F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("id")).otherwise(F.col("copy_id")).alias("copy_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("row") == F.col("keeper"), F.lit(True)).alias("kept"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("row") == F.col("keeper"), F.lit(True)).alias("kept"), F.col("sha").alias("text_sha256"),
     )
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stand for their near-copy class; repeated rows of one id and text leave one. Needs distinct ids otherwise."""
-    kept = join(docs, **options).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    row = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row"))
-    return row.join(kept, F.col("__row.doc_id").eqNullSafe(F.col("__id")), "left_semi").select("__row.*")
+    """The rows of docs that stand for their near-copy class; rows with the id and text of one that stays stay with it."""
+    kept = join(docs, **options).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    row = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row")).withColumn("__key", F.sha2(F.coalesce(F.col("__row.text").cast("binary"), F.lit(b"")), 256))
+    return row.join(kept, F.col("__row.doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__sha")), "left_semi").select("__row.*")

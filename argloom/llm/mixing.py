@@ -85,8 +85,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int =
 
 
 def sample(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 17) -> DataFrame:
-    """The mixed corpus itself: rows of docs, each as often as the mix repeats it. Needs distinct ids."""
-    times = mix(docs, weights, max_epochs, seed).where("copies > 0").select(F.col("id").alias("__id"), F.col("copies").alias("__copies"))
-    row = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row"))
+    """The mixed corpus itself: rows of docs, each as often as the mix repeats it. Rows of one id and size all get the least that one of them gets."""
+    times = mix(docs, weights, max_epochs, seed).groupBy(F.col("id").alias("__id"), F.col("size").alias("__of")).agg(F.min("copies").alias("__copies")).where("__copies > 0")
+    row = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row")).withColumn("__size", n_words(F.col("__row.text")))
     again: Column = F.explode(F.array_repeat("__row", F.col("__copies").cast("int")))
-    return row.join(times, F.col("__row.doc_id").eqNullSafe(F.col("__id"))).select(again.alias("__row")).select("__row.*")
+    return row.join(times, F.col("__row.doc_id").eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("__of"))).select(again.alias("__row")).select("__row.*")

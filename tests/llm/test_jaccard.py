@@ -95,6 +95,8 @@ def test_hard_rows(spark, hard_docs):
     assert jaccard.join(hard_docs.limit(0)).count() == 0
     assert jaccard.dedup(hard_docs).columns == hard_docs.columns
     assert sorted(r.doc_id for r in jaccard.dedup(hard_docs).collect()) == [1, 3, 4, 5, 7, 8, 9]
+    same_id = spark.createDataFrame([(1, "a b c d e"), (1, "v w x y z"), (2, "v w x y z")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in jaccard.dedup(same_id).collect()) == [(1, "a b c d e"), (1, "v w x y z")]
 
 
 def test_components(spark):

@@ -328,3 +328,6 @@ def test_mixing_of_hard_rows(spark, hard_docs):
     one = spark.createDataFrame([(1, "a b", "s", 0), (2, None, "s", 0), (3, "", None, 0)], "doc_id long, text string, source string, size int")
     assert sorted((r.id, r.copies * r.size) for r in mixing.mix(one).collect()) == [(1, 2), (2, 0), (3, 0)]
     assert mixing.sample(one).columns == one.columns and mixing.sample(one).count() >= 1
+    twice = spark.createDataFrame([(1, "a b", "s"), (1, "a b", "s"), (1, "c", "s"), (None, "d e", None)], "doc_id long, text string, source string")
+    times = Counter((r.doc_id, r.text) for r in mixing.sample(twice).collect())
+    assert times.keys() <= {(1, "a b"), (1, "c"), (None, "d e")} and times[1, "a b"] <= 6 and times[1, "c"] <= 3
