@@ -198,7 +198,7 @@ def remove_repeats(docs: DataFrame, length: int = 35, doc_id: str = "doc_id", te
     spark = docs.sparkSession
     ship(spark)
     owners = tasks(spark)
-    key = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(4 * owners))
+    key = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(owners))
     blocks = docs.select(key.alias("block"), F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("t"))
     by_block = lambda df: df.groupBy("block")
 
