@@ -59,11 +59,12 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
         .withColumn("group_size", F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts share a SHA-256"))).otherwise(F.col("group_size")))
         .select("sha", "keep_id", "group_size")
     )
-    first = F.row_number().over(Window.partitionBy("sha", "id").orderBy("block")) == 1
+    # by id before the join: a group that many rows share is never in one task
+    first = F.row_number().over(Window.partitionBy("id", "sha").orderBy("block")) == 1
+    rows = rows.withColumn("first", first)
     keep_id = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return (
         rows.join(verified, "sha", "left")
-        .withColumn("first", first)
         .select(F.col("id").alias("doc_id"), keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (F.col("id").eqNullSafe(keep_id) & F.col("first")).alias("kept"), F.col("sha").alias("text_sha256"))
     )
 
