@@ -10,8 +10,8 @@ least ``threshold``.
    probability ``recall`` or more: the longer, the fewer unrelated texts meet.
 3. Classes that share a prefix are joined into candidate components (an edge from each
    to the smallest of its prefix, then connected components). Each class's text moves
-   once, to its component; components beyond ``cell`` classes are cut into pairs of
-   blocks of that many, each pair a task of its own.
+   once, to its component; components beyond ``cell`` classes are cut by hash into
+   blocks of at most that many on average, and each pair of blocks is a task.
 4. A cell counts exact intersections of all its pairs as a product of incidence
    matrices. Only the number of links of each class and a spanning forest of the links
    leave it; classes of near copies are the components of those.
@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from argloom.llm.util import cut, map_arrow, ship
@@ -152,9 +152,10 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 20, d
     candidates = components(meet)
 
     # cells: pairs of blocks of a component's classes
-    ranked = candidates.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("root").orderBy("node")) - 1) / cell).cast("int"))
-    blocks = ranked.groupBy("root").agg((F.max("block") + 1).alias("blocks"))
-    placed = ranked.join(blocks, "root").join(heads.select(F.col("head").alias("node"), "head_id", "members", "set"), "node")
+    # a class's block is a hash, so no task has to number a whole component; hot roots in the join are split
+    blocks = candidates.groupBy("root").agg(F.ceil(F.count("*") / cell).cast("int").alias("blocks"))
+    ranked = candidates.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = ranked.join(heads.select(F.col("head").alias("node"), "head_id", "members", "set"), "node")
     texts = narrow.select("id", "t")
     # rows are found again by id; where texts share an id, the cell takes the one with the class's set
     chosen = placed.select("node", "root", "block", "blocks", "members", "set", F.col("head_id").alias("of"))
