@@ -119,6 +119,40 @@ def test_markov_models_tell_held_out_samples_apart(spark):
     assert right >= 0.99 * len(held)
 
 
+def brute_inner(text, table, threshold=12.0):
+    letters, k = secrets.ALPHABET, len(secrets.ALPHABET)
+    base = [m.span() for _, pattern, group, least in secrets.KINDS for m in re.finditer(pattern, text, re.ASCII) if len(m.group(group)) >= least]
+    out = []
+    for m in re.finditer(secrets.CANDIDATE, text):
+        w, a = m.group(), m.start()
+        values = [table[letters.index(x) * k + letters.index(y)] for x, y in zip(w, w[1:])]
+        if sum(values) > threshold and not any(s < m.end() and a < e for s, e in base):
+            continue
+        at, total, peak, end = 0, 0.0, 0.0, 0
+        for i, v in enumerate([*values, float("-inf")]):
+            total += float("-inf") if any(s < a + i + 2 and a + i < e for s, e in base) else v
+            if total > peak:
+                peak, end = total, i + 2
+            if total <= 0 or peak - total >= threshold:
+                out += [f"inner:{a + at}:{a + end}"] if peak > threshold else []
+                at, total, peak = i + 1, 0.0, 0.0
+    return ",".join(out)
+
+
+def test_secrets_joined_to_ordinary_text(spark):
+    table, rnd, chars = secrets.train(secrets.samples(spark)), random.Random(4), string.ascii_letters + string.digits
+    before = ["user/session/list/", "/service/request/handler/data/", "session_key_for_the_production_server=", "the-user-name-", "0f" * 12 + "/"]
+    texts = [f"\U0001f600 {b}{''.join(rnd.choice(chars) for _ in range(32))}{after} end" for b in before for after in ("", "/server/options/handler") for _ in range(20)]
+    texts.append(f"/service/request/{texts[0][20:52]}/management/development/information/{texts[60][20:52]}/service/management")
+    plain = ["/".join(rnd.choice(secrets.WORDS) for _ in range(6)) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate([*texts, *plain, *secret_texts()])), "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.scan(df, table).collect()}
+    assert {i: r.inner_spans for i, r in got.items()} == {i: brute_inner(t, table) for i, t in enumerate([*texts, *plain, *secret_texts()])}
+    assert all(r.n_inner == len(list(filter(None, r.inner_spans.split(",")))) for r in got.values())
+    assert sum(got[i].n_random + got[i].n_inner > 0 for i in range(200)) >= 196 and got[200].n_inner >= 2
+    assert not any(got[i].n_random + got[i].n_inner for i in range(201, 401))
+
+
 def test_secrets_of_hard_rows(spark, hard_docs):
     table = secrets.train(secrets.samples(spark))
     got = secrets.scan(hard_docs, table).collect()
