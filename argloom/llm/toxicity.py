@@ -7,7 +7,8 @@ prove nothing. Matching: a Levenshtein automaton of the input is run against the
 of the lexicon; their product is made deterministic as inputs come, so a word costs
 one step a letter and dies with its second wrong letter. Terms of five letters or more
 match within one edit. Beginnings of words (``STEMS`` letters) are tested like words; those
-that pass stand in the trie with an open end, so inflected forms never seen match too. Context: each match has a window; quotation marks around it and
+that pass stand in the trie with an open end, so inflected forms never seen match too; the
+terms that they cover stand beside them, so that an error in the beginning is found too. Context: each match has a window; quotation marks around it and
 reporting words in it tell quoting from abuse. A logistic model over the matches of
 the sample gives the score.
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from argloom.llm.util import Remembered, cut, map_arrow
 
-#: At most so many labelled rows are learned from, words are tested in a second look, and terms are in the lexicon.
+#: At most so many labelled rows are learned from, words are tested in a second look, and terms are in the lexicon besides those under a stem.
 SAMPLE, CANDIDATES, TERMS = 20_000, 6_000, 500
 #: Lengths of word beginnings tested, what ends the name of one, and the share of toxic places and the number of different words that one needs.
 STEMS, OPEN = (4, 5, 6), "*"
@@ -53,7 +54,7 @@ class LexiconAutomaton:
         self.terms, self.edits, self.shortest, self.most = terms, edits, shortest, most_states
         self.children: list[dict[str, int]] = [{}]
         self.term: list[int] = [-1]
-        self.open: set[int] = set()
+        self.open: dict[int, int] = {}
         for k, t in enumerate(terms):
             node = 0
             for c in t.rstrip(OPEN):
@@ -63,9 +64,10 @@ class LexiconAutomaton:
                     self.children.append({})
                     self.term.append(-1)
                 node = nxt
-            self.term[node] = k
             if t.endswith(OPEN):
-                self.open.add(node)
+                self.open[node] = k
+            else:
+                self.term[node] = k
         self._clear()
 
     def _clear(self) -> None:
@@ -88,9 +90,9 @@ class LexiconAutomaton:
             got = self.numbers[key] = len(self.sets)
             self.sets.append(key)
             self.steps.append({})
-            ends = [(e, self.term[n]) for n, e in best.items() if self.term[n] >= 0 and (not e or n not in self.open and len(self.terms[self.term[n]]) >= self.shortest)]
+            ends = [(e, self.term[n]) for n, e in best.items() if self.term[n] >= 0 and (not e or len(self.terms[self.term[n]]) >= self.shortest)]
             self.accepts.append(min(ends, default=None))
-            self.opened.append(next(((0, self.term[n]) for n, e in best.items() if not e and n in self.open), None))
+            self.opened.append(next(((0, self.open[n]) for n, e in best.items() if not e and n in self.open), None))
         return got
 
     def match(self, word: str) -> tuple[int, int] | None:
@@ -224,7 +226,10 @@ def learn_lexicon(train: DataFrame, terms: int = TERMS) -> list[tuple[str, float
     stems = {w.rstrip(OPEN) for _, w, s, forms_ in chosen if w.endswith(OPEN) and s >= STEM_SHARE and forms_ >= STEM_WORDS}
     shorter = lambda w: any(w[:k] in stems for k in STEMS if k < len(w))
     kept = [(w, s) for _, w, s, _ in sorted(chosen) if (w.rstrip(OPEN) in stems if w.endswith(OPEN) else w not in stems) and not shorter(w.rstrip(OPEN))]
-    return kept[:terms]
+    kept = kept[:terms]
+    stems &= {w.rstrip(OPEN) for w, _ in kept if w.endswith(OPEN)}
+    # terms under a stem stand for their misspellings only and take no place of another; all are among the CANDIDATES
+    return kept + [(w, s) for _, w, s, _ in sorted(chosen) if not w.endswith(OPEN) and any(w[:k] in stems for k in STEMS)]
 
 
 def fit(features: np.ndarray, toxic: np.ndarray, ridge: float = 0.1) -> np.ndarray:

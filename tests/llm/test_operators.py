@@ -242,6 +242,22 @@ def test_automaton_against_edit_distance():
     assert toxicity.LexiconAutomaton(["vequ*"]).match("vequance") == (0, 0) and toxicity.LexiconAutomaton(["vequ*"]).match("vekuance") is None
 
 
+def test_misspelled_terms_under_a_stem(spark):
+    a = toxicity.LexiconAutomaton(["idiot*", "idiot", "vequ*", "vequance"])
+    assert [a.match(w) for w in ("idiot", "idiotic", "idoot", "vequist", "vekuance", "vekuist")] == [(0, 0), (0, 0), (1, 1), (0, 2), (1, 3), None]
+    rnd = random.Random(6)
+    filler = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(8))
+    bad = ["vequance", "vequistor", "vequable", "vequ"]
+    rows = [(f"{filler()} {bad[i % 4]} {filler()}", 1) for i in range(800)] + [(filler(), 0) for _ in range(1600)]
+    train = spark.createDataFrame(rows, "text string, toxic int")
+    lexicon = dict(toxicity.learn_lexicon(train))
+    assert "vequ*" in lexicon and lexicon.keys() >= set(bad)
+    s = toxicity.Scorer(list(lexicon.items()))
+    assert all(s.features(f"some {w} here")[1] == 0.5 for w in ("vekuance", "vquistor", "vvequable")) and s.features("some vequants here")[0] == 0.5
+    assert s.features("some veku here") == (0.0,) * 5
+    assert len([w for w in dict(toxicity.learn_lexicon(train, terms=1)) if w not in bad]) == 1
+
+
 def test_op4_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
