@@ -2,14 +2,19 @@
 
 Writing: of equal payloads of at least ``least`` bytes the largest id is a response,
 the others are revisits that refer to it; equality is decided by SHA-256 of the whole
-payload, combined within each task first. Records go out through Spark's text sink
-with the record separator as line separator, so any file system Spark knows will do.
+payload, combined within each task first. Records go out through Spark's text sink, so
+any file system Spark knows will do; without compression the record separator is the
+line separator. With gzip every record is a member of its own, so that damage costs the
+records it touches and no more. Members are made in Python and pass the sink as strings
+of any bytes; the line separator is a zero byte, the last one of a member of less than
+16 MB, and an empty member follows a larger one. The sink names such files .txt, not .gz.
 
 Reading: files are read whole through Spark (so keep them below some hundred MB: the
 writer bounds records per file). A record counts if its version line, header, length,
 closing blank lines and digest agree. After a failed check the reader looks for the
 next version line (in gzip: the next valid member) and goes on there; the bytes between
-are logged as a gap with file, place and reason.
+are logged as a gap with file, place and reason. Of a member that breaks off, all that
+comes out before the damage is read. In gzip, places are those of members in the file.
 
 Defined cases: a null html is an empty payload; null ids are written as empty and read
 back as null; pages of one id are records of their own; line breaks in a URL are
@@ -62,7 +67,30 @@ def record(date: str) -> Column:
 
 def write(pages: DataFrame, path: str, least: int = 1000, date: str = "2024-01-01T00:00:00Z", per_file: int = 2000, gzip: bool = True) -> None:
     out = roles(pages, least).select(record(date).alias("value"))
-    out.write.option("lineSep", END.decode()).option("maxRecordsPerFile", per_file).option("compression", "gzip" if gzip else "none").text(path)
+    if gzip:
+        out = map_arrow(out, pack, "value binary").select(F.col("value").cast("string"))
+    out.write.option("lineSep", "\0" if gzip else END.decode()).option("maxRecordsPerFile", per_file).option("compression", "none").text(path)
+
+
+def member(content: bytes) -> bytes:
+    """A gzip member without its last byte, which is zero: the high byte of the length."""
+    d = zlib.compressobj(6, zlib.DEFLATED, 31)
+    whole = d.compress(content) + d.flush()
+    return whole[:-1] if not whole[-1] else whole + member(b"")
+
+
+def pack(batches, most: int = 1 << 23):
+    """A member per record, in batches of some MB."""
+    out, held = [], 0
+    for b in batches:
+        for value in b.column(0).cast(pa.binary()):  # bytes that are no UTF-8 pass as they are
+            out.append(member(value.as_py() + END))
+            held += len(out[-1])
+            if held >= most:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                out, held = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
 
 def parse(data: bytes):
@@ -114,34 +142,60 @@ def _one(data: bytes, at: int):
 
 
 def members(data: bytes):
-    """Yields ("bytes", start, content) of gzip members, whole or as far as they go, and ("gap", start, end, reason)."""
+    """Yields ("bytes", start, end, content) of gzip members, whole or as far as they go, and ("gap", start, end, reason)."""
     at = 0
     while at < len(data):
-        d, out, good = zlib.decompressobj(31), [], False
-        try:
-            for k in range(at, len(data), 1 << 16):
-                out.append(d.decompress(data[k : k + (1 << 16)]))
-                if d.eof:
-                    good = True
-                    end = k + (1 << 16) if k + (1 << 16) < len(data) else len(data)
-                    end -= len(d.unused_data)
-                    break
-            why = "member is cut off"
-        except zlib.error as e:
-            why = str(e)
-        if out and any(out):
-            yield "bytes", at, b"".join(out)
-        if good:
-            at = end
-            continue
-        nxt = data.find(MAGIC, at + 1)
-        while nxt >= 0 and not _opens(data, nxt):
-            nxt = data.find(MAGIC, nxt + 1)
-        end = nxt if nxt >= 0 else len(data)
-        yield "gap", at, end, why
+        d, out, end, why = zlib.decompressobj(31), [], 0, "member is cut off"
+        for k in range(at, len(data), 1 << 16):
+            chunk, before = data[k : k + (1 << 16)], d.copy()
+            try:
+                out.append(d.decompress(chunk))
+            except zlib.error as e:
+                why = str(e)
+                out += _until_error(before, chunk)
+                break
+            if d.eof:
+                end = k + len(chunk) - len(d.unused_data)
+                break
+        good = end > 0
+        if not good:
+            nxt = _next_member(data, at + 1)
+            end = nxt if nxt >= 0 else len(data)
+        if any(out):
+            yield "bytes", at, end, b"".join(out)
+        if not good:
+            yield "gap", at, end, why
         at = end
 
 
+def _until_error(d, chunk: bytes) -> list[bytes]:
+    """What comes out of a chunk before the byte at which it fails."""
+    out = []
+    try:
+        for k in range(len(chunk)):
+            out.append(d.decompress(chunk[k : k + 1]))
+    except zlib.error:
+        pass
+    return out
+
+
+def _next_member(data: bytes, at: int) -> int:
+    """Where the next member begins that opens with a record; -1 if none does."""
+    nxt = data.find(MAGIC, at)
+    while nxt >= 0 and not _opens(data, nxt):
+        nxt = data.find(MAGIC, nxt + 1)
+    return nxt
+
+
+def is_gzip(file: str, data: bytes) -> bool:
+    """By the first bytes or the name; where both say nothing, by what comes first, a member or a version line."""
+    if data[:3] == MAGIC or file.endswith(".gz"):
+        return True
+    plain = VERSION.search(data)
+    first = -1 if plain and not plain.start() else _next_member(data, 0)
+    return first >= 0 and (plain is None or first < plain.start())
+
+
 def _opens(data: bytes, at: int) -> bool:
     try:
         return bool(zlib.decompressobj(31).decompress(data[at : at + 4096], 9).startswith(b"WARC/1."))
@@ -157,16 +211,17 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     schema = pa.schema([("file", pa.string()), ("start", pa.int64()), ("end", pa.int64()), *((n, pa.string()) for n in ("reason", "record_type", "record_id", "refers_to", "uri", "payload_digest")), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
 
     def rows(file: str, data: bytes):
-        for kind, start, *rest in members(data) if data[:3] == MAGIC or file.endswith(".gz") else [("bytes", 0, data)]:
+        packed = is_gzip(file, data)
+        for kind, start, end, rest in members(data) if packed else [("bytes", 0, len(data), data)]:
             if kind == "gap":
-                yield (file, start, *rest, *[None] * 7)
+                yield (file, start, end, rest, *[None] * 7)
                 continue
-            for what, place, a, b in parse(rest[0]):
+            for what, place, a, b in parse(rest):
                 if what == "gap":
-                    yield (file, place, a, b, *[None] * 7)
+                    yield (file, *((start, end) if packed else (place, a)), b, *[None] * 7)
                 else:
                     full = a.get("warc-payload-length", "")
-                    yield (file, place, place + len(b), None, a.get("warc-type"), a.get("warc-record-id"), a.get("warc-refers-to"), a.get("warc-target-uri"), a.get("warc-payload-digest", "").removeprefix("sha1:"), int(full) if full.isdigit() else len(b), b if payloads else None)
+                    yield (file, *((start, end) if packed else (place, place + len(b))), None, a.get("warc-type"), a.get("warc-record-id"), a.get("warc-refers-to"), a.get("warc-target-uri"), a.get("warc-payload-digest", "").removeprefix("sha1:"), int(full) if full.isdigit() else len(b), b if payloads else None)
 
     def run(batches):
         for b in batches:

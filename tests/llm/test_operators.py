@@ -342,6 +342,39 @@ def test_salvage(spark, tmp_path, gzip):
     assert len(gaps) >= 1 + len(lost) and min(g.start for g in gaps) == 0 and all(g.end > g.start for g in gaps)
 
 
+def test_salvage_of_written_gzip(spark, tmp_path):
+    rnd = random.Random(7)
+    rows = [(i, f"u{i}", "".join(rnd.choice("abcdefgh é") for _ in range(1500))) for i in range(60)] + [(60, "u", "x" * 17_000_000), (61, "u", "last")]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"), gzip=True)
+    data = b"".join(f.read_bytes() for f in (tmp_path / "w").glob("part*"))
+    import gzip as gz
+
+    assert gz.decompress(data).count(b"WARC-Record-ID") == 62
+    whole = {r.record_id: (r.start, r.end) for r in warc.read(spark, str(tmp_path / "w" / "part*")).collect()}
+    assert len(whole) == 62
+    places = sorted((start, end, name) for name, (start, end) in whole.items())
+    assert all(a[1] <= b[0] for a, b in zip(places, places[1:]))
+    for k, hit in enumerate([1, places[10][0] + 300, places[30][0], places[40][1] - 3]):
+        hurt = bytearray(data)
+        hurt[hit] ^= 0xFF
+        (tmp_path / f"d{k}").mkdir()
+        (tmp_path / f"d{k}" / "x.txt").write_bytes(hurt)
+        got = warc.read(spark, str(tmp_path / f"d{k}")).collect()
+        touched = {name for start, end, name in places if start <= hit < end}
+        assert whole.keys() - {r.record_id for r in got if r.reason is None} <= touched and any(r.reason for r in got)
+
+
+def test_salvage_before_damage_in_one_member():
+    import gzip as gz
+
+    rnd = random.Random(8)
+    one = lambda i: f"WARC/1.1\r\nWARC-Record-ID: {i}\r\nContent-Length: 400\r\n\r\n".encode() + bytes(rnd.randrange(256) for _ in range(400)) + warc.END
+    data = bytearray(gz.compress(b"".join(map(one, range(60)))))
+    data[20_000:20_040] = b"\xff" * 40
+    got = [x for kind, *rest in warc.members(bytes(data)) if kind == "bytes" for x in warc.parse(rest[-1]) if x[0] == "record"]
+    assert len(got) >= 40
+
+
 # --- op9
 
 
