@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from argloom.functions import cues
 from argloom.functions.text import fold, stems
-from argloom.operators import relate
+from argloom.operators import parsed, relate
 from argloom.operators.segment import segments
 from argloom.session import cut
 
@@ -50,12 +50,17 @@ def keys(features: DataFrame, grounds: DataFrame, proven: DataFrame) -> DataFram
         proven.where("NOT conclusion_out AND can_conclude").select("doc_id", F.col("conclusion").alias("seg_no"))
     ).distinct().withColumn("is_proposition", F.lit(True))
     no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
-    df = features.select("doc_id", "seg_no", "seg_text", "ranking", "recall").join(concluded, ["doc_id", "seg_no"], "left").join(used, ["doc_id", "seg_no"], "left").join(ends, ["doc_id", "seg_no"], "left")
-    df = df.select("doc_id", "seg_no", "seg_text", "ranking", "recall", no("is_option"), no("is_used"), no("is_proposition"))
+    younger = F.col("younger") if "younger" in features.columns else F.lit(False)
+    df = features.select("doc_id", "seg_no", "seg_text", "ranking", "recall", younger.alias("younger")).join(concluded, ["doc_id", "seg_no"], "left").join(used, ["doc_id", "seg_no"], "left").join(ends, ["doc_id", "seg_no"], "left")
+    df = df.select("doc_id", "seg_no", "seg_text", "ranking", "recall", "younger", no("is_option"), no("is_used"), no("is_proposition"))
     w = Window.partitionBy("doc_id").orderBy("seg_no").rowsBetween(Window.unboundedPreceding, -1)
     own = F.col("is_option") | F.col("is_used")
     last = lambda ok, value="seg_no": F.last(F.when(ok, F.col(value)), ignorenulls=True).over(w)
-    df = df.withColumn("own", own).withColumn("near", last(~F.col("recall"))).withColumn("near_own", F.last(F.when(~F.col("recall"), F.col("own")), ignorenulls=True).over(w))
+    # right after a younger sibling, the anchor is looked for from the elder on
+    by_place = Window.partitionBy("doc_id").orderBy("seg_no")
+    flow = lambda value, frame: F.last(F.when(~F.col("recall"), F.col(value)), ignorenulls=True).over(frame)
+    near = lambda value: F.when(F.lag("younger").over(by_place), flow(value, by_place.rowsBetween(Window.unboundedPreceding, -2))).otherwise(flow(value, w))
+    df = df.withColumn("own", own).withColumn("near", near("seg_no")).withColumn("near_own", near("own"))
     df = df.withColumn("loose", last(F.col("is_proposition") & ~F.col("own")))
     anchors = df.where("ranking").select("doc_id", F.when(F.col("near").isNotNull() & ~F.col("near_own"), F.col("near")).otherwise(F.col("loose")).alias("seg_no")).where("seg_no IS NOT NULL").distinct().withColumn("is_anchor", F.lit(True))
     same = Window.partitionBy("doc_id", "seg_text")
@@ -181,12 +186,13 @@ def option_scopes(grounds: DataFrame) -> DataFrame:
     return sets.groupBy("doc_id", "scenario").agg(F.sort_array(F.collect_list("conclusion")).alias("members")).where(F.size("members") > 1).select("doc_id", "members")
 
 
-def extract(docs: DataFrame) -> dict[str, DataFrame]:
-    """All tables of the argument graphs of docs (doc_id, text)."""
-    features = cut(relate.featured(segments(docs)))
+def extract(docs: DataFrame, tokens: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All tables of the argument graphs of docs (doc_id, text). With tokens of a parser (see ``parsed``), coordinated subordinates are siblings."""
+    features = cut(relate.featured(segments(docs) if tokens is None else parsed.divided(segments(docs), tokens)))
+    siblings = None if tokens is None else parsed.siblings(features)
     edge_rows = cut(relate.edges(features))
-    proven = cut(relate.proofs(features, edge_rows))
-    ground = cut(relate.grounds(features, proven))
+    proven = cut(relate.proofs(features, edge_rows, siblings=siblings))
+    ground = cut(relate.grounds(features, proven, siblings))
     key_rows = cut(keys(features, ground, proven))
     rule_rows = cut(rules(features, ground))
     rank = cut(ranking_rows(features, ground, key_rows))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from argloom.functions import cues
 from argloom.functions.text import atom, fold, has
+from argloom.operators.segment import LEAST
 
 TOKENS = "doc_id BIGINT, seg_no INT, i INT, head INT, start INT, text STRING, lemma STRING, pos STRING, dep STRING, morph STRING"
 KEYS = ("doc_id", "seg_no")
@@ -111,6 +112,37 @@ def coordinated_cuts(t: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(places, lambda p: p > 0)))
 
 
+def divided(segments: DataFrame, tokens: DataFrame, least: int = LEAST) -> DataFrame:
+    """segments cut before coordinated subordinates and numbered again, with ``younger``: whether a row continues the one before it. Pieces under the least length go to the gap."""
+    cuts = fragments(tokens).select("doc_id", "seg_no", coordinated_cuts(F.col("t")).alias("cuts"))
+    rows = segments.join(cuts, ["doc_id", "seg_no"], "left")
+    bounds = F.concat(F.array(F.lit(0)), F.coalesce("cuts", F.expr("CAST(array() AS ARRAY<INT>)")), F.array(F.length("seg_text")))
+
+    def piece(k: Column) -> Column:
+        a, b = F.get("bounds", k), F.get("bounds", k + 1)
+        raw = F.substr("seg_text", a + 1, b - a)
+        lead, tail = F.length(raw) - F.length(F.ltrim(raw, F.lit(" \t\r\n"))), F.length(raw) - F.length(F.rtrim(raw, F.lit(" \t\r\n.,;:")))
+        return F.struct(k.alias("k"), (a + lead).alias("s"), (b - tail).alias("e"))
+
+    all_pieces = F.when(F.size("bounds") > 2, F.filter(F.transform(F.sequence(F.lit(0), F.size("bounds") - 2), piece), lambda x: x["e"] - x["s"] >= least))
+    whole = F.array(F.struct(F.lit(0).alias("k"), F.lit(0).alias("s"), F.length("seg_text").alias("e")))
+    rows = rows.withColumn("bounds", bounds).withColumn("pieces", F.coalesce(all_pieces, whole))
+    rows = rows.select("*", F.posexplode("pieces").alias("pos", "x")).withColumn("last", F.when(F.col("pos") > 0, F.get("pieces", F.col("pos") - 1)))
+    inner = F.col("last").isNotNull()
+    gap = F.when(inner, F.substr("seg_text", F.col("last.e") + 1, F.col("x.s") - F.col("last.e"))).otherwise(F.concat("gap", F.substr("seg_text", F.lit(1), F.col("x.s"))))
+    rows = rows.withColumn("gap", gap).withColumn("bare", F.rtrim("gap", F.lit(" \t\r\n")))
+    before = F.when(F.col("bare") != "", F.right("bare", F.lit(1))).when(inner, F.substr("seg_text", F.col("last.e"), F.lit(1))).otherwise(F.col("prefix_end"))
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("at"))
+    moved = rows.withColumn("prefix_end", before).withColumn("at", F.col("start") + F.col("x.s")).withColumn("end", F.col("start") + F.col("x.e"))
+    moved = moved.withColumn("seg_no", number).withColumn("start", F.col("at")).withColumn("seg_text", F.substr("seg_text", F.col("x.s") + 1, F.col("x.e") - F.col("x.s")))
+    return moved.withColumn("younger", F.coalesce(F.col("last.k") == F.col("x.k") - 1, F.lit(False))).select(*segments.columns, "younger")
+
+
+def siblings(divided_rows: DataFrame) -> DataFrame:
+    """doc_id, l, r: neighbours cut from one coordinated subordinate."""
+    return divided_rows.where("younger").select("doc_id", (F.col("seg_no") - 1).alias("l"), F.col("seg_no").alias("r"))
+
+
 def clause_commas(t: Column, unit: Column) -> Column:
     """Places after those commas and colons of a fragment that part clauses; unit: the sentence up to the fragment's end.
 

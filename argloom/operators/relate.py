@@ -88,8 +88,8 @@ def edges(features: DataFrame) -> DataFrame:
     return both.unionByName(more.select("doc_id", (F.lit(2 * 10**8) + F.col("ord")).alias("ord"), "condition", F.col("resumed").cast("int").alias("conclusion")))
 
 
-def proofs(features: DataFrame, edge_rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, premise, conclusion of pairs within reach in one paragraph and speaker turn, as the first edge between them says."""
+def proofs(features: DataFrame, edge_rows: DataFrame, window: int = WINDOW, siblings: DataFrame | None = None) -> DataFrame:
+    """doc_id, premise, conclusion of pairs within reach in one paragraph and speaker turn, as the first edge between them says. Siblings (doc_id, l, r) prove nothing of each other."""
     side = lambda p: features.select("doc_id", F.col("seg_no").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("paragraph", "speaker", "connector_gap", "age", "no_rule", "can_conclude", "out_of_flow")])
     suffixed = edge_rows.where("condition = conclusion + 1").select("doc_id", F.col("condition").alias("seg_no")).distinct().join(features.where("connector_gap").select("doc_id", "seg_no"), ["doc_id", "seg_no"]).select("doc_id", F.col("seg_no").alias("conclusion"))
     valid = (
@@ -99,15 +99,22 @@ def proofs(features: DataFrame, edge_rows: DataFrame, window: int = WINDOW) -> D
         .join(suffixed, ["doc_id", "conclusion"], "left_anti")
     )
     pair = [F.least("condition", "conclusion").alias("l"), F.greatest("condition", "conclusion").alias("r")]
+    valid = valid if siblings is None else valid.withColumns({"l": pair[0], "r": pair[1]}).join(siblings, ["doc_id", "l", "r"], "left_anti").drop("l", "r")
     best = valid.groupBy("doc_id", *pair).agg(F.min_by(F.struct("condition", "conclusion", "condition_out_of_flow", "conclusion_out_of_flow", "conclusion_can_conclude"), "ord").alias("e"))
     return best.select("doc_id", F.col("e.condition").alias("premise"), F.col("e.conclusion").alias("conclusion"), F.col("e.condition_out_of_flow").alias("premise_out"), F.col("e.conclusion_out_of_flow").alias("conclusion_out"), F.col("e.conclusion_can_conclude").alias("can_conclude"))
 
 
-def grounds(features: DataFrame, proven: DataFrame) -> DataFrame:
-    """doc_id, conclusion, premise of what stands: no alternatives of each other, conclusions that can conclude, mutual support broken in favour of the earlier premise."""
+def grounds(features: DataFrame, proven: DataFrame, siblings: DataFrame | None = None) -> DataFrame:
+    """doc_id, conclusion, premise of what stands: no alternatives of each other, conclusions that can conclude, mutual support broken in favour of the earlier premise. A premise brings its siblings (doc_id, l, r), but not its alternatives."""
     alternative = features.where("alternative").select("doc_id", (F.col("seg_no") - 1).alias("l"), F.col("seg_no").alias("r"))
     able = proven.where("NOT premise_out AND NOT conclusion_out AND can_conclude").withColumns({"l": F.least("premise", "conclusion"), "r": F.greatest("premise", "conclusion")})
-    return able.join(alternative, ["doc_id", "l", "r"], "left_anti").select("doc_id", "conclusion", "premise")
+    if siblings is None:
+        return able.join(alternative, ["doc_id", "l", "r"], "left_anti").select("doc_id", "conclusion", "premise")
+    stands = able.join(alternative.unionByName(siblings), ["doc_id", "l", "r"], "left_anti").select("doc_id", "conclusion", "premise")
+    joint = siblings.join(alternative, ["doc_id", "l", "r"], "left_anti")
+    both = joint.select("doc_id", F.col("l").alias("premise"), F.col("r").alias("other")).unionAll(joint.select("doc_id", "r", "l"))
+    brought = stands.join(both, ["doc_id", "premise"]).select("doc_id", "conclusion", F.col("other").alias("premise"))
+    return stands.unionByName(brought).distinct()
 
 
 def candidate_pairs(propositions: DataFrame, window: int = WINDOW, keys: tuple[str, ...] = ("doc_id", "paragraph", "speaker")) -> DataFrame:

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
-from argloom.operators import parsed
+from argloom.operators import graph, parsed, relate
+from argloom.operators.segment import segments
 
 
 def table(spark, *rows):
@@ -85,3 +86,50 @@ def test_singular_events(spark):
     pairs = spark.createDataFrame([(1, 1, 2), (1, 1, 3), (1, 1, 4), (1, 1, 5), (1, 3, 9)], "doc_id long, l int, r int")
     got = {(r.l, r.r): r.singular for r in parsed.singular_events(pairs, tenses).collect()}
     assert got == {(1, 2): True, (1, 3): False, (1, 4): False, (1, 5): True, (3, 9): False}
+
+
+def sister_tokens(spark, doc_id, fragment):
+    """Tokens of "Comme A et que B" (seg_no 1): the second verb is a conjunct with a subordinator."""
+    words, at, out = fragment.split(" "), 0, []
+    first, second, cc = words.index("baisse"), words.index("tombe"), words.index("et")
+    for i, w in enumerate(words):
+        head = first if i < cc and i != first else first if i in (first, second) else second
+        dep = {0: "mark", first: "ROOT", cc: "cc", cc + 1: "mark", second: "conj"}.get(i, "nsubj")
+        out.append((doc_id, 1, i, head, at, w, w, "VERB" if i in (first, second) else "X", dep, None))
+        at += len(w) + 1
+    return spark.createDataFrame(out, parsed.TOKENS)
+
+
+def test_coordinated_siblings(spark):
+    fragment = "Comme le prix baisse et que la pluie tombe"
+    docs = spark.createDataFrame([(1, f"{fragment}, le trajet est annulé."), (2, f"{fragment}, le trajet est annulé.")], "doc_id long, text string")
+    plain = segments(docs)
+    rows = parsed.divided(plain, sister_tokens(spark, 1, fragment))
+    assert rows.columns == [*plain.columns, "younger"]
+    got = sorted((r.doc_id, r.seg_no, r.seg_text, r.gap, r.prefix_end, r.younger, r.end - r.start) for r in rows.collect())
+    assert got[:3] == [(1, 1, "Comme le prix baisse", "", "", False, 20), (1, 2, "et que la pluie tombe", " ", "e", True, 21), (1, 3, "le trajet est annulé", ", ", ",", False, 20)]
+    assert [g[2] for g in got[3:]] == [fragment, "le trajet est annulé"]
+    assert [tuple(r) for r in parsed.siblings(rows).collect()] == [(1, 1, 2)]
+    made = graph.extract(docs, sister_tokens(spark, 1, fragment))
+    assert sorted((r.doc_id, r.premise, r.conclusion) for r in made["grounds"].collect()) == [(1, 1, 3), (1, 2, 3), (2, 1, 2)]
+
+
+def test_siblings_share_conclusions_and_prove_nothing_of_each_other(spark):
+    flags = "doc_id long, seg_no int, alternative boolean, paragraph int, speaker int, connector_gap boolean, age boolean, no_rule boolean, can_conclude boolean, out_of_flow boolean"
+    features = spark.createDataFrame([(1, n, n == 6, 0, 0, False, False, False, True, False) for n in range(1, 8)], flags)
+    edges = spark.createDataFrame([(1, 1, 1, 2), (1, 2, 1, 3), (1, 3, 5, 7)], "doc_id long, ord int, condition int, conclusion int")
+    sisters = spark.createDataFrame([(1, 1, 2), (1, 5, 6)], "doc_id long, l int, r int")
+    proven = relate.proofs(features, edges, siblings=sisters)
+    assert sorted((r.premise, r.conclusion) for r in proven.collect()) == [(1, 3), (5, 7)]
+    pairs = lambda of, s: sorted((r.premise, r.conclusion) for r in relate.grounds(features, of, s).collect())
+    assert pairs(proven, sisters) == [(1, 3), (2, 3), (5, 7)]
+    assert pairs(relate.proofs(features, edges), sisters) == [(1, 3), (2, 3), (5, 7)] and (1, 2) in pairs(relate.proofs(features, edges), None)
+
+
+def test_anchor_of_a_ranking_after_siblings_is_the_elder(spark):
+    rows = [(1, 1, "A", False, False, False), (1, 2, "B", False, False, True), (1, 3, "R", True, False, False)]
+    features = spark.createDataFrame(rows, "doc_id long, seg_no int, seg_text string, ranking boolean, recall boolean, younger boolean")
+    none = spark.createDataFrame([], "doc_id long, conclusion int, premise int")
+    proven = spark.createDataFrame([], "doc_id long, premise int, conclusion int, premise_out boolean, conclusion_out boolean, can_conclude boolean")
+    assert [(r.seg_no, r.kind) for r in graph.keys(features, none, proven).collect()] == [(1, "Context")]
+    assert [r.seg_no for r in graph.keys(features.drop("younger"), none, proven).collect()] == [2]
