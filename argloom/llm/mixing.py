@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from argloom.llm.util import cut, n_words
 
 
-def measure(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """id, src, size of every row."""
-    return docs.select(F.col(doc_id).alias("id"), F.col(source).alias("src"), n_words(F.col(text)).alias("size"))
+def measure(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", further: tuple[str, ...] = ()) -> DataFrame:
+    """id, src, size of every row, and further columns."""
+    return docs.select(F.col(doc_id).alias("id"), F.col(source).alias("src"), n_words(F.col(text)).alias("size"), *further)
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, budget: float = 1.0) -> DataFrame:
@@ -56,7 +56,8 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs:
 
 
 def copies(sized: DataFrame, target: DataFrame, seed: int = 17) -> DataFrame:
-    """sized with source_size, target and how often the mix repeats each row."""
+    """sized with source_size, target and how often the mix repeats each row. Further columns of sized decide between rows of one id and size, and stay."""
+    further = [c for c in sized.columns if c not in ("id", "src", "size")]
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
     keyed = sized.withColumn("order", order).withColumn("slot", F.substring("order", 1, 3))
     before = Window.partitionBy("src").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
@@ -68,13 +69,13 @@ def copies(sized: DataFrame, target: DataFrame, seed: int = 17) -> DataFrame:
         .withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
         .select(F.col("src").alias("of"), F.col("slot").alias("at"), "slot_start", "source_size", "target", "whole", "need")
     )
-    upto = Window.partitionBy("src", "slot").orderBy("order", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = Window.partitionBy("src", "slot").orderBy("order", "id", "size", *further).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.col("slot_start") + F.col("in_slot")
     once_more = (2 * end - F.col("size") <= 2 * F.col("need")).cast("long")  # the row at the cut counts if that comes nearer
     return (
         keyed.withColumn("in_slot", F.sum("size").over(upto))
         .join(plan, F.col("src").eqNullSafe(F.col("of")) & (F.col("slot") == F.col("at")))
-        .select("id", "src", "size", "source_size", "target", (F.col("whole") + once_more).alias("copies"))
+        .select("id", "src", "size", "source_size", "target", (F.col("whole") + once_more).alias("copies"), *further)
     )
 
 
@@ -84,9 +85,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int =
     return copies(sized, targets(sized, weights, max_epochs), seed)
 
 
+def content_key(doc_id: Column, source: Column, text: Column) -> Column:
+    """One digest of a row's id, source and text, nulls told apart."""
+    parts = [x for c in (doc_id, source, text) for x in (F.coalesce(F.length(c.cast("string")), F.lit(-1)).cast("string"), F.coalesce(c.cast("string"), F.lit("")))]
+    return F.unhex(F.sha2(F.concat_ws(":", *parts), 256))
+
+
 def sample(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 17) -> DataFrame:
-    """The mixed corpus itself: rows of docs, each as often as the mix repeats it. Rows of one id and size all get the least that one of them gets."""
-    times = mix(docs, weights, max_epochs, seed).groupBy(F.col("id").alias("__id"), F.col("size").alias("__of")).agg(F.min("copies").alias("__copies")).where("__copies > 0")
-    row = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row")).withColumn("__size", n_words(F.col("__row.text")))
-    again: Column = F.explode(F.array_repeat("__row", F.col("__copies").cast("int")))
-    return row.join(times, F.col("__row.doc_id").eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("__of"))).select(again.alias("__row")).select("__row.*")
+    """The mixed corpus itself: rows of docs, each as often as the mix repeats it. Rows that agree in id, source and text are numbered, and as many as the mix says get a copy more."""
+    sized = cut(measure(docs.withColumn("__key", content_key(F.col("doc_id"), F.col("source"), F.col("text"))), further=("__key",)))
+    times = copies(sized, targets(sized, weights, max_epochs), seed).groupBy(F.col("__key").alias("__of"))
+    # copies of such rows differ by one at most
+    times = times.agg(F.min("copies").alias("__least"), (F.sum("copies") - F.count("*") * F.min("copies")).alias("__more")).where("__least + __more > 0")
+    row = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row"))
+    row = row.withColumn("__key", content_key(F.col("__row.doc_id"), F.col("__row.source"), F.col("__row.text")))
+    row = row.withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0))))
+    number = F.col("__least") + (F.col("__nth") <= F.col("__more")).cast("long")
+    again: Column = F.explode(F.array_repeat("__row", number.cast("int")))
+    return row.join(times, F.col("__key") == F.col("__of")).select(again.alias("__row")).select("__row.*")

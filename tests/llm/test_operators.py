@@ -414,3 +414,16 @@ def test_mixing_of_hard_rows(spark, hard_docs):
     twice = spark.createDataFrame([(1, "a b", "s"), (1, "a b", "s"), (1, "c", "s"), (None, "d e", None)], "doc_id long, text string, source string")
     times = Counter((r.doc_id, r.text) for r in mixing.sample(twice).collect())
     assert times.keys() <= {(1, "a b"), (1, "c"), (None, "d e")} and times[1, "a b"] <= 6 and times[1, "c"] <= 3
+
+
+def test_sample_takes_what_the_mix_says_of_rows_that_share_an_id(spark):
+    rows = [(None if i % 3 else i, f"a{i} b{i % 7}" + " c" * (i % 3), "big") for i in range(300)] + [(None, f"t{i} u", "small") for i in range(6)] + [(None, "same text", "big")] * 9 + [(None, None, "big"), (5, None, None), (5, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as size", "2 as src", "3 as id")
+    want, texts = Counter(), Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.src] += r.copies * r.size
+    for r in mixing.sample(docs).collect():
+        texts[r.source] += len((r.text or "").split())
+    assert +want == +texts and want["small"] > 12
+    assert mixing.sample(docs).columns == docs.columns
+    assert max(Counter(r.text for r in mixing.sample(docs).where("source = 'small'").collect()).values()) == 3
