@@ -13,14 +13,27 @@ def majority(answers: DataFrame, keys: list[str], value: str = "value", fallback
     return out.select(*keys, F.when(F.col("top.n") * 2 > F.col("ballots"), F.col("top.v")).otherwise(F.lit(fallback)).alias(value))
 
 
-def majority_tags(answers: DataFrame, keys: list[str], tags: str = "tags", none: str = "N") -> DataFrame:
-    """keys and the tags that more than half of the ballots hold, or [none]."""
+def majority_tags(answers: DataFrame, keys: list[str], tags: str = "tags", none: str = "N", held: DataFrame | None = None) -> DataFrame:
+    """keys and the tags that more than half of the ballots hold, or [none].
+
+    held: some of keys and ``ballots``, the number held; a silent ballot then counts
+    against a tag. Without it, the ballots are those that answered.
+    """
     ballots = answers.groupBy(*keys).agg(F.count("*").alias("ballots"))
+    if held is not None:
+        ballots = ballots.drop("ballots").join(held, [k for k in keys if k in held.columns])
     won = answers.select(*keys, F.explode(tags).alias("tag")).groupBy(*keys, "tag").agg(F.count("*").alias("n")).join(ballots, keys).where("n * 2 > ballots")
     kept = won.groupBy(*keys).agg(F.sort_array(F.collect_list("tag")).alias(tags))
     return ballots.select(*keys).join(kept, keys, "left").withColumn(tags, F.coalesce(tags, F.array(F.lit(none))))
 
 
+def majority_support(answers: DataFrame, held: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """keys and each value (a premise of a conclusion, a whole preference row) that more than half of all ballots held give. A ballot counts once a value."""
+    by = [k for k in keys if k in held.columns]
+    tally = answers.select(*keys, value, "ballot_no").distinct().groupBy(*keys, value).agg(F.count("*").alias("n"))
+    return tally.join(held, by).where("n * 2 > ballots").select(*keys, value)
+
+
 def realigned(ballot: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
     """Answers under the numbers that were asked for: kept if these match, renumbered by place if a ballot counted from 1, else nothing."""
     counts = expected.groupBy(*keys).agg(F.count("*").alias("asked"), F.sort_array(F.collect_list("item")).alias("items"))

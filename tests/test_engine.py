@@ -92,6 +92,14 @@ def test_votes(spark):
     assert sorted(tuple(r) for r in vote.realigned(ballot, asked, ["key"]).collect()) == [("k", 11, "x"), ("k", 12, "y")]
 
 
+def test_silent_ballots_count(spark):
+    tags = spark.createDataFrame([("d", 1, 0, ["P"]), ("d", 2, 0, ["M"]), ("d", 2, 1, ["M", "P"])], "doc_id string, item int, ballot_no int, tags array<string>")
+    held = spark.createDataFrame([("d", 3)], "doc_id string, ballots int")
+    assert {r.item: r.tags for r in vote.majority_tags(tags, ["doc_id", "item"], held=held).collect()} == {1: ["N"], 2: ["M"]}
+    rows = spark.createDataFrame([("d", 1, 0, "2>4"), ("d", 1, 0, "2>4"), ("d", 1, 1, "2>4"), ("d", 1, 1, "4>2"), ("d", 2, 2, "1>3")], "doc_id string, item int, ballot_no int, value string")
+    assert [tuple(r) for r in vote.majority_support(rows, held, ["doc_id", "item"]).collect()] == [("d", 1, "2>4")]
+
+
 def test_candidate_pairs_against_brute_force(spark):
     numbers = [1, 2, 5, 9, 14, 15, 16, 30]
     df = spark.createDataFrame([("d", n) for n in numbers], "doc_id string, seg_no int")
