@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from argloom.session import cut
+
 KINDS = ("Context", "Option", "Marker")
 
 
@@ -36,13 +38,15 @@ def signatures(events: DataFrame, names: DataFrame | None = None, anchors: bool
         F.first(F.when(F.col("role") == "Winner", F.col("target")), ignorenulls=True).alias("winner"), F.first(F.when(F.col("role") == "Loser", F.col("target")), ignorenulls=True).alias("loser"),
     )
     rules = gathered.where("kind = 'rule' AND effect IS NOT NULL AND lost = 0").select("doc_id", "ev_id", "kind", F.concat_ws("|", F.lit("rule"), "effect", F.array_join("places", ",")).alias("signature"))
-    done, level = rules, rules
-    for kind in ("prefer", "meta_prefer"):  # preferences rank rules, those between preferences rank preferences
-        side = lambda name, of: of.select("doc_id", F.col("ev_id").alias(name), F.col("signature").alias(f"{name}_signature"))
-        kept = gathered.where(F.col("kind") == kind).where("lost = 0" if anchors else "true")
-        ranked = kept.join(side("winner", level), ["doc_id", "winner"]).join(side("loser", level), ["doc_id", "loser"])
-        when = F.array_join("places", ",") if anchors else F.lit("")
-        level = ranked.select("doc_id", "ev_id", "kind", F.concat_ws("|", "kind", F.concat(F.lit("("), "winner_signature", F.lit(")")), F.concat(F.lit("("), "loser_signature", F.lit(")")), when).alias("signature"))
+    ranks = cut(gathered.where("kind IN ('prefer', 'meta_prefer')").where("lost = 0" if anchors else "true"))
+    side = lambda name, of: of.select("doc_id", F.col("ev_id").alias(name), F.col("signature").alias(f"{name}_signature"))
+    when = F.array_join("places", ",") if anchors else F.lit("")
+    done = cut(rules)
+    while True:  # one level of rankings between rankings a round; those in cycles are never signed
+        ranked = ranks.join(done.select("doc_id", "ev_id"), ["doc_id", "ev_id"], "left_anti").join(side("winner", done), ["doc_id", "winner"]).join(side("loser", done), ["doc_id", "loser"])
+        level = cut(ranked.select("doc_id", "ev_id", "kind", F.concat_ws("|", "kind", F.concat(F.lit("("), "winner_signature", F.lit(")")), F.concat(F.lit("("), "loser_signature", F.lit(")")), when).alias("signature")))
+        if level.isEmpty():
+            break
         done = done.unionByName(level)
     return done
 

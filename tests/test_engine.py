@@ -92,6 +92,16 @@ def test_votes(spark):
     assert sorted(tuple(r) for r in vote.realigned(ballot, asked, ["key"]).collect()) == [("k", 11, "x"), ("k", 12, "y")]
 
 
+def test_signatures_of_any_depth(spark):
+    rule = lambda k: (1, f"E{k}", "rule", [("Condition", f"T{k}"), ("Effect", f"T{k + 10}")])
+    over = lambda k, kind, w, l: (1, f"E{k}", kind, [("Winner", f"E{w}"), ("Loser", f"E{l}")])
+    rows = [rule(1), rule(2), over(3, "prefer", 1, 2), over(4, "prefer", 2, 1), over(5, "meta_prefer", 3, 4), over(6, "meta_prefer", 4, 3), over(7, "meta_prefer", 5, 6), over(8, "meta_prefer", 1, 2), over(9, "meta_prefer", 9, 1), over(10, "prefer", 11, 1), over(11, "prefer", 10, 1)]
+    events = spark.createDataFrame(rows, "doc_id long, ev_id string, kind string, roles array<struct<role: string, target: string>>")
+    got = {r.ev_id: r.signature for r in score.signatures(events).collect()}
+    assert got.keys() == {f"E{k}" for k in range(1, 9)}
+    assert got["E7"] == f"meta_prefer|({got['E5']})|({got['E6']})|" and got["E8"] == f"meta_prefer|({got['E1']})|({got['E2']})|"
+
+
 def test_silent_ballots_count(spark):
     tags = spark.createDataFrame([("d", 1, 0, ["P"]), ("d", 2, 0, ["M"]), ("d", 2, 1, ["M", "P"])], "doc_id string, item int, ballot_no int, tags array<string>")
     held = spark.createDataFrame([("d", 3)], "doc_id string, ballots int")
