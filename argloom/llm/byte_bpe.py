@@ -4,10 +4,17 @@ A text is cut by the tokenizer's pattern; the bytes of each match are merged by
 Every merge rank has a bucket of linked-list positions. Three bitmaps of 64-way words
 tell which buckets hold entries: find-first-set from the top word down gives the
 lowest rank in a constant number of steps, whatever the length of the match. Entries
-whose pair has changed meanwhile are stale and skipped. Within a bucket the leftmost
-position goes first. A match of n bytes takes O(n log n) at worst and O(n) memory.
+whose pair has changed meanwhile are stale and skipped. A bucket's positions go from
+left to right; if a merge makes a pair of a lower rank, the rest of the bucket waits.
 
-Ids of short matches are remembered per task in a bounded dictionary.
+Matches not seen before are merged many at a time: their bytes stand one after the
+other in one linked list without a pair across a border, so each match is merged as it
+would be alone, and a rank is looked for once for all of them. The first ranks come
+from a table of byte pairs. n bytes take O(n log n) at worst and O(n) memory.
+
+Ids of short matches are remembered per worker in a bounded dictionary; long ones are
+not. ``LETTERS`` bounds the texts that are held as matches at a time (a longer text is
+taken alone).
 
 Defined cases: null and empty texts have no ids (digests are those of the empty
 string); ids of rows may be null or repeat; other columns are not looked at.
@@ -18,13 +25,18 @@ from __future__ import annotations
 import base64
 import hashlib
 from functools import lru_cache
-from heapq import heappop, heappush
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from argloom.llm.util import Remembered, map_arrow
+from argloom.llm.util import map_arrow
+
+
+#: Letters of texts cut at a time, matches remembered in each of two generations, and the letters of the longest that is.
+LETTERS, REMEMBERED, LONGEST = 1 << 20, 120_000, 32
 
 
 class _Pairs(dict):
@@ -35,99 +47,150 @@ class _Pairs(dict):
 
     def __missing__(self, key: int) -> int:
         a, b = divmod(key, self.of)
-        if len(self) >= 1_000_000:
+        if len(self) >= 200_000:
             self.clear()
         got = self[key] = self.ranks.get(self.pieces[a] + self.pieces[b], -1)
         return got
 
 
 class ByteBpe:
-    """One tokenizer. The queue's bitmaps and buckets are empty between matches."""
+    """One tokenizer. The queue's bitmaps and buckets are empty between calls."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
-        self.ranks, self.find = ranks, regex.compile(pattern).findall
-        self.pieces = {r: b for b, r in ranks.items()}
-        self.single, self.size = [ranks[bytes([i])] for i in range(256)], max(ranks.values()) + 1
+        self.find = regex.compile(pattern).findall
+        self.ranks, self.pieces, self.size = ranks, {r: b for b, r in ranks.items()}, max(ranks.values()) + 1
+        self.single = np.array([ranks[bytes([i])] for i in range(256)])
+        self.couples = np.array([ranks.get(bytes([i, j]), -1) for i in range(256) for j in range(256)])
         self.pairs = _Pairs(ranks, self.pieces, self.size)
-        self.words, self.groups = [0] * (self.size + 64 >> 6), [0] * (self.size + 4096 >> 12)
+        self.words, self.groups, self.top = [0] * (self.size + 64 >> 6), [0] * (self.size + 4096 >> 12), 0
         self.buckets: dict[int, list[int]] = {}
-        self.known = Remembered(self._digest_parts)
-
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of one match."""
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        pairs, size, words, groups, buckets, top = self.pairs, self.size, self.words, self.groups, self.buckets, 0
-        ids = [*map(self.single.__getitem__, piece)]
-        n = len(ids)
-        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        rank_at = [pairs[a * size + b] for a, b in zip(ids, ids[1:])]  # of the pair that starts at a position now
-        rank_at.append(-1)
-        fresh = [(r, i) for i, r in enumerate(rank_at) if r >= 0]
-        while True:
-            for r, i in fresh:
-                bucket = buckets.get(r)
-                if bucket is None:
-                    buckets[r] = [i]
-                    word = r >> 6
-                    words[word] |= 1 << (r & 63)
-                    groups[word >> 6] |= 1 << (word & 63)
-                    top |= 1 << (word >> 6)
+        self.known: dict[str, tuple[str, bytes]] = {}
+        self.older: dict[str, tuple[str, bytes]] = {}
+
+    def _mark(self, rank: int) -> None:
+        word = rank >> 6
+        self.words[word] |= 1 << (rank & 63)
+        self.groups[word >> 6] |= 1 << (word & 63)
+        self.top |= 1 << (word >> 6)
+
+    def _lowest(self) -> int:
+        """The lowest rank that has a bucket, found first-set by first-set, and unmarked; -1 if there is none."""
+        top, groups, words = self.top, self.groups, self.words
+        if not top:
+            return -1
+        group = (top & -top).bit_length() - 1
+        x = groups[group]
+        word = (group << 6) + (x & -x).bit_length() - 1
+        y = words[word]
+        rank = (word << 6) + (y & -y).bit_length() - 1
+        words[word] = y = y & (y - 1)
+        if not y:
+            groups[group] = x = x & (x - 1)
+            if not x:
+                self.top = top & (top - 1)
+        return rank
+
+    def merge(self, matches: list[bytes]) -> list[list[int]]:
+        """Ids of each match (none of them empty)."""
+        sizes = np.fromiter(map(len, matches), np.int64, len(matches))
+        ends = np.cumsum(sizes)
+        data = np.frombuffer(b"".join(matches), np.uint8).astype(np.int64)
+        n = len(data)
+        if not n:
+            return []
+        rank_of = np.full(n, -1)
+        rank_of[:-1] = self.couples[data[:-1] << 8 | data[1:]]
+        rank_of[ends - 1] = -1
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends - 1] = before[ends - sizes] = -1
+        at = np.flatnonzero(rank_of >= 0)
+        at = at[np.argsort(rank_of[at], kind="stable")]
+        starts = np.flatnonzero(np.diff(rank_of[at], prepend=-1))
+        pairs, size, buckets, mark = self.pairs, self.size, self.buckets, self._mark
+        for rank, bucket in zip(rank_of[at[starts]].tolist(), np.split(at, starts[1:]) if len(at) else [], strict=True):
+            buckets[rank] = bucket.tolist()
+            mark(rank)
+        ids, rank_at, after, before = self.single[data].tolist(), rank_of.tolist(), after.tolist(), before.tolist()
+        while (rank := self._lowest()) >= 0:
+            bucket = buckets.pop(rank)
+            bucket.sort()  # nearly sorted as it is
+            for k, i in enumerate(bucket):
+                if rank_at[i] != rank:
+                    continue  # stale
+                j = after[i]
+                ids[i], ids[j], rank_at[j], lower = rank, -1, -1, False
+                far, near = after[j], before[i]
+                after[i] = far
+                if far >= 0:
+                    before[far] = i
+                    r = rank_at[i] = pairs[rank * size + ids[far]]
+                    if r >= 0:
+                        lower = r < rank
+                        if r in buckets:
+                            buckets[r].append(i)
+                        else:
+                            buckets[r] = [i]
+                            mark(r)
                 else:
-                    heappush(bucket, i)
-            if not top:
-                break
-            group = (top & -top).bit_length() - 1  # find-first-set, three levels down
-            x = groups[group]
-            word = (group << 6) + (x & -x).bit_length() - 1
-            y = words[word]
-            rank = (word << 6) + (y & -y).bit_length() - 1
-            bucket = buckets[rank]
-            i = heappop(bucket)
-            if not bucket:
-                del buckets[rank]
-                words[word] = y = y & (y - 1)
-                if not y:
-                    groups[group] = x = x & (x - 1)
-                    if not x:
-                        top &= top - 1
-            fresh = []
-            if rank_at[i] != rank:
-                continue  # stale
-            j = after[i]
-            ids[i], ids[j] = rank, -1
-            k = after[i] = after[j]
-            rank_at[i] = rank_at[j] = -1
-            if k >= 0:
-                before[k] = i
-                r = rank_at[i] = pairs[rank * size + ids[k]]
-                if r >= 0:
-                    fresh.append((r, i))
-            h = before[i]
-            if h >= 0:
-                r = rank_at[h] = pairs[ids[h] * size + rank]
-                if r >= 0:
-                    fresh.append((r, h))
-        return [x for x in ids if x >= 0]
+                    rank_at[i] = -1
+                if near >= 0:
+                    r = rank_at[near] = pairs[ids[near] * size + rank]
+                    if r >= 0:
+                        lower = lower or r < rank
+                        if r in buckets:
+                            buckets[r].append(near)
+                        else:
+                            buckets[r] = [near]
+                            mark(r)
+                if lower and k + 1 < len(bucket):
+                    buckets[rank] = bucket[k + 1 :]
+                    mark(rank)
+                    break
+        ids = np.array(ids)
+        stays = ids >= 0
+        left = np.concatenate([[0], np.cumsum(stays)])[ends].tolist()
+        ids = ids[stays].tolist()
+        return [ids[a:b] for a, b in zip([0, *left], left)]
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for m in self.find(text or "") for i in self.merge(m.encode())]
+        found = self.find(text or "")
+        distinct = list(dict.fromkeys(found))
+        of = dict(zip(distinct, self.merge([m.encode() for m in distinct]), strict=True))
+        return [i for m in found for i in of[m]]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
 
-    def digest(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids in decimal, SHA-256 of what they decode to."""
-        parts = [*map(self.known.__getitem__, self.find(text or ""))]
-        ids, back = ",".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
-        return ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest()
-
-    def _digest_parts(self, match: str) -> tuple[str, bytes]:
-        ids = self.merge(match.encode())
-        return ",".join(map(str, ids)), self.decode(ids)
+    def digests(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
+        """Of each text: number of ids, SHA-256 of the ids in decimal, SHA-256 of what they decode to."""
+        out, some, letters = [], [], 0
+        for t in texts:
+            some.append(t or "")
+            letters += len(some[-1])
+            if letters >= LETTERS:
+                out += self._digests(some)
+                some, letters = [], 0
+        return out + self._digests(some)
+
+    def _digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        found = [self.find(t) for t in texts]
+        distinct = set().union(*found)
+        here = {m: got for m in distinct if (got := self.known.get(m) or self.older.get(m))}
+        new = [m for m in distinct if m not in here]
+        for m, ids in zip(new, self.merge([m.encode() for m in new]), strict=True):
+            here[m] = ",".join(map(str, ids)), self.decode(ids)
+        fresh = {m: got for m, got in here.items() if len(m) <= LONGEST and m not in self.known}
+        if len(self.known) + len(fresh) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        self.known.update(islice(fresh.items(), REMEMBERED))
+        out = []
+        for f in found:
+            parts = [*map(here.__getitem__, f)]
+            ids = ",".join([p[0] for p in parts])
+            out.append((ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(b"".join([p[1] for p in parts])).hexdigest()))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -167,9 +230,9 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_i
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches):
-        of = coder(ranks_path, pattern).digest
+        of = coder(ranks_path, pattern).digests
         for b in batches:
-            n, ids, back = zip(*map(of, b.column(1).to_pylist()), strict=True) if b.num_rows else ((), (), ())
+            n, ids, back = zip(*of(b.column(1).to_pylist()), strict=True) if b.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], schema=schema)
 
     return map_arrow(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
