@@ -4,35 +4,49 @@ Two documents are linked if the Jaccard similarity of their sets of word n-grams
 least ``threshold``.
 
 1. Texts with the same set form a class of copies; its smallest id stands for it.
-2. Each class has ``trees`` x ``depth`` MinHash values. A tree is the trie of the
-   sorted signatures; equal prefixes are found by grouping. Matching starts with whole
-   prefixes and shortens them until a pair at the threshold meets in some tree with
-   probability ``recall`` or more: the longer, the fewer unrelated texts meet.
-3. Classes that share a prefix are joined into candidate components (an edge from each
-   to the smallest of its prefix, then connected components). Each class's text moves
-   once, to its component; components beyond ``cell`` classes are cut by hash into
-   blocks of at most that many on average, and each pair of blocks is a task.
-4. A cell counts exact intersections of all its pairs as a product of incidence
-   matrices. Only the number of links of each class and a spanning forest of the links
-   leave it; classes of near copies are the components of those.
-
-No pair of documents is ever a row, and copies cost one entry per class.
+2. Each class has ``trees`` signatures of ``deepest`` MinHash values of one byte. Rows
+   of one tree that agree in the first values, down to the shallowest depth that the
+   recall can ask for, are one subtree; those of one row go no further.
+3. The signatures of a subtree are sorted, which makes it a prefix trie: the longest
+   common prefix of two is the least of those between neighbours in the order. Matching
+   starts at whole signatures, and prefixes are shortened only while a pair that meets
+   at that length, linked as weakly as the sizes of its sets allow, would be missed
+   with more than 1 - ``recall``: two sets of 10 and 11 n-grams that are linked share
+   at least 0.91, so a longer prefix finds them. ``depth`` is where a class stopped.
+4. A pair belongs to the first tree in which it meets, so it is verified once. Pairs
+   whose signatures agree in so few of all values that a link would do so with
+   probability 1e-9 at most are dropped before any text moves.
+5. Texts move to the subtrees that have pairs of theirs, and sizes of intersections are
+   counted exactly. The number of links of each class and a spanning forest of the
+   links leave; classes of near copies are the connected components of those.
+
+No pair of documents is ever a row, and copies cost one entry per class. Large subtrees
+are cut by hash into blocks of a bounded number of classes and words, and each pair of
+blocks is a cell; cells stand one after the other in sorted partitions.
 
 Defined cases: a text of fewer than n words has one n-gram, all its words; a text
 without words has none, is linked to nothing and is a class of its own; rows of one id
-are taken as rows; a null id stands last; other columns are not looked at.
+are taken as rows; a null id stands last; other columns are not looked at. The plan of
+docs must give the same rows in the same partitions when it runs again (as a table that
+is read does): texts are found again by row number, and a row that is not the one
+sketched is an error.
 """
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from argloom.llm.util import cut, map_arrow, ship
+from argloom.llm.util import cut, map_arrow
 
 U64 = np.uint64
+#: Pairs looked at together, words in a block, and pairs a set from which on intersections are counted by a matrix product.
+PAIRS, WORDS, DENSE = 100_000, 500_000, 4
 
 
 def shingles(text: bytes | None, n: int) -> np.ndarray:
@@ -61,33 +75,59 @@ def depth_for(threshold: float, trees: int, deepest: int, recall: float) -> int:
     return depth
 
 
+def least_similarity(depth: int, trees: int, recall: float) -> float:
+    """The similarity from which on a pair meets at a depth in some tree with probability recall."""
+    return (1 - (1 - recall) ** (1 / trees)) ** (1 / depth)
+
+
+@lru_cache(maxsize=32)
+def least_agreement(values: int, threshold: float, missed: float = 1e-9) -> int:
+    """So many of all values agree for a pair at the threshold, but for a probability ``missed``."""
+    total, k = 0.0, 0
+    while k < values:
+        total += math.exp(math.lgamma(values + 1) - math.lgamma(k + 1) - math.lgamma(values - k + 1) + k * math.log(threshold) + (values - k) * math.log1p(-threshold)) if threshold < 1 else 0.0
+        if total > missed:
+            return k
+        k += 1
+    return values
+
+
+def needed(n: np.ndarray, m: np.ndarray, threshold: float, trees: int, deepest: int, recall: float) -> np.ndarray:
+    """The longest prefix at which sets of n and m n-grams, linked as weakly as they can be, still meet with probability recall; 0 if they cannot be linked."""
+    common = np.ceil(threshold * (n + m) / (1 + threshold) - 1e-9)
+    weakest = common / (n + m - common)
+    depth = np.ones(len(n), np.int64)
+    for d in range(2, deepest + 1):
+        depth[weakest >= least_similarity(d, trees, recall)] = d
+    return np.where(common <= np.minimum(n, m), depth, 0)
+
+
 def sketches(docs: DataFrame, n: int, trees: int, deepest: int, seed: int = 11) -> DataFrame:
-    """Of docs (id, row, t, sha): id, row, sha, set (128-bit digest of the shingle set as text, null without words), sketch (trees x deepest MinHash values)."""
+    """Of docs (id, row, t, sha): id, row, sha, set (128-bit digest of the shingle set as text, null without words), size, words, sketch (trees x deepest MinHash values, one byte each)."""
     rng = np.random.default_rng(seed)
     a = rng.integers(1, 2**63, trees * deepest, dtype=np.uint64) * U64(2) + U64(1)
     b = rng.integers(0, 2**63, trees * deepest, dtype=np.uint64)
-    schema = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("sha", pa.string()), ("set", pa.string()), ("sketch", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("sha", pa.string()), ("set", pa.string()), ("size", pa.int64()), ("words", pa.int64()), ("sketch", pa.binary())])
 
     def run(batches):
         import xxhash
 
         for batch in batches:
-            sets, found = [], []
+            out = []
             for t in batch.column(2).to_pylist():
                 s = shingles(t, n)
                 if not len(s):
-                    sets.append(None)
-                    found.append(None)
+                    out.append((None, 0, 0, None))
                     continue
-                sets.append(xxhash.xxh3_128_hexdigest(s.tobytes()))
                 least = np.full(len(a), 2**32 - 1, np.uint32)
                 for k in range(0, len(s), 4096):
                     h = ((s[k : k + 4096, None] * a + b) >> U64(32)).astype(np.uint32)
                     np.minimum(least, h.min(axis=0), out=least)
-                found.append(least.astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(sets, pa.string()), pa.array(found, pa.binary())], schema=schema)
+                out.append((xxhash.xxh3_128_hexdigest(s.tobytes()), len(s), len(s) + n - 1, (least * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes()))
+            columns = zip(*out, strict=True) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *(pa.array(c, schema.field(k + 3).type) for k, c in enumerate(columns))], schema=schema)
 
-    return map_arrow(docs, run, "id long, row long, sha string, set string, sketch binary")
+    return map_arrow(docs, run, "id long, row long, sha string, set string, size long, words long, sketch binary")
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -135,67 +175,162 @@ def compare(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     return links
 
 
+def cells(batches, bound: int):
+    """Tables of whole cells (rows that agree in key, i and j, which stand together), of ``bound`` rows or more where there are as many."""
+    held, rows = [], 0
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows >= bound:
+            t = pa.Table.from_batches(held)
+            start = last_start(t)
+            if start:
+                yield t.slice(0, start)
+            held, rows = t.slice(start).to_batches(), t.num_rows - start
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
+def last_start(t: pa.Table) -> int:
+    """Where the last cell of a table begins."""
+    same = np.ones(t.num_rows, bool)
+    for c in ("key", "i", "j"):
+        x = t.column(c).to_numpy()
+        same &= x == x[-1]
+    return int(t.num_rows - np.argmin(same[::-1])) if not same.all() else 0
+
+
+class Subtrees:
+    """Cells of subtrees: which of their pairs are candidates, found in sorted signatures."""
+
+    def __init__(self, t: pa.Table, threshold: float, trees: int, deepest: int, recall: float):
+        self.options, self.trees, self.deepest = (threshold, trees, deepest, recall), trees, deepest
+        column = lambda c: t.column(c).to_numpy()
+        self.size, self.block, self.tree = column("size"), column("block"), column("tree")
+        self.cross = column("i") != column("j")  # pairs within a block belong to its own cell
+        self.sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, trees, deepest)
+        key, i, j = (column(c) for c in ("key", "i", "j"))
+        cell = np.zeros(len(key), np.int64)
+        cell[1:] = np.cumsum((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
+        # the tries: rows of a cell in the order of their signatures, and the prefix that each has in common with the row before
+        own = self.sketch[np.arange(len(cell)), self.tree]
+        self.order = np.lexsort((*own.T[::-1], cell))
+        own, self.cell = own[self.order], cell[self.order]
+        common = np.zeros(len(cell), np.int64)
+        common[1:] = np.where(self.cell[1:] == self.cell[:-1], np.logical_and.accumulate(own[1:] == own[:-1], axis=1).sum(axis=1), -1)
+        #: At each depth, the number of the node that a row lies under.
+        self.nodes = np.array([np.cumsum(common < d) for d in range(deepest + 1)])
+
+    def pairs(self):
+        """Some at a time: rows a and b of pairs of a cell, and the depth that each needs."""
+        n = len(self.cell)
+        ends = np.searchsorted(self.cell, self.cell, "right")
+        at = 0
+        while at < n:
+            counts = np.cumsum(ends[at:] - np.arange(at, n) - 1)
+            to = at + max(1, int(np.searchsorted(counts, PAIRS, "right")))
+            many = ends[at:to] - np.arange(at, min(to, n)) - 1
+            a = np.repeat(np.arange(at, min(to, n)), many)
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many)
+            x, y = self.order[a], self.order[b]
+            ok = (self.tree[x] == self.tree[y]) & (~self.cross[x] | (self.block[x] != self.block[y]))
+            a, b, x, y = a[ok], b[ok], x[ok], y[ok]
+            yield a, b, x, y, needed(self.size[x], self.size[y], *self.options)
+            at = to
+
+    def candidates(self):
+        """Some at a time: pairs that meet here at the depth they need and in no tree before, and agree often enough; and the least depth needed by a row."""
+        floor = least_agreement(self.trees * self.deepest, self.options[0])
+        for a, b, x, y, need in self.pairs():
+            meet = np.zeros(len(a), bool)
+            for d in range(self.deepest, 0, -1):  # prefixes get shorter
+                open_ = (need > 0) & (need <= d) & ~meet
+                if not open_.any():
+                    continue
+                meet[open_] = self.nodes[d][a[open_]] == self.nodes[d][b[open_]]
+            shared = need > 0
+            stopped = x[shared], y[shared], need[shared]
+            x, y, need = x[meet], y[meet], need[meet]
+            for t in range(int(self.tree.max(initial=0))):
+                later = self.tree[x] > t
+                if later.any():
+                    lcp = np.logical_and.accumulate(self.sketch[x[later], t] == self.sketch[y[later], t], axis=1).sum(axis=1)
+                    first = np.ones(len(x), bool)
+                    first[later] = lcp < need[later]
+                    x, y, need = x[first], y[first], need[first]
+            often = (self.sketch[x] == self.sketch[y]).sum(axis=(1, 2)) >= floor
+            yield x[often], y[often], stopped
+
+
 def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 20, deepest: int = 8, recall: float = 0.999, cell: int = 256, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, class_id (smallest id of its near-copy component), copy_id (of its class of copies), n_links (rows linked to it), kept (whether it stands for its class), text_sha256."""
-    ship(docs.sparkSession)
-    narrow = docs.select(F.col(doc_id).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("t")).withColumn("sha", F.sha2("t", 256))
-    rows = cut(sketches(narrow, n, trees, deepest))
-    copies = cut(rows.where("set is not null").groupBy("set").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"), F.count("*").alias("members"), F.first("sketch").alias("sketch")))
-    heads = copies.select("set", F.col("first.row").alias("head"), F.col("first.id").alias("head_id"), "members", "sketch")
-
-    # the forest: what shares a prefix in a tree, at the depth that recall asks for
-    depth = depth_for(threshold, trees, deepest, recall)
-    prefix = lambda t: F.xxhash64(F.lit(t), F.substring("sketch", 1 + 4 * deepest * t, 4 * depth))
-    trie = heads.select("head", F.explode(F.array(*[prefix(t) for t in range(trees)])).alias("prefix"))
-    least = trie.groupBy("prefix").agg(F.min("head").alias("least"), F.count("*").alias("n")).where("n > 1")
-    meet = trie.join(least, "prefix").where("head <> least").select(F.col("head").alias("a"), F.col("least").alias("b"))
-    candidates = components(meet)
-
-    # cells: pairs of blocks of a component's classes
-    # a class's block is a hash, so no task has to number a whole component; hot roots in the join are split
-    blocks = candidates.groupBy("root").agg(F.ceil(F.count("*") / cell).cast("int").alias("blocks"))
-    ranked = candidates.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = ranked.join(heads.select(F.col("head").alias("node"), "head_id", "members", "set"), "node")
-    texts = narrow.select("id", "t")
-    # rows are found again by id; where texts share an id, the cell takes the one with the class's set
-    chosen = placed.select("node", "root", "block", "blocks", "members", "set", F.col("head_id").alias("of"))
-    held = texts.join(chosen, F.col("id").eqNullSafe(F.col("of")))
-    cells = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "members", "set", "t"
-    )
-    out_schema = pa.schema([("node", pa.int64()), ("to", pa.int64()), ("links", pa.int64())])
-
-    def verify(group: pa.Table) -> pa.Table:
+    """Per row: doc_id, class_id (smallest id of its near-copy component), copy_id (of its class of copies), n_links (rows linked to it), kept (whether it stands for its class), depth (prefix at which the forest stopped for it), text_sha256."""
+    narrow = docs.select(F.col(doc_id).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("t"))
+    rows = cut(sketches(narrow.withColumn("sha", F.sha2("t", 256)), n, trees, deepest))
+    same = rows.where("set is not null").groupBy("set")
+    copies = cut(same.agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"), F.count("*").alias("members"), F.first("size").alias("size"), F.first("words").alias("words"), F.first("sketch").alias("sketch")))
+    heads = copies.select("set", F.col("first.row").alias("head"), F.col("first.id").alias("head_id"), "members", "size", "words", "sketch")
+
+    # subtrees of more than one row, at the shallowest depth that any pair can need
+    shallowest = depth_for(threshold, trees, deepest, recall)
+    prefix = lambda t: F.xxhash64(F.lit(t), F.substring("sketch", 1 + deepest * t, shallowest))
+    forest = heads.select("head", "words", F.posexplode(F.array(*[prefix(t) for t in range(trees)])).alias("tree", "key"))
+    crowds = forest.groupBy("key").agg(F.count("*").alias("n"), F.sum("words").alias("words")).where("n > 1")
+    crowds = crowds.select("key", F.greatest(F.ceil(F.col("n") / cell), F.ceil(F.col("words") / WORDS)).cast("int").alias("blocks"))
+    placed = forest.drop("words").join(crowds, "key").withColumn("block", F.pmod(F.xxhash64("head"), F.col("blocks")).cast("int"))
+    split = placed.select("key", "tree", "head", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    split = split.select("key", "tree", "head", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    sketched = split.join(heads.select("head", "size", "sketch"), "head")
+    together = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    options = threshold, trees, deepest, recall
+    meets_schema = pa.schema([("key", pa.int64()), ("tree", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("head", pa.int64()), ("block", pa.int32()), ("depth", pa.int32()), ("meets", pa.bool_())])
+
+    def meet(batches):
+        for t in cells(batches, 2000):
+            depth, meets = np.full(t.num_rows, deepest), np.zeros(t.num_rows, bool)
+            for x, y, (a, b, need) in Subtrees(t, *options).candidates():
+                meets[x] = meets[y] = True
+                np.minimum.at(depth, a, need)
+                np.minimum.at(depth, b, need)
+            keep = pa.array(meets | (depth < deepest))
+            yield from t.select(["key", "tree", "i", "j", "head", "block"]).append_column("depth", pa.array(depth)).append_column("meets", pa.array(meets)).filter(keep).cast(meets_schema).to_batches()
+
+    met = cut(map_arrow(together(sketched), meet, "key long, tree int, i int, j int, head long, block int, depth int, meets boolean"))
+    depths = met.groupBy("head").agg(F.min("depth").alias("depth"))
+
+    # texts of classes that have pairs, in the cells that have them
+    wanted = met.where("meets").drop("depth", "meets").join(heads.select("head", "members", "size", "sketch", "set"), "head")
+    texts = wanted.join(narrow.select(F.col("row").alias("head"), "t"), "head")
+    found_schema = pa.schema([("node", pa.int64()), ("to", pa.int64()), ("links", pa.int64())])
+
+    def verify(batches):
         import xxhash
 
-        first, sets = {}, {}
-        node, block, members = group.column("node").to_pylist(), group.column("block").to_pylist(), group.column("members").to_pylist()
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        for k, (x, t, s) in enumerate(zip(node, group.column("t").to_pylist(), group.column("set").to_pylist(), strict=True)):
-            if x not in first and xxhash.xxh3_128_hexdigest((own := shingles(t, n)).tobytes()) == s:
-                first[x], sets[x] = k, own
-        at = sorted(first.values(), key=lambda k: node[k])
-        links = compare([sets[node[k]] for k in at], threshold)
-        here, weight = np.array([block[k] for k in at]), np.array([members[k] for k in at])
-        if i != j:  # pairs within a block belong to its own cell
-            links &= here[:, None] != here[None, :]
-        counts = links @ weight
-        out, root = [], list(range(len(at)))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        for x, y in zip(*np.nonzero(np.triu(links)), strict=True):
-            a, b = find(int(x)), find(int(y))
-            if a != b:
-                root[b] = a
-                out.append((node[at[x]], node[at[y]], 0))
-        out += [(node[at[x]], None, int(c)) for x, c in enumerate(counts) if c]
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 3, out_schema, strict=True)], schema=out_schema)
-
-    found = cut(cells.groupBy("root", "i", "j").applyInArrow(verify, "node long, to long, links long"))
+        for t in cells(batches, 200):
+            sets = [shingles(x.as_py(), n) for x in t.column("t")]
+            if any(xxhash.xxh3_128_hexdigest(own.tobytes()) != s for own, s in zip(sets, t.column("set").to_pylist(), strict=True)):
+                raise RuntimeError("a row is not the one that was sketched: the plan of docs gave other rows when it ran again")
+            node, members = t.column("head").to_numpy(), t.column("members").to_numpy()
+            counts, root, out = np.zeros(len(sets), np.int64), list(range(len(sets))), []
+
+            def find(x: int) -> int:
+                while root[x] != x:
+                    root[x] = x = root[root[x]]
+                return x
+
+            for x, y, _ in Subtrees(t, *options).candidates():
+                linked = similar(sets, x, y, threshold)
+                np.add.at(counts, x[linked], members[y[linked]])
+                np.add.at(counts, y[linked], members[x[linked]])
+                for k, m in zip(x[linked].tolist(), y[linked].tolist(), strict=True):
+                    a, b = find(k), find(m)
+                    if a != b:
+                        root[b] = a
+                        out.append((node[k], node[m], None))
+            out += [(node[k], None, counts[k]) for k in np.flatnonzero(counts)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), found_schema, strict=True)], schema=found_schema)
+
+    found = cut(map_arrow(together(texts), verify, "node long, to long, links long"))
     linked = found.where("to is null").groupBy("node").agg(F.sum("links").alias("links"))
     near = components(found.where("to is not null").select(F.col("node").alias("a"), F.col("to").alias("b")))
     ids = heads.select(F.col("head").alias("root_row"), F.col("head_id").alias("root_id"))
@@ -203,16 +338,32 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 20, d
     classes = near.join(least_id, "root").select("node", F.col("best.root_id").alias("class_id"), F.col("best.node").alias("keeper"))
     per_head = (
         heads.join(classes, F.col("head") == F.col("node"), "left").drop("node")
-        .join(linked, F.col("head") == F.col("node"), "left")
-        .select("set", "head", F.col("head_id").alias("copy_id"), F.when(F.col("keeper").isNull(), F.col("head_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("keeper", "head").alias("keeper"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"))
+        .join(linked, F.col("head") == F.col("node"), "left").drop("node")
+        .join(depths.withColumnRenamed("head", "node"), F.col("head") == F.col("node"), "left")
+        .select("set", "head", F.col("head_id").alias("copy_id"), F.when(F.col("keeper").isNull(), F.col("head_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("keeper", "head").alias("keeper"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"), "depth")
     )
     alone = F.col("head").isNull()
     return rows.select("id", "row", "sha", "set").join(per_head, "set", "left").select(
         F.col("id").alias("doc_id"), F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("id")).otherwise(F.col("copy_id")).alias("copy_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("row") == F.col("keeper"), F.lit(True)).alias("kept"), F.col("sha").alias("text_sha256"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("row") == F.col("keeper"), F.lit(True)).alias("kept"), F.coalesce("depth", F.lit(deepest)).cast("long").alias("depth"), F.col("sha").alias("text_sha256"),
     )
 
 
+def similar(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the pairs are linked, by exact sizes of intersections: by a matrix product where pairs are many, else one by one."""
+    out = np.zeros(len(x), bool)
+    touched = np.unique(np.concatenate([x, y]))
+    if len(x) > DENSE * len(touched) and len(touched) <= 1024:
+        links = compare([sets[k] for k in touched], threshold)
+        return links[np.searchsorted(touched, x), np.searchsorted(touched, y)]
+    for k, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+        one, two = sets[a], sets[b]
+        at = np.searchsorted(one, two)
+        common = int((one[np.minimum(at, len(one) - 1)] == two).sum())
+        out[k] = common >= threshold * (len(one) + len(two) - common) - 1e-9
+    return out
+
+
 def dedup(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that stand for their near-copy class; rows with the id and text of one that stays stay with it."""
     kept = join(docs, **options).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
