@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from argloom.llm.util import cut, map_arrow
+from argloom.llm.util import attach, by_row, cut, map_arrow
 
 U64 = np.uint64
 #: Pairs looked at together, words in a block, and pairs a set from which on intersections are counted by a matrix product.
@@ -262,8 +262,13 @@ class Subtrees:
             yield x[often], y[often], stopped
 
 
-def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 20, deepest: int = 8, recall: float = 0.999, cell: int = 256, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, class_id (smallest id of its near-copy component), copy_id (of its class of copies), n_links (rows linked to it), kept (whether it stands for its class), depth (prefix at which the forest stopped for it), text_sha256."""
+def join(docs: DataFrame, **options) -> DataFrame:
+    """Per row of docs: doc_id, class_id (smallest id of its near-copy component), copy_id (of its class of copies), n_links (rows linked to it), kept (whether it stands for its class), depth (prefix at which the forest stopped for it), text_sha256."""
+    return _join(docs, **options).drop("row")
+
+
+def _join(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 20, deepest: int = 8, recall: float = 0.999, cell: int = 256, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """What ``join`` returns, and the number of each row."""
     narrow = docs.select(F.col(doc_id).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("t"))
     rows = cut(sketches(narrow.withColumn("sha", F.sha2("t", 256)), n, trees, deepest))
     same = rows.where("set is not null").groupBy("set")
@@ -336,16 +341,16 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 20, d
     ids = heads.select(F.col("head").alias("root_row"), F.col("head_id").alias("root_id"))
     least_id = near.join(ids, F.col("node") == F.col("root_row")).groupBy("root").agg(F.min(F.struct(F.col("root_id").isNull().alias("none"), "root_id", "node")).alias("best"))
     classes = near.join(least_id, "root").select("node", F.col("best.root_id").alias("class_id"), F.col("best.node").alias("keeper"))
-    per_head = (
+    per_head = cut(
         heads.join(classes, F.col("head") == F.col("node"), "left").drop("node")
         .join(linked, F.col("head") == F.col("node"), "left").drop("node")
         .join(depths.withColumnRenamed("head", "node"), F.col("head") == F.col("node"), "left")
-        .select("set", "head", F.col("head_id").alias("copy_id"), F.when(F.col("keeper").isNull(), F.col("head_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("keeper", "head").alias("keeper"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"), "depth")
+        .select("set", "members", F.col("head_id").alias("copy_id"), F.when(F.col("keeper").isNull(), F.col("head_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("keeper", "head").alias("keeper"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"), "depth")
     )
-    alone = F.col("head").isNull()
-    return rows.select("id", "row", "sha", "set").join(per_head, "set", "left").select(
+    alone = F.col("keeper").isNull()
+    return attach(rows.select("id", "row", "sha", "set"), per_head, "set", "members").select(
         F.col("id").alias("doc_id"), F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("id")).otherwise(F.col("copy_id")).alias("copy_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("row") == F.col("keeper"), F.lit(True)).alias("kept"), F.coalesce("depth", F.lit(deepest)).cast("long").alias("depth"), F.col("sha").alias("text_sha256"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("row") == F.col("keeper"), F.lit(True)).alias("kept"), F.coalesce("depth", F.lit(deepest)).cast("long").alias("depth"), F.col("sha").alias("text_sha256"), "row",
     )
 
 
@@ -365,7 +370,5 @@ def similar(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, threshold: flo
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stand for their near-copy class; rows with the id and text of one that stays stay with it."""
-    kept = join(docs, **options).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    row = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row")).withColumn("__key", F.sha2(F.coalesce(F.col("__row.text").cast("binary"), F.lit(b"")), 256))
-    return row.join(kept, F.col("__row.doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__sha")), "left_semi").select("__row.*")
+    """The rows of docs that stand for their near-copy class; further rows of the id and text of one that stays go like other copies."""
+    return by_row(docs, _join(docs, **options).where("kept").select("row", F.col("text_sha256").alias("sha")), F.coalesce(F.col("__row.text"), F.lit("")))

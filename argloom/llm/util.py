@@ -38,6 +38,27 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, share: int = 1000) -> DataFrame:
+    """rows with the columns of groups (one row a key; ``size``: its number of rows), nulls where a key has none.
+
+    Groups that hold a ``share``-th of all rows or more are ``share`` at most, so they are
+    broadcast, and no task gets all rows of one. Both sides should be cut.
+    """
+    total = max(1, rows.count())
+    hot = F.broadcast(groups.where(F.col(size) * share >= total))
+    rest = rows.join(hot.select(key), key, "left_anti")
+    return rest.join(groups, key, "left").unionByName(rows.join(hot, key))
+
+
+def by_row(docs: DataFrame, kept: DataFrame, digested: Column) -> DataFrame:
+    """The rows of docs whose number is in kept (row, sha), moved once; ``digested`` is the text of ``__row`` that sha digests, and another one is an error."""
+    numbered = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row"), F.monotonically_increasing_id().alias("__n"))
+    joined = numbered.join(kept.select(F.col("row").alias("__n"), F.col("sha").alias("__sha")), "__n")
+    same = F.sha2(digested.cast("binary"), 256) == F.col("__sha")
+    checked = F.when(same, F.col("__row")).otherwise(F.raise_error(F.lit("the plan of docs gave other rows when it ran again")))
+    return joined.select(checked.alias("__row")).select("__row.*")
+
+
 def n_words(text: Column) -> Column:
     """Number of words; null and empty texts have none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -46,7 +67,7 @@ def n_words(text: Column) -> Column:
 class Remembered(dict):
     """Results by key, in two generations of at most ``limit`` keys: what is used again outlives what is not. Long keys are not held."""
 
-    def __init__(self, of: Callable, limit: int = 250_000, longest: int = 40):
+    def __init__(self, of: Callable, limit: int = 100_000, longest: int = 40):
         self.of, self.limit, self.longest, self.old = of, limit, longest, {}
 
     def __missing__(self, key):
