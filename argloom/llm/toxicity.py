@@ -12,7 +12,9 @@ terms that they cover stand beside them, so that an error in the beginning is fo
 reporting words in it tell quoting from abuse. A logistic model over the matches of
 the sample gives the score.
 
-The sample and the lexicon are the only things sent around; both have fixed bounds.
+The sample and what is learned from it are the only things sent around. The lexicon holds
+every term that passes the test, so the sample alone bounds it: a term needs some
+distinct toxic neighbourhoods of its own in those rows.
 Scoring is one pass over all whole texts without a shuffle.
 
 Defined cases: null and empty texts get the score of a text without matches; without
@@ -34,8 +36,8 @@ from pyspark.sql import functions as F
 
 from argloom.llm.util import Remembered, cut, map_arrow
 
-#: At most so many labelled rows are learned from, words are tested in a second look, and terms are in the lexicon besides those under a stem.
-SAMPLE, CANDIDATES, TERMS = 20_000, 6_000, 500
+#: At most so many labelled rows are learned from.
+SAMPLE = 20_000
 #: Lengths of word beginnings tested, what ends the name of one, and the share of toxic places and the number of different words that one needs.
 STEMS, OPEN = (4, 5, 6), "*"
 STEM_SHARE, STEM_WORDS = 0.998, 3
@@ -179,8 +181,8 @@ def training(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     return cut(docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("text", "toxic"))  # at most ``sample`` rows of 12 bytes
 
 
-def learn_lexicon(train: DataFrame, terms: int = TERMS) -> list[tuple[str, float]]:
-    """(term, strength in 0 to 1) of words that mark toxic texts."""
+def learn_lexicon(train: DataFrame, terms: int | None = None) -> list[tuple[str, float]]:
+    """(term, strength in 0 to 1) of words that mark toxic texts, all of them unless a caller asks for the first few only (those under a stem come besides)."""
     seen_schema = pa.schema([("word", pa.string()), ("bad", pa.int64()), ("n", pa.int64())])
 
     def seen(batches):
@@ -200,9 +202,7 @@ def learn_lexicon(train: DataFrame, terms: int = TERMS) -> list[tuple[str, float
     base = totals.bad / totals.n
     rows = cut(words.where("n >= 2"))
     tried = rows.count()
-    share = F.col("bad") / F.col("n")
-    gain = F.col("n") * (share * F.log(share / base) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0))
-    picked = rows.where((F.col("bad") >= 3) & (share >= max(0.5, 2 * base))).withColumn("gain", gain).orderBy(F.desc("gain"), "word").limit(CANDIDATES).collect()
+    picked = rows.where((F.col("bad") >= 3) & (F.col("bad") / F.col("n") >= max(0.5, 2 * base))).select("word").collect()  # of the sample's words
     candidates = {r.word for r in picked}
     around_schema = pa.schema([("word", pa.string()), ("around", pa.int64()), ("toxic", pa.int32()), ("form", pa.int64())])
 
@@ -217,7 +217,7 @@ def learn_lexicon(train: DataFrame, terms: int = TERMS) -> list[tuple[str, float
 
     places = map_arrow(train, around, "word string, around long, toxic int, form long").distinct()
     chosen = []
-    for r in places.groupBy("word").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"), F.count_distinct("form").alias("forms")).collect():  # at most CANDIDATES rows
+    for r in places.groupBy("word").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"), F.count_distinct("form").alias("forms")).collect():  # a row a candidate
         share = r.bad / r.n
         if share >= max(0.5, 2 * base):
             gain = r.n * (share * math.log(share / base) + ((1 - share) * math.log((1 - share) / (1 - base)) if share < 1 else 0))
@@ -228,7 +228,7 @@ def learn_lexicon(train: DataFrame, terms: int = TERMS) -> list[tuple[str, float
     kept = [(w, s) for _, w, s, _ in sorted(chosen) if (w.rstrip(OPEN) in stems if w.endswith(OPEN) else w not in stems) and not shorter(w.rstrip(OPEN))]
     kept = kept[:terms]
     stems &= {w.rstrip(OPEN) for w, _ in kept if w.endswith(OPEN)}
-    # terms under a stem stand for their misspellings only and take no place of another; all are among the CANDIDATES
+    # terms under a stem stand for their misspellings
     return kept + [(w, s) for _, w, s, _ in sorted(chosen) if not w.endswith(OPEN) and any(w[:k] in stems for k in STEMS)]
 
 
