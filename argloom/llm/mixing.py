@@ -13,7 +13,7 @@ by md5 of seed and id; a histogram of its leading 12 bits finds where each sourc
 cut falls, so that no task ever sorts a whole source.
 
 Defined cases: a null text counts 0 words; null is a source of its own, last in the
-order; a source of size 0 has target 0; an empty table gives an empty result;
+order; a source of size 0 has target 0, and none of its rows is taken; an empty table gives an empty result;
 repeated rows each count and are each decided on. Other columns are not looked at.
 """
 
@@ -71,7 +71,8 @@ def copies(sized: DataFrame, target: DataFrame, seed: int = 17) -> DataFrame:
     )
     upto = Window.partitionBy("src", "slot").orderBy("order", "id", "size", *further).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.col("slot_start") + F.col("in_slot")
-    once_more = (2 * end - F.col("size") <= 2 * F.col("need")).cast("long")  # the row at the cut counts if that comes nearer
+    # the row at the cut counts if that comes nearer; where nothing is needed, not even rows without words come once more
+    once_more = ((F.col("need") > 0) & (2 * end - F.col("size") <= 2 * F.col("need"))).cast("long")
     return (
         keyed.withColumn("in_slot", F.sum("size").over(upto))
         .join(plan, F.col("src").eqNullSafe(F.col("of")) & (F.col("slot") == F.col("at")))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
 import pathlib
 import shutil
@@ -10,6 +12,7 @@ import tempfile
 import zipfile
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +21,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of its own only where the session names none (tests, one machine)."""
+    """The folder that driver and executors share; one of its own only where the session names none and all run on one machine (tests)."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = os.path.join(tempfile.gettempdir(), "argloom-checkpoints")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
@@ -100,7 +105,32 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(sc.applicationId)
 
 
+#: Bytes of a batch that Python works on at a time.
+SLICE = 4 << 20
+
+
+def slices(batches):
+    """Batches in parts of about SLICE bytes, one row at least."""
+    for b in batches:
+        step = max(1, b.num_rows * SLICE // max(1, b.nbytes))
+        for k in range(0, max(1, b.num_rows), step):
+            yield b.slice(k, step)
+
+
+def release() -> None:
+    """Gives memory that a task has freed back to the machine: workers live on and serve other tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
 
+    def whole(batches):
+        try:
+            yield from run(slices(batches))
+        finally:
+            release()
+
+    return df.mapInArrow(whole, schema)

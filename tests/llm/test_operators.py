@@ -427,3 +427,10 @@ def test_sample_takes_what_the_mix_says_of_rows_that_share_an_id(spark):
     assert +want == +texts and want["small"] > 12
     assert mixing.sample(docs).columns == docs.columns
     assert max(Counter(r.text for r in mixing.sample(docs).where("source = 'small'").collect()).values()) == 3
+
+
+def test_rows_without_words_keep_within_the_epochs(spark):
+    rows = [(i, "" if i % 3 else "a b", "s" if i < 30 else "t") for i in range(40)] + [(100, "x " * 500, "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert max(r["copies"] for r in mixing.mix(docs).collect()) <= 3
+    assert max(Counter(r.doc_id for r in mixing.sample(docs).collect()).values()) <= 3
