@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of its own only where the session names none."""
+    """The folder that driver and executors share; one of its own only where the session names none and all run on one machine."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or os.path.join(tempfile.gettempdir(), "argloom-checkpoints")
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = os.path.join(tempfile.gettempdir(), "argloom-checkpoints")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
     return named
