@@ -36,7 +36,7 @@ from argloom.llm.util import map_arrow
 
 
 #: Letters of texts cut at a time, matches remembered in each of two generations, and the letters of the longest that is.
-LETTERS, REMEMBERED, LONGEST = 1 << 20, 120_000, 32
+LETTERS, REMEMBERED, LONGEST = 1 << 20, 250_000, 32
 
 
 class _Pairs(dict):
