@@ -8,25 +8,29 @@ projection: no shuffle, no Python. Output: one row per segment.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from argloom.functions import cues
-from argloom.functions.text import neutralise_enumerations
+from argloom.functions.text import fold
 
 LEAST = 6
 CUT, GLUE = "\\u0001", "\u0001\u0002"
 IN = r"[^\u0001]"
 #: A search inside a piece starts at the piece or after the cut before, nowhere else: long pieces are walked once.
 FROM = r"(?:\G|(?<=\u0001))"
-SPANS = "ARRAY<STRUCT<start: INT, end: INT>>"
+#: What a ranking looks like in folded text.
+RANKS = "(?U)" + "|".join([r"(?<!\w)(?:" + "|".join(sorted(cues.RANKING_FOLDED, key=len, reverse=True)) + r")(?!\w)", cues.COMPARATIVE_FOLDED, cues.ELIDED_WINNER_FOLDED, cues.ELIDED_LOSER_FOLDED])
 
 
 def marked(text: Column) -> Column:
     """The text with its cuts marked; the marks themselves have no length."""
     b, f = cues.BLANKS, cues.FLAGS
-    t = F.translate(neutralise_enumerations(text), "\u0001\u0002", "  ")
-    t = F.regexp_replace(t, rf"^[{b}]+|\n[{b}]*", f"{GLUE}$0\u0001")
+    # the number or letter that heads a line is glue like the blanks around it
+    head = r"(?:\d{1,3}|[a-z]|[ivxl]{2,5})[.)°](?=[\ \t\u00a0\u202f]+\S)"
+    t = F.regexp_replace(text, rf"\A(?:[{b}]+(?:(?<=[\n\ \t\u00a0\u202f]){head}[{b}]*)?|{head}[{b}]*)|\n[{b}]*(?:{head}[{b}]*)?", f"{GLUE}$0\u0001")
     # sentences: not after an abbreviation, a lone letter or a number, and not before a small letter
     t = F.regexp_replace(t, rf"{f}(?=[.!?;])(?<!(?:\b\w|\b\d{{1,9}}|\b(?:{cues.ABBREVIATIONS}))\.?\s{{0,4}})([.!?;][\"'»)\]]*)([\s&&[^\n]]++)(?-i:(?!\p{{Ll}}))", f"$1{GLUE}$2\u0001")
     # commas and colons with enough on both sides, the mark staying on the left
@@ -37,67 +41,105 @@ def marked(text: Column) -> Column:
     return F.regexp_replace(t, rf"{f}(?:^|(?<=\u0001))(?=\s*{cues.CONDITIONAL_HEAD})({IN}{{{LEAST},}}?)(\b(?:alors|then)\b)(?={IN}{{{LEAST}}})", f"$1{GLUE}$2\u0001")
 
 
-def spans(text: Column) -> Column:
-    """Array of {start, end} of a text's segments: trimmed, long enough, insertions joined to what they complete."""
-    b = cues.BLANKS
-    head = rf"^[{b}]*(?:(?:\d{{1,3}}|[a-z]|[ivxl]{{1,5}})[.)°][{b}]+(?=\S))?"
-
-    # lengths are worked out in transforms, so that each pattern runs once a piece
-    sized = F.transform(F.split(marked(text), CUT, -1), lambda p: F.struct(p.alias("p"), p.startswith("\u0002").alias("glue"), F.length(F.regexp_extract(p, head, 0)).alias("lead")))
-    measured = F.transform(
-        F.transform(sized, lambda x: F.struct(x["glue"].alias("glue"), (F.length(x["p"]) - x["glue"].cast("int")).alias("n"), x["lead"].alias("lead"), F.when(x["glue"], "").otherwise(F.substr(x["p"], x["lead"] + 1)).alias("rest"))),
-        lambda x: F.struct(x["glue"].alias("glue"), x["n"].alias("n"), x["lead"].alias("lead"), (F.length(x["rest"]) - F.length(F.rtrim(x["rest"], F.lit(" \t\r\n\u00a0\u202f.,;:")))).alias("tail"), x["rest"].rlike(f"{cues.FLAGS}^{cues.INSERTION}").alias("inserted")),
-    )
+#: Elements folded one after the other in a running fold; their totals are folded in turn, so the work stays near the array's length.
+STRIDE = 128
 
-    def step(a: Column, x: Column) -> Column:
-        one = F.array(F.struct((a["at"] + x["lead"]).alias("start"), (a["at"] + x["n"] - x["tail"]).alias("end"), x["inserted"].alias("inserted")))
-        kept = ~x["glue"] & (x["n"] - x["lead"] - x["tail"] >= LEAST)
-        return F.struct((a["at"] + x["n"]).alias("at"), F.when(kept, F.concat(a["out"], one)).otherwise(a["out"]).alias("out"))
 
-    empty = F.expr("CAST(array() AS ARRAY<STRUCT<start: INT, end: INT, inserted: BOOLEAN>>)")
-    raw = F.aggregate(measured, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda a: a["out"])
+def folded(ints: Column, over: Callable[[Column, Column], Column]) -> Column:
+    """{at: the fold of ints from 0, out: what it was before each}."""
+    first = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS ARRAY<INT>)").alias("out"))
+    return F.aggregate(ints, first, lambda a, n: F.struct(over(a["at"], n).cast("int").alias("at"), F.array_append(a["out"], a["at"]).alias("out")))
 
-    def join(out: Column, s: Column) -> Column:
-        last = F.element_at(out, -1)
-        weak = F.when((F.size(out) > 0) & s["inserted"], F.substr(text, last["end"] + 1, s["start"] - last["end"]).rlike(rf"^[{b},:]*$")).otherwise(F.lit(False))
-        joined = F.array(F.struct(last["start"].alias("start"), s["end"].alias("end")))
-        return F.when(weak, F.concat(F.slice(out, 1, F.size(out) - 1), joined)).otherwise(F.concat(out, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))))
 
-    return F.aggregate(raw, F.expr(f"CAST(array() AS {SPANS})"), join)
+def measured(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, text and pieces: the text's pieces with their places and what each adds to what is counted along the text."""
+    b = cues.BLANKS
+    head = rf"^[{b}]*(?:(?:\d{{1,3}}|[a-z]|[ivxl]{{1,5}})[.)°][{b}]+(?=\S))?"
+    df = docs.select(F.col(doc_id).alias("doc_id"), F.translate(F.coalesce(F.col(text), F.lit("")), "\u0001\u0002", "  ").alias("text"))
+    df = df.withColumn("x", F.split(marked(F.col("text")), CUT, -1))
+    # lengths are worked out in transforms, so that each pattern runs once a piece
+    df = df.withColumn("x", F.transform("x", lambda p: F.struct(p.startswith("\u0002").alias("glue"), F.when(p.startswith("\u0002"), F.substr(p, F.lit(2))).otherwise(p).alias("p"))))
+    df = df.withColumn("x", F.transform("x", lambda x: F.struct(x["glue"].alias("glue"), x["p"].alias("p"), F.length(x["p"]).alias("n"), F.when(x["glue"], 0).otherwise(F.length(F.regexp_extract(x["p"], head, 0))).alias("lead"))))
+    df = df.withColumn("x", F.transform("x", lambda x: F.struct(x["glue"].alias("glue"), x["p"].alias("p"), x["n"].alias("n"), x["lead"].alias("lead"), F.when(x["glue"], "").otherwise(F.substr(x["p"], x["lead"] + 1)).alias("rest"))))
+    marks = lambda t: F.length(F.regexp_extract(t, r"(?s)\A.*[.!?\n]", 0))
+    df = df.withColumn("x", F.transform("x", lambda x: F.struct(
+        x["glue"].alias("glue"), x["p"].alias("p"), x["n"].alias("n"), x["lead"].alias("lead"), (F.length(x["rest"]) - F.length(F.rtrim(x["rest"], F.lit(" \t\r\n\u00a0\u202f.,;:")))).alias("tail"),
+        x["rest"].rlike(f"{cues.FLAGS}^{cues.INSERTION}").alias("inserted"), marks(x["p"]).alias("mark"), F.when(x["lead"] > 0, marks(F.substr(x["p"], F.lit(1), x["lead"]))).otherwise(0).alias("lead_mark"),
+        (F.trim(F.translate(x["p"], "\t\r\n", "   ")) != "").cast("int").alias("full"), (x["glue"] & x["p"].contains("\n\n")).alias("block"),
+    )))
+
+    add = lambda a, n: a + n
+    df = ran(ran(df, "at", ["x"], lambda z: z["x"]["n"], add), "filled", ["x"], lambda z: z["x"]["full"], add)
+    df = ran(df, "opened", ["x", "at"], lambda z: F.when(z["x"]["mark"] > 0, z["at"] + z["x"]["mark"]).otherwise(0), F.greatest)
+    # a block counts if it holds anything: if more is filled than at the block's end before
+    df = ran(df, "ended", ["x", "filled"], lambda z: F.when(z["x"]["block"], z["filled"]).otherwise(0), F.greatest)
+    df = ran(df, "paragraph", ["x", "filled", "ended"], lambda z: (z["x"]["block"] & (z["filled"] > z["ended"])).cast("int"), add)
+    # speakers' names open lines; a turn goes on until the next
+    last = F.concat(F.array(F.lit("\n")), F.transform("x", lambda x: F.right(x["p"], F.lit(1))))
+    opens = lambda z: (z["at"] == 0) | (z["last"] == "\n")
+    name = lambda z: F.when(~z["x"]["glue"] & opens(z), F.nullif(F.regexp_extract(z["x"]["p"], cues.SPEAKER, 1), F.lit("")))
+    named = F.transform(F.slice(F.arrays_zip("x", "at", last.alias("last")), 1, F.size("x")), name)
+    df = df.withColumn("name", F.when(F.regexp_like("text", F.lit(cues.SPEAKER)), named).otherwise(F.expr("CAST(array() AS ARRAY<STRING>)")))
+    df = df.withColumn("cast", F.array_distinct(F.filter("name", lambda x: x.isNotNull())))
+    df = df.withColumn("turn", F.transform("name", lambda x, i: F.when(x.isNotNull(), i + 1).otherwise(0)))
+    df = ran(df, "earlier", ["turn"], lambda z: z["turn"], F.greatest)
+    return df.select("doc_id", "text", "cast", "name", F.arrays_zip("x", "at", "opened", "paragraph", F.transform(F.arrays_zip("turn", "earlier"), lambda z: F.greatest(z["turn"], z["earlier"])).alias("turn")).alias("x"))
+
+
+def ran(df: DataFrame, name: str, of: list[str], value: Callable[[Column], Column], over: Callable[[Column, Column], Column]) -> DataFrame:
+    """df with an array of what a fold over a value of each element of zipped arrays gives before it.
+
+    Arrays are zipped and not looked up by place: the optimizer would move what makes a
+    column that is used once into the function, to be worked out anew for each element.
+    """
+    df = df.withColumn("v", F.transform(F.arrays_zip(*of), value))
+    df = df.withColumn("v", F.transform(F.sequence(F.lit(0), F.floor(F.size("v") / STRIDE).cast("int")), lambda k: F.slice("v", k * STRIDE + 1, STRIDE)))
+    df = df.withColumn("v", F.transform("v", lambda part: folded(part, over)))
+    df = df.withColumn("base", folded(F.transform("v", lambda p: p["at"]), over)["out"])
+    return df.withColumn(name, F.flatten(F.transform(F.arrays_zip("v", "base"), lambda z: F.transform(z["v"]["out"], lambda n: over(z["base"], n).cast("int"))))).drop("v", "base")
 
 
 def segments(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, seg_no (from 1), start, end, seg_text, gap (text since the segment before), prefix_end (last mark before), sentence, sentence_open, paragraph, speaker."""
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = base.withColumn("spans", spans(F.col("text"))).withColumn("names", F.regexp_extract_all("text", F.lit(cues.SPEAKER), F.lit(1)))
-    # places that bound sentences, paragraphs and turns, each found in one walk over the text
-    blocks = F.split("text", "\n\n", -1)
-    found = found.select(
-        "*", ends(F.split("text", r"[.!?\n]", -1)).alias("opens"), ends(F.split("text", r"[.\n]", -1)).alias("closes"),
-        F.when(F.col("text").contains("\n\n"), F.filter(F.arrays_zip(ends(blocks, 2).alias("at"), F.transform(blocks, lambda x: F.trim(F.translate(x, "\t\r\n", "   ")) != "").alias("full")), lambda x: x["full"])).alias("blocks"),
-        F.when(F.size("names") > 0, ends(F.split("text", r"(?md)^(?=[A-ZÉÈÀÂÎÔÛ][A-ZÉÈÀÂÎÔÛ\-]+\s*\.)", -1), 0)).alias("turns"), F.regexp_like("text", F.lit(f"^{cues.SPEAKER.removeprefix('(?md)^')}")).alias("speaks_first"),
-    )
-    one = found.select("*", F.posexplode("spans").alias("pos", "span")).select(
-        "*", (F.col("pos") + 1).alias("seg_no"), F.col("span.start").alias("start"), F.col("span.end").alias("end"),
-        F.when(F.col("pos") > 0, F.get("spans", F.col("pos") - 1)["end"]).otherwise(F.lit(0)).alias("last_end"),
-    )
-    one = one.withColumn("gap", F.substr("text", F.col("last_end") + 1, F.col("start") - F.col("last_end"))).withColumn("bare_gap", F.rtrim("gap", F.lit(" \t\r\n")))
-    opening = F.coalesce(F.array_max(F.filter("opens", lambda x: x <= F.col("start"))), F.lit(0))
-    closing = F.coalesce(F.array_min(F.filter("closes", lambda x: x > F.col("end"))), F.length("text"))
-    # the pieces before turns: an empty first one if a label opens the text, which Java leaves out
-    turn = F.when(F.col("turns").isNull(), F.lit(0)).otherwise(F.size(F.filter("turns", lambda x: x <= F.col("start"))) - F.when(F.col("turns")[F.size("turns") - 1] <= F.col("start"), 1).otherwise(0) + F.col("speaks_first").cast("int"))
-    return one.select(
-        "doc_id", "seg_no", "start", "end", F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("seg_text"), "gap",
-        F.when(F.col("bare_gap") != "", F.right("bare_gap", F.lit(1))).when(F.col("last_end") > 0, F.substr("text", F.col("last_end"), F.lit(1))).otherwise("").alias("prefix_end"),
-        F.substr("text", opening + 1, closing - opening).alias("sentence"), opening.alias("sentence_open"),
-        F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(F.size(F.filter("blocks", lambda x: x["at"] <= F.col("start")))).alias("paragraph"),
-        F.when(turn > 0, F.array_position(F.array_distinct("names"), F.get("names", turn - 1)) - 1).otherwise(F.lit(0)).cast("int").alias("speaker"),
-    )
-
-
-def ends(parts: Column, mark: int = 1) -> Column:
-    """Where each part but the last ends, the mark after it included; then the end of the text and the mark."""
-    return F.aggregate(
-        F.transform(parts, lambda p: F.length(p) + mark), F.expr("CAST(array() AS ARRAY<INT>)"),
-        lambda a, n: F.array_append(a, F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + n),
-    )
+    """doc_id, seg_no (from 1), start, end, seg_text, gap (text since the segment before), prefix_end (last mark before), sentence (of segments with a ranking cue, else null), sentence_open, paragraph, speaker.
+
+    Segments are worked out within the row of their document and leave it as finished
+    structs: no row but the document's holds its text, and the work grows with its length.
+    A null or empty text has no segments; control characters 1 and 2 count as blanks.
+    """
+    b, x, y = cues.BLANKS, lambda i: F.get("x", i)["x"], lambda i: F.get("x", i)
+    df = measured(docs, doc_id, text)
+    kept = lambda p: ~p["glue"] & (p["n"] - p["lead"] - p["tail"] >= LEAST)
+    df = df.withColumn("raw", F.filter(F.transform("x", lambda z, i: F.when(kept(z["x"]), i)), lambda i: i.isNotNull()))
+
+    def between(i: Column, j: Column) -> Column:
+        """The text after the segment that ends in piece i (-1: the text's start) up to the one that begins in piece j."""
+        middle = F.transform(F.slice("x", i + 2, j - i - 1), lambda z: z["x"]["p"])
+        return F.concat(F.when(i < 0, "").otherwise(F.right(x(i)["p"], x(i)["tail"])), F.array_join(middle, ""), F.substr(x(j)["p"], F.lit(1), x(j)["lead"]))
+
+    # an insertion after nothing but blanks and commas goes on with the segment before it
+    def goes_on(i: Column, k: Column) -> Column:
+        return F.when((k > 0) & x(i)["inserted"], between(F.get("raw", k - 1), i).rlike(rf"^[{b},:]*$")).otherwise(F.lit(False))
+
+    df = df.withColumn("firsts", F.filter(F.transform("raw", lambda i, k: F.when(~goes_on(i, k), k)), lambda k: k.isNotNull()))
+    last = lambda k: F.get("raw", F.coalesce(F.get("firsts", k + 1), F.size("raw")) - 1)
+    df = df.withColumn("runs", F.transform("firsts", lambda f, k: F.struct(F.get("raw", f).alias("i"), last(k).alias("j"), F.when(k > 0, last(k - 1)).otherwise(-1).alias("before"))))
+
+    def words(r: Column) -> Column:
+        i, j = r["i"], r["j"]
+        one = F.substr(x(i)["p"], x(i)["lead"] + 1, x(i)["n"] - x(i)["lead"] - x(i)["tail"])
+        middle = F.transform(F.slice("x", i + 2, j - i - 1), lambda z: z["x"]["p"])
+        return F.when(i == j, one).otherwise(F.concat(F.substr(x(i)["p"], x(i)["lead"] + 1), F.array_join(middle, ""), F.substr(x(j)["p"], F.lit(1), x(j)["n"] - x(j)["tail"])))
+
+    found = F.transform("runs", lambda r, k: F.struct(
+        (k + 1).alias("seg_no"), (y(r["i"])["at"] + x(r["i"])["lead"]).alias("start"), (y(r["j"])["at"] + x(r["j"])["n"] - x(r["j"])["tail"]).alias("end"),
+        words(r).alias("seg_text"), between(r["before"], r["i"]).alias("gap"), F.when(r["before"] >= 0, F.right(F.substr(x(r["before"])["p"], F.lit(1), x(r["before"])["n"] - x(r["before"])["tail"]), F.lit(1))).otherwise("").alias("last"),
+        F.when(x(r["i"])["lead_mark"] > 0, y(r["i"])["at"] + x(r["i"])["lead_mark"]).otherwise(y(r["i"])["opened"]).alias("sentence_open"), y(r["i"])["paragraph"].alias("paragraph"),
+        F.when(y(r["i"])["turn"] > 0, F.array_position(F.col("cast"), F.get(F.col("name"), y(r["i"])["turn"] - 1)) - 1).otherwise(F.lit(0)).cast("int").alias("speaker"),
+    ))
+    rest = lambda s: F.regexp_extract(F.substr("text", s["end"] + 1), r"^[^.\n]*+[.\n]?", 0)
+    sentence = lambda s: F.when(fold(s["seg_text"]).rlike(RANKS), F.concat(F.substr("text", s["sentence_open"] + 1, s["end"] - s["sentence_open"]), rest(s)))
+    fields = ["seg_no", "start", "end", "seg_text", "gap", "last", "sentence_open", "paragraph", "speaker"]
+    df = df.withColumn("found", found).withColumn("found", F.transform("found", lambda s: F.struct(*[s[f].alias(f) for f in fields], sentence(s).alias("sentence"))))
+    # outer, as else a filter on the array's size is inferred and all of the above is worked out again for it
+    one = df.select("doc_id", F.inline_outer("found")).where("seg_no IS NOT NULL").withColumn("bare", F.rtrim("gap", F.lit(" \t\r\n")))
+    return one.select("doc_id", "seg_no", "start", "end", "seg_text", "gap", F.when(F.col("bare") != "", F.right("bare", F.lit(1))).otherwise(F.col("last")).alias("prefix_end"), "sentence", "sentence_open", "paragraph", "speaker")

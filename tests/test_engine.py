@@ -129,3 +129,9 @@ def test_text_files_and_stream(spark, tmp_path):
     docs.selectExpr("1L AS doc_id", "text").write.parquet(str(tmp_path / "q"))
     ingest.annotate_stream(ingest.read_stream(spark, str(tmp_path / "q")), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert "meta_prefer" in spark.read.parquet(str(tmp_path / "out")).first().ann
+
+
+def test_long_texts_of_many_segments(spark):
+    text = "Quand le client paie, le dépôt livre le mardi. " * 20_000  # 180,000 words
+    got = segments(spark.createDataFrame([(1, text)], "doc_id long, text string")).selectExpr("count(*) AS n", "max(`end`) AS last", "count(DISTINCT seg_text) AS texts").first()
+    assert (got.n, got.last, got.texts) == (40_000, len(text) - 2, 2)
