@@ -434,3 +434,46 @@ def test_rows_without_words_keep_within_the_epochs(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert max(r["copies"] for r in mixing.mix(docs).collect()) <= 3
     assert max(Counter(r.doc_id for r in mixing.sample(docs).collect()).values()) <= 3
+
+
+def test_op3_verdicts_against_brute_force(spark):
+    import numpy as np
+
+    sf = "/root/testdata/sf0.1"
+    rows = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    label = {}
+    for r in spark.read.parquet(f"{sf}/labels.parquet").collect():
+        if r.quality is not None:
+            label[r.doc_id] = min(r.quality, label.get(r.doc_id, 1))
+    counted = {i: dict(zip(quality.NAMES, quality.counts_of(r.text))) for i, r in rows.items()}
+    per = lambda c, a, b: c[a] / c[b] if c[b] else 0.0
+    ratio = {i: [per(c, *p) for p in (("n_symbols", "n_words"), ("n_dup_lines", "n_lines"), ("n_repeat_words", "n_words"), ("n_capitals", "word_chars"), ("word_chars", "n_words"))] for i, c in counted.items()}
+    failed = {i: c["n_words"] < 50 or 100 * c["n_repeat_words"] > 50 * c["n_words"] for i, c in counted.items()}
+    first = {}
+    for i in sorted(label):
+        if i in rows and not failed[i]:
+            first.setdefault((rows[i].lang, counted[i]["least_window"]), i)
+    grid = lambda i: zlib.crc32(f"grid:{i}".encode()) % 7 == 0
+    strata = {lang for (lang, _), i in first.items() if not grid(i)}
+    kept = {i: not f for i, f in failed.items()}
+    n_cut = 0
+    for lang in strata:
+        mine = [i for (x, _), i in first.items() if x == lang]
+        base = np.array([ratio[i] for i in mine if grid(i) and label[i]])
+        if not len(base):
+            continue
+        cuts = [[np.quantile(np.round(base[:, k], 4), q) * f for k in range(5)] for q, f in quality.STEPS]
+        rejects = lambda i, step: any(v > c for v, c in zip(ratio[i], cuts[step]))  # noqa: B023, E731
+        held, best, taken = [i for i in mine if not grid(i)], 0, None
+        for step in range(len(cuts)):
+            good = [i for i in held if label[i]]
+            if not good or quality.upper_bound(sum(rejects(i, step) for i in good), len(good), 0.1 / len(strata)) > 0.03:
+                break
+            n = sum(rejects(i, step) for i in held if not label[i])
+            if n > best:
+                best, taken = n, step
+        if taken is not None:
+            n_cut += 1
+            kept |= {i: kept[i] and not rejects(i, taken) for i, r in rows.items() if r.lang == lang}
+    assert {r.doc_id: r.kept for r in q.op3_quality_rules(spark, sf).collect()} == kept
+    assert n_cut and sum(kept.values()) < sum(not f for f in failed.values())
