@@ -58,5 +58,5 @@ CONCESSION_FOLDED = rf"\bmeme\s+(?:{PLACES}|si|lorsqu|quand|apres)\b"
 
 # Words without content, for stems and for mentions.
 STEM_STOP = "les des une aux que qui pour avec sans dans sur par est sont ete etre cette cet ces son sa ses leur leurs plus moins tout tous toute".split()
-MENTION_STOP = "le la les un une des du de au aux et ou the a an of to in on for and or que qui dans sur par pour avec son sa".split()
+MENTION_STOP = "le la les un une des du de au aux l d the a an of to and or et ou ce cette nous il elle on we it he she".split()
 SPEAKER = r"(?md)^([A-ZÉÈÀÂÎÔÛ][A-ZÉÈÀÂÎÔÛ\-]+)\s*\."
