@@ -29,7 +29,8 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(documents(spark, sf_dir), secrets.train(secrets.samples(spark)))
+    docs = documents(spark, sf_dir)
+    return secrets.scan(docs, secrets.train(secrets.labelled(docs)))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

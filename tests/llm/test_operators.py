@@ -102,7 +102,7 @@ def test_secrets_against_brute_force(spark):
 
 
 def test_op2_whole_table(spark):
-    table = secrets.train(secrets.samples(spark))
+    table = secrets.train(secrets.labelled(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
     got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in q.op2_secret_scan(spark, "/root/testdata/sf0.01").collect()}
     assert got == {i: brute_secrets(t, table) for i, t in texts_of(spark, "/root/testdata/sf0.01").items()}
     assert sum(v[0] for v in got.values()) > 5
@@ -477,3 +477,14 @@ def test_op3_verdicts_against_brute_force(spark):
             kept |= {i: kept[i] and not rejects(i, taken) for i, r in rows.items() if r.lang == lang}
     assert {r.doc_id: r.kept for r in q.op3_quality_rules(spark, sf).collect()} == kept
     assert n_cut and sum(kept.values()) < sum(not f for f in failed.values())
+
+
+def test_models_trained_from_texts_on_texts_not_seen(spark):
+    sf = "/root/testdata"
+    table = secrets.train(secrets.labelled(spark.read.parquet(f"{sf}/sf0.01/documents.parquet")))
+    docs = spark.read.parquet(f"{sf}/sf0.1/documents.parquet").where("text is not null")
+    chars, rnd = string.ascii_letters + string.digits, random.Random(8)
+    planted = spark.createDataFrame([(r.doc_id, f"{r.text[:200]} {''.join(rnd.choice(chars) for _ in range(32))}, {r.text[200:400]}") for r in docs.limit(100).collect()], "doc_id long, text string")
+    got = [r.n_random + r.n_inner for r in secrets.scan(docs, table).collect()]
+    assert sum(got) <= 0.001 * len(got)
+    assert sum(r.n_random > 0 for r in secrets.scan(planted, table).collect()) >= 98
