@@ -12,7 +12,7 @@ places are repeated, and every word one of them covers is removed.
    compiles them into Aho-Corasick automata (in shards of bounded size) and streams its
    documents through them; every occurrence found is removed.
 
-Blocks hold documents by hash of the id. What moves: the texts once, anchors, keys of
+Blocks hold documents by hash of id and row number. What moves: the texts once, anchors, keys of
 windows in repeated regions, and bitmaps. A passage in thousands of documents costs an
 owner one entry a block.
 
@@ -36,6 +36,8 @@ from argloom.llm.util import ship, tasks
 U64 = np.uint64
 #: Phrases in one automaton, and words hashed at a time.
 SHARD, CHUNK = 8_000, 1_000_000
+#: Letters that a word's number has in an automaton: 2^30 different words a block.
+LETTERS = 5
 ODD = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9))
 
 
@@ -159,18 +161,20 @@ class Block:
         for a, b in zip(first, [*first[1:], len(doc)], strict=True):
             text, at, k = self.coded(doc[a]), start[a:b], 0
             while True:  # the furthest window that leaves no gap
-                out.add(text[4 * at[k] : 4 * (at[k] + self.length)])
+                out.add(text[LETTERS * at[k] : LETTERS * (at[k] + self.length)])
                 if k == len(at) - 1:
                     break
                 k = np.searchsorted(at, at[k] + self.length, "right") - 1
         return sorted(out)
 
     def coded(self, i: int) -> str:
-        """A document with each word's number in four letters out of 64."""
+        """A document with each word's number in LETTERS letters out of 64."""
+        if len(self.words) > 64**LETTERS:
+            raise OverflowError("a block has more different words than their letters can tell apart: use more shuffle partitions")
         d = self.docs[i]
-        letters = np.empty((len(d), 4), np.uint8)
-        for k in range(4):
-            letters[:, k] = (d >> (18 - 6 * k) & 63) + 48
+        letters = np.empty((len(d), LETTERS), np.uint8)
+        for k in range(LETTERS):
+            letters[:, k] = (d >> (6 * (LETTERS - 1 - k)) & 63) + 48
         return letters.tobytes().decode("ascii")
 
     def covered(self, phrases: list[str]) -> list[np.ndarray | None]:
@@ -185,7 +189,7 @@ class Block:
             automaton.make_automaton()
             for i, d in enumerate(self.docs):
                 if len(d) >= self.length:
-                    ends = [e + 1 >> 2 for e, _ in automaton.iter(self.coded(i)) if e & 3 == 3]
+                    ends = [(e + 1) // LETTERS for e, _ in automaton.iter(self.coded(i)) if (e + 1) % LETTERS == 0]
                     if ends:
                         step = steps[i] = np.zeros(len(d) + 1, np.int32) if steps[i] is None else steps[i]
                         np.add.at(step, np.array(ends) - self.length, 1)
@@ -198,7 +202,8 @@ def remove_repeats(docs: DataFrame, length: int = 35, doc_id: str = "doc_id", te
     spark = docs.sparkSession
     ship(spark)
     owners = tasks(spark)
-    key = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(owners))
+    # by number in the partition too, so that rows of one id, or of none, are dealt out
+    key = F.pmod(F.xxhash64(F.col(doc_id), F.monotonically_increasing_id()), F.lit(owners))
     blocks = docs.select(key.alias("block"), F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("t"))
     by_block = lambda df: df.groupBy("block")
 
