@@ -10,7 +10,9 @@ left to right; if a merge makes a pair of a lower rank, the rest of the bucket w
 Matches not seen before are merged many at a time: their bytes stand one after the
 other in one linked list without a pair across a border, so each match is merged as it
 would be alone, and a rank is looked for once for all of them. The first ranks come
-from a table of byte pairs. n bytes take O(n log n) at worst and O(n) memory.
+from a table of byte pairs. Of a bucket with entries of many matches, the leftmost of
+each match are merged at once, as matches do not touch one another; other buckets, as
+those of one long match, entry by entry. n bytes take O(n log n) at worst and O(n) memory.
 
 Ids of short matches are remembered per worker in a bounded dictionary; long ones are
 not. ``LETTERS`` bounds the texts that are held as matches at a time (a longer text is
@@ -37,20 +39,8 @@ from argloom.llm.util import map_arrow
 
 #: Letters of texts cut at a time, matches remembered in each of two generations, and the letters of the longest that is.
 LETTERS, REMEMBERED, LONGEST = 1 << 20, 250_000, 32
-
-
-class _Pairs(dict):
-    """Rank of the piece that two ids form, by first id * size + second id; -1 if they form none."""
-
-    def __init__(self, ranks: dict[bytes, int], pieces: dict[int, bytes], size: int):
-        self.of, self.ranks, self.pieces = size, ranks, pieces
-
-    def __missing__(self, key: int) -> int:
-        a, b = divmod(key, self.of)
-        if len(self) >= 200_000:
-            self.clear()
-        got = self[key] = self.ranks.get(self.pieces[a] + self.pieces[b], -1)
-        return got
+#: Entries from which on a bucket is merged at once; only the time depends on it.
+MANY = 48
 
 
 class ByteBpe:
@@ -63,7 +53,10 @@ class ByteBpe:
         self.ranks, self.pieces, self.size = ranks, {r: b for b, r in ranks.items()}, max(ranks.values()) + 1
         self.single = np.array([ranks[bytes([i])] for i in range(256)])
         self.couples = np.array([ranks.get(bytes([i, j]), -1) for i in range(256) for j in range(256)])
-        self.pairs = _Pairs(ranks, self.pieces, self.size)
+        # rank of the piece that two ids form, by first id * size + second id: every cut of every piece
+        self.pairs = {ranks[p[:k]] * self.size + ranks[p[k:]]: r for p, r in ranks.items() for k in range(1, len(p)) if p[:k] in ranks and p[k:] in ranks}
+        self.pair_keys = np.sort(np.fromiter(self.pairs, np.int64, len(self.pairs)))
+        self.pair_ranks = np.fromiter(map(self.pairs.__getitem__, self.pair_keys.tolist()), np.int64, len(self.pairs))
         self.words, self.groups, self.top = [0] * (self.size + 64 >> 6), [0] * (self.size + 4096 >> 12), 0
         self.buckets: dict[int, list[int]] = {}
         self.known: dict[str, tuple[str, bytes]] = {}
@@ -92,6 +85,22 @@ class ByteBpe:
                 self.top = top & (top - 1)
         return rank
 
+    def _ranks(self, keys: np.ndarray) -> np.ndarray:
+        """Rank of each pair, -1 where it forms no piece."""
+        if not len(self.pair_keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], -1)
+
+    def _push(self, ranks: np.ndarray, at: np.ndarray) -> None:
+        buckets, mark, some = self.buckets, self._mark, ranks >= 0
+        for r, i in zip(ranks[some].tolist(), at[some].tolist(), strict=True):
+            if r in buckets:
+                buckets[r].append(i)
+            else:
+                buckets[r] = [i]
+                mark(r)
+
     def merge(self, matches: list[bytes]) -> list[list[int]]:
         """Ids of each match (none of them empty)."""
         sizes = np.fromiter(map(len, matches), np.int64, len(matches))
@@ -108,14 +117,39 @@ class ByteBpe:
         at = np.flatnonzero(rank_of >= 0)
         at = at[np.argsort(rank_of[at], kind="stable")]
         starts = np.flatnonzero(np.diff(rank_of[at], prepend=-1))
-        pairs, size, buckets, mark = self.pairs, self.size, self.buckets, self._mark
+        pair, size, buckets, mark = self.pairs.get, self.size, self.buckets, self._mark
         for rank, bucket in zip(rank_of[at[starts]].tolist(), np.split(at, starts[1:]) if len(at) else [], strict=True):
             buckets[rank] = bucket.tolist()
             mark(rank)
-        ids, rank_at, after, before = self.single[data].tolist(), rank_of.tolist(), after.tolist(), before.tolist()
+        all_ids, owner = self.single[data], np.repeat(np.arange(len(matches)), sizes)
+        # the same memory, for single entries and for many at once
+        after_of, before_of = after, before
+        ids, rank_at, after, before = map(memoryview, (all_ids, rank_of, after_of, before_of))
         while (rank := self._lowest()) >= 0:
             bucket = buckets.pop(rank)
             bucket.sort()  # nearly sorted as it is
+            if len(bucket) >= MANY:
+                at = np.array(bucket)
+                at = at[rank_of[at] == rank]
+                first = np.diff(owner[at], prepend=-1) > 0
+                i = at[first]
+                if 2 * len(i) >= len(bucket):
+                    # the leftmost of each match at once; further ones of a match wait
+                    if len(i) < len(at):
+                        buckets[rank] = at[~first].tolist()
+                        mark(rank)
+                    j = after_of[i]
+                    far, near = after_of[j], before_of[i]
+                    all_ids[i], all_ids[j], rank_of[j], after_of[i] = rank, -1, -1, far
+                    more, less = far >= 0, near >= 0
+                    before_of[far[more]], near = i[more], near[less]
+                    right = np.full(len(i), -1)
+                    right[more] = self._ranks(rank * size + all_ids[far[more]])
+                    left = self._ranks(all_ids[near] * size + rank)
+                    rank_of[i], rank_of[near] = right, left
+                    self._push(right, i)
+                    self._push(left, near)
+                    continue
             for k, i in enumerate(bucket):
                 if rank_at[i] != rank:
                     continue  # stale
@@ -125,7 +159,7 @@ class ByteBpe:
                 after[i] = far
                 if far >= 0:
                     before[far] = i
-                    r = rank_at[i] = pairs[rank * size + ids[far]]
+                    r = rank_at[i] = pair(rank * size + ids[far], -1)
                     if r >= 0:
                         lower = r < rank
                         if r in buckets:
@@ -136,7 +170,7 @@ class ByteBpe:
                 else:
                     rank_at[i] = -1
                 if near >= 0:
-                    r = rank_at[near] = pairs[ids[near] * size + rank]
+                    r = rank_at[near] = pair(ids[near] * size + rank, -1)
                     if r >= 0:
                         lower = lower or r < rank
                         if r in buckets:
@@ -148,11 +182,11 @@ class ByteBpe:
                     buckets[rank] = bucket[k + 1 :]
                     mark(rank)
                     break
-        ids = np.array(ids)
-        stays = ids >= 0
+        stays = all_ids >= 0
         left = np.concatenate([[0], np.cumsum(stays)])[ends].tolist()
-        ids = ids[stays].tolist()
-        return [ids[a:b] for a, b in zip([0, *left], left)]
+        ids = all_ids[stays].tolist()
+        whole = self.ranks.get  # a match that is a piece stands for itself, whether merges lead to it or not
+        return [ids[a:b] if (r := whole(m)) is None else [r] for m, a, b in zip(matches, [0, *left], left)]
 
     def encode(self, text: str | None) -> list[int]:
         found = self.find(text or "")

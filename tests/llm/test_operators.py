@@ -54,6 +54,26 @@ def test_op10_whole_table(spark):
     assert not c.buckets and not any(c.words) and not any(c.groups)
 
 
+def test_queue_of_many_matches_against_the_library(monkeypatch):
+    """Buckets merged at once and entry by entry, in a vocabulary where a merge may make a pair of a lower rank than its own."""
+    import random
+
+    import tiktoken
+
+    draw = random.Random(7)
+    pieces = {bytes([i]) for i in range(256)} | {"".join(draw.choices("abc", k=draw.randint(2, 5))).encode() for _ in range(150)}
+    order = sorted(p for p in pieces if len(p) > 1)
+    draw.shuffle(order)
+    ranks = {p: k for k, p in enumerate([bytes([i]) for i in range(256)] + order)}
+    enc = tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})
+    texts = [" ".join("".join(draw.choices("abc", k=draw.randint(1, 30))) for _ in range(200)) for _ in range(20)] + ["abc" * 5_000, "a" * 9_999]
+    for many in (1, 8, 48, 10**9):
+        monkeypatch.setattr(byte_bpe, "MANY", many)
+        c = byte_bpe.ByteBpe(ranks, r"\S+|\s+")
+        assert [c.encode(t) for t in texts] == [enc.encode_ordinary(t) for t in texts]
+        assert not c.buckets and not any(c.words) and not any(c.groups) and not c.top
+
+
 def test_tokenizers_of_hard_rows(spark, hard_docs):
     model, ranks = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     got = token_count.count_tokens(hard_docs, model).collect()
