@@ -1,4 +1,4 @@
-"""Scalar text functions, all of built-in expressions."""
+"""Scalar text functions, of built-in expressions but for the alignment of reworded spans."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from argloom.functions import cues
+from argloom.functions.aligned import aligned
 
 ACCENTED = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿ’"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy'"
@@ -85,8 +86,17 @@ def candidates(text: Column, span: Column) -> Column:
     return F.when(F.size(exact) > 0, exact).otherwise(F.when(F.length(span) > 0, places(blanks(text), blanks(span))).otherwise(F.expr("CAST(array() AS ARRAY<INT>)")))
 
 
-def locate_span(text: Column, span: Column, offset: Column | int = 0) -> Column:
-    """{start, end} of the first occurrence of a span, edge punctuation aside; null if there is none."""
+def locate_span(text: Column, span: Column, offset: Column | int = 0, reworded: bool = False) -> Column:
+    """{start, end} of the first occurrence of a span, edge punctuation aside; null if there is none. With ``reworded``, words that align count where nothing else is found."""
     bare = F.btrim(span, F.lit(" \t\n\"'«».,;:"))
     at = F.get(candidates(text, bare), F.lit(0))
-    return F.when(at.isNotNull(), F.struct((at + offset).cast("int").alias("start"), (at + offset + F.length(bare)).cast("int").alias("end")))
+    found = F.when(at.isNotNull(), F.struct((at + offset).cast("int").alias("start"), (at + offset + F.length(bare)).cast("int").alias("end")))
+    if not reworded:
+        return found
+    near = aligned(F.when(at.isNull(), text), bare)
+    return F.coalesce(found, F.when(near.isNotNull(), F.struct((near[0] + offset).cast("int").alias("start"), (near[1] + offset).cast("int").alias("end"))))
+
+
+def atom_id(identifier: Column) -> Column:
+    """An identifier as a constant of a logic program: T12 is t12."""
+    return F.lower(identifier)

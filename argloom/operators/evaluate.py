@@ -11,10 +11,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from argloom.functions.text import atom_id
+
 #: Contexts up to which every subset is tried (4,096 trials), and trials beyond.
 EXHAUSTIVE, SAMPLED = 12, 8
 
 
+def atoms(entities: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities and events with their identifiers as constants of a logic program, in references too."""
+    roles = F.transform("roles", lambda r: F.struct(r["role"].alias("role"), atom_id(r["target"]).alias("target")))
+    return entities.withColumn("ent_id", atom_id(F.col("ent_id"))), events.withColumns({"ev_id": atom_id(F.col("ev_id")), "trigger": atom_id(F.col("trigger")), "roles": roles})
+
+
 def programs(entities: DataFrame, events: DataFrame) -> DataFrame:
     """doc_id, contexts, rules (id, option, conditions), prefs (id, winner, loser, condition), metas (winner, loser, condition)."""
     contexts = entities.where("kind = 'Context'").groupBy("doc_id").agg(F.sort_array(F.collect_set("ent_id")).alias("contexts"))

@@ -152,19 +152,39 @@ def ranking_rows(features: DataFrame, grounds: DataFrame, key_rows: DataFrame) -
     return folded.withColumn("scenarios", F.aggregate("rows", F.expr("CAST(array() AS ARRAY<ARRAY<INT>>)"), scenario))
 
 
-def preferences(rank: DataFrame, rule_rows: DataFrame) -> DataFrame:
-    """doc_id, row_no, pref_no, winner_rule, loser_rule, winner, loser, when_contexts, marker span: one per distinct ranking of two rules."""
+def ranked_groups(groups: DataFrame, rule_rows: DataFrame) -> DataFrame:
+    """Each option of a preferred group against each of the contrasted one, by the first rule of each.
+
+    groups: doc_id, row_no, preferred, contrasted (arrays of options), when_contexts and
+    any other columns, which stay. Gives winner, loser, winner_rule, loser_rule and
+    pref_no: rankings of the same rules in the same contexts share one, numbered as they
+    first come up. Options without a rule, and a rule against itself, give nothing.
+    """
     first = rule_rows.groupBy("doc_id", "conclusion").agg(F.min("rule_no").alias("rule_no"))
-    one = rank.select("doc_id", F.posexplode(F.arrays_zip("rows", "scenarios")).alias("row_no", "z")).select("doc_id", "row_no", "z.rows.*", F.col("z.scenarios").alias("scenario"))
-    when = F.when(F.size("delta") > 0, F.col("delta")).otherwise(F.col("scenario"))
+    won = groups.select("*", F.posexplode("preferred").alias("w", "winner")).drop("preferred")
+    both = won.select("*", F.posexplode("contrasted").alias("l", "loser")).drop("contrasted")
     with_rules = (
-        one.join(first.select("doc_id", F.col("conclusion").alias("winner"), F.col("rule_no").alias("winner_rule")), ["doc_id", "winner"])
+        both.join(first.select("doc_id", F.col("conclusion").alias("winner"), F.col("rule_no").alias("winner_rule")), ["doc_id", "winner"])
         .join(first.select("doc_id", F.col("conclusion").alias("loser"), F.col("rule_no").alias("loser_rule")), ["doc_id", "loser"])
-        .where("winner_rule <> loser_rule").withColumn("when_contexts", F.sort_array(when))
+        .where("winner_rule <> loser_rule")
     )
-    same = Window.partitionBy("doc_id", "winner_rule", "loser_rule", "when_contexts").orderBy("row_no")
-    numbered = with_rules.withColumn("event_row", F.min("row_no").over(same))
-    return numbered.withColumn("pref_no", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("event_row")))
+    same = Window.partitionBy("doc_id", "winner_rule", "loser_rule", "when_contexts")
+    numbered = with_rules.withColumn("event", F.min(F.struct("row_no", "w", "l")).over(same))
+    return numbered.withColumn("pref_no", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("event"))).withColumn("event_row", F.col("event.row_no")).drop("w", "l", "event")
+
+
+def opposed(groups: DataFrame) -> DataFrame:
+    """doc_id, a, b: unordered pairs of options of the two groups of a ranking."""
+    pairs = groups.select("doc_id", F.explode("preferred").alias("winner"), "contrasted").select("doc_id", "winner", F.explode("contrasted").alias("loser"))
+    return pairs.where("winner <> loser").select("doc_id", F.least("winner", "loser").alias("a"), F.greatest("winner", "loser").alias("b")).distinct()
+
+
+def preferences(rank: DataFrame, rule_rows: DataFrame) -> DataFrame:
+    """doc_id, row_no, pref_no, winner_rule, loser_rule, winner, loser, when_contexts, marker span: one per distinct ranking of two rules."""
+    one = rank.select("doc_id", F.posexplode(F.arrays_zip("rows", "scenarios")).alias("row_no", "z")).select("doc_id", "row_no", "z.rows.*", F.col("z.scenarios").alias("scenario"))
+    when = F.when(F.size("delta") > 0, F.col("delta")).otherwise(F.col("scenario"))
+    single = one.withColumns({"preferred": F.array("winner"), "contrasted": F.array("loser"), "when_contexts": F.sort_array(when)}).drop("winner", "loser")
+    return ranked_groups(single, rule_rows)
 
 
 def meta_preferences(prefs: DataFrame) -> DataFrame:

@@ -30,6 +30,14 @@ def nearby(targets: DataFrame, others: DataFrame, reach: int = 12) -> DataFrame:
     return a.join(others.select("doc_id", "seg_no", bucket.alias("bucket")), ["doc_id", "bucket"]).where(F.abs(F.col("seg_no") - F.col("target")) <= reach).select("doc_id", "target", "seg_no").distinct()
 
 
+def blocks(segments: DataFrame) -> DataFrame:
+    """doc_id, seg_no, block: the number of runs of line breaks before a segment, by running counts over gaps and segments, so no row looks at the whole text."""
+    w = Window.partitionBy("doc_id").orderBy("seg_no")
+    breaks = lambda c: F.regexp_count(c, F.lit(r"\n+"))
+    inside = F.coalesce(F.sum(breaks("seg_text")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return segments.select("doc_id", "seg_no", (F.sum(breaks("gap")).over(w.rowsBetween(Window.unboundedPreceding, 0)) + inside).cast("int").alias("block"))
+
+
 def exploded(segments: DataFrame, enumerations: DataFrame) -> DataFrame:
     """doc_id, seg_no (from 1 again), start, end, old_no, scope (old_no of an enumeration whose items the segments are, else null).
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from argloom.functions import cues, text
-from argloom.operators import evaluate, relate, score, vote
+from argloom.operators import evaluate, graph, relate, scope, score, vote
 from argloom.operators.segment import segments
 from argloom.plans import parsing
 from argloom.plans.textgen import corpus, expected_sql, graphs
@@ -90,6 +90,16 @@ def paragraphs_and_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc_id").alias("conv_id"), F.regexp_extract("seg_text", r"x(\d+)", 1).cast("long").alias("turn"), "speaker", "paragraph").where("turn IS NOT NULL").distinct()
 
 
+@query("""
+WITH lines AS (SELECT c_custkey, unnest(range(2 + c_custkey % 3)) AS n FROM customer)
+SELECT c_custkey AS doc_id, CAST(n + 1 AS INT) AS seg_no, CAST(n AS INT) AS block, 'Le client ' || c_custkey || ' attend ' || n AS seg_text FROM lines""")
+def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, breaks = F.col("c_custkey"), F.repeat(F.lit("\n"), (F.col("c_custkey") % 4 + 1).cast("int"))
+    lines = F.transform(F.sequence(F.lit(0).cast("long"), key % 3 + 1), lambda n: F.concat(F.lit("Le client "), key.cast("string"), F.lit(" attend "), n.cast("string")))
+    found = segments(table(spark, sf_dir, "customer").select(key.alias("doc_id"), F.array_join(F.transform(lines, lambda x: F.concat(x, breaks)), "").alias("text")))
+    return found.select("doc_id", "seg_no", "seg_text").join(scope.blocks(found), ["doc_id", "seg_no"])
+
+
 # --- scalar functions
 
 
@@ -119,6 +129,18 @@ def located_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", text.locate_span(sentence, F.concat(F.lit("« "), F.upper("s_name"), F.lit(" »"))).alias("x")).select("s_suppkey", "x.start", "x.end")
 
 
+@query("""
+SELECT p_partkey, CASE WHEN p_partkey % 4 < 3 THEN 5 END AS start, CASE WHEN p_partkey % 4 < 3 THEN CAST(5 + length('Le dépôt garde la pièce numéro  pour un an') + length(p_name) AS INT) END AS "end" FROM part""")
+def reworded_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans as they are, without accents and reworded are found; invented ones are not."""
+    sentence = lambda a, b: F.concat(F.lit(a), "p_name", F.lit(b))
+    said = sentence("Le dépôt garde la pièce numéro ", " pour un an")
+    k = F.col("p_partkey") % 4
+    claim = F.when(k == 0, said).when(k == 1, sentence("Le depot garde la piece numero ", " pour un an")).when(k == 2, sentence("le dépôt garde donc la pièce numéro ", ", pour un an")).otherwise(F.lit("rien de tout cela ne figure ici"))
+    whole = F.concat(F.lit("Oui, "), said, F.lit(". Mais rien de plus."))
+    return table(spark, sf_dir, "part").select("p_partkey", text.locate_span(whole, claim, reworded=True).alias("x")).select("p_partkey", "x.start", "x.end")
+
+
 # --- relations
 
 
@@ -171,6 +193,36 @@ def complement_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs(spark, sf_dir)["complements"]
 
 
+@query("""
+WITH given AS (SELECT c_custkey AS doc_id, 0 AS row_no, [1, 2] AS preferred, [3, 4] AS contrasted, '7' AS whens FROM customer
+               UNION ALL SELECT c_custkey, 1, [1 + c_custkey % 2, 2], [3, 1], CASE WHEN c_custkey % 3 = 0 THEN '8' ELSE '7' END FROM customer),
+won AS (SELECT doc_id, row_no, contrasted, whens, unnest(preferred) AS winner, unnest([1, 2]) AS w FROM given),
+both_sides AS (SELECT doc_id, row_no, whens, winner, w, unnest(contrasted) AS loser, unnest([1, 2]) AS l FROM won),
+ranked AS (SELECT doc_id, whens, winner, loser, min(row_no * 100 + w * 10 + l) AS event FROM both_sides WHERE winner <> loser AND loser <> 4 GROUP BY ALL)
+SELECT doc_id, CAST(row_no AS INT) AS row_no, CAST(winner AS INT) AS winner, CAST(loser AS INT) AS loser, whens, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY event) AS INT) AS pref_no
+FROM both_sides JOIN ranked USING (doc_id, whens, winner, loser)""")
+def option_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"))
+    k = F.col("doc_id").cast("int")
+    arrays = lambda *xs: F.array(*[x if isinstance(x, Column) else F.lit(x) for x in xs])
+    first = docs.select("doc_id", F.lit(0).alias("row_no"), arrays(1, 2).alias("preferred"), arrays(3, 4).alias("contrasted"), arrays(7).alias("when_contexts"))
+    second = docs.select("doc_id", F.lit(1), arrays(1 + k % 2, 2), arrays(3, 1), arrays(F.when(k % 3 == 0, 8).otherwise(7)))
+    one_rule = [F.struct(F.lit(n).alias("rule_no"), F.lit(c).alias("conclusion")) for n, c in ((1, 1), (2, 2), (3, 3), (4, 3))]
+    rules = docs.select("doc_id", F.inline(F.array(*one_rule)))
+    return graph.ranked_groups(first.unionAll(second), rules).select("doc_id", "row_no", "winner", "loser", joined("when_contexts").alias("whens"), "pref_no")
+
+
+@query("""
+WITH w AS (SELECT p_partkey, p_brand, length(p_name) AS long, unnest(list_distinct(list_filter(regexp_extract_all(lower(p_name), '[a-z0-9_]+'), lambda x: length(x) > 1))) AS word FROM part),
+n AS (SELECT p_partkey, count(*) AS n FROM w GROUP BY ALL),
+c AS (SELECT m.p_brand AS doc_id, m.p_partkey AS mention_no, o.p_partkey AS seg_no, o.long, count(*) AS common FROM w m JOIN w o ON m.p_brand = o.p_brand AND m.word = o.word WHERE m.p_partkey % 2 = 0 AND o.p_partkey % 2 = 1 GROUP BY ALL)
+SELECT doc_id, mention_no, seg_no FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, mention_no ORDER BY common DESC, long, seg_no) AS place FROM c JOIN n ON n.p_partkey = mention_no WHERE common >= 0.5 * n) WHERE place = 1""")
+def mentioned_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").select(F.col("p_brand").alias("doc_id"), "p_partkey", "p_name")
+    mentions = parts.where("p_partkey % 2 = 0").select("doc_id", F.col("p_partkey").alias("mention_no"), F.col("p_name").alias("mention"))
+    return scope.mentioned_options(mentions, parts.where("p_partkey % 2 = 1").select("doc_id", F.col("p_partkey").alias("seg_no"), F.col("p_name").alias("seg_text")))
+
+
 # --- annotation
 
 

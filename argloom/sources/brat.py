@@ -95,14 +95,18 @@ def render(entities: DataFrame, events: DataFrame) -> DataFrame:
     return _text(e.unionByName(v)).withColumnRenamed("value", "ann")
 
 
-def render_lpp(entities: DataFrame, events: DataFrame, complements: DataFrame | None = None) -> DataFrame:
-    """doc_id, lpp. complements: doc_id, a, b (entity ids of options)."""
-    quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', r'\\"'), "\n", r"\\n"), F.lit('"'))
+def render_lpp(entities: DataFrame, events: DataFrame, complements: DataFrame | None = None, forms: DataFrame | None = None, diagnostics: DataFrame | None = None) -> DataFrame:
+    """doc_id, lpp. complements: doc_id, a, b (entity ids of options); forms: doc_id, ent_id, form (logical form, stands before the label); diagnostics: doc_id, n, message (comments, in order)."""
+    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
     own = Window.partitionBy("doc_id", "kind").orderBy("start", "end")
     literal = entities.where("kind <> 'Marker'").withColumn("lit", F.concat(F.when(F.col("kind") == "Context", "c").otherwise("o"), F.row_number().over(own).cast("string")))
     predicate = F.when(F.col("kind") == "Context", "scenario").otherwise("option")
     heads = entities.select("doc_id").distinct().select("doc_id", F.lit(0).alias("section"), F.lit(0).alias("n"), F.lit("% Normalised components\n% Labels keep the exact source text.").alias("line"))
-    named = literal.select("doc_id", F.lit(1).alias("section"), number("ent_id").alias("n"), F.format_string("%s(%s, %s).", predicate, F.col("lit"), quoted(F.col("span"))).alias("line"))
+    formed = literal.withColumn("form", F.lit(None).cast("string")) if forms is None else literal.join(forms.select("doc_id", "ent_id", "form").dropDuplicates(["doc_id", "ent_id"]), ["doc_id", "ent_id"], "left")
+    own_form = F.when(F.col("form") != "", F.concat(F.lit(", "), "form")).otherwise("")
+    # by place, contexts and options among each other
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("start", "end", "kind", number("ent_id")))
+    named = formed.select("doc_id", F.lit(1).alias("section"), place.alias("n"), F.format_string("%s(%s%s, %s).", predicate, F.col("lit"), own_form, quoted(F.col("span"))).alias("line"))
     per_kind = Window.partitionBy("doc_id", "kind").orderBy(number("ev_id"))
     coded = events.withColumn("code", F.concat(F.when(F.col("kind") == "rule", "r").when(F.col("kind") == "prefer", "p").otherwise("mp"), F.row_number().over(per_kind).cast("string")))
     known = literal.select("doc_id", F.col("ent_id").alias("target"), F.col("lit").alias("code")).unionByName(coded.select("doc_id", F.col("ev_id").alias("target"), "code"))
@@ -114,6 +118,9 @@ def render_lpp(entities: DataFrame, events: DataFrame, complements: DataFrame |
     )
     facts = coded.select("doc_id", "ev_id", "kind", "code").join(gathered, ["doc_id", "ev_id"]).select("doc_id", F.lit(3).alias("section"), number("ev_id").alias("n"), body.alias("line"))
     out = heads.unionByName(named).unionByName(facts)
+    if diagnostics is not None:
+        said = diagnostics.where("message <> ''").join(entities.select("doc_id").distinct(), "doc_id", "left_semi")
+        out = out.unionByName(said.select("doc_id", F.lit(0).alias("section"), (F.col("n") + 1).cast("int").alias("n"), F.concat(F.lit("% "), F.regexp_replace("message", r"\s+", " ")).alias("line")))
     if complements is not None:
         a, b = (literal.select("doc_id", F.col("ent_id").alias(x), F.col("lit").alias(f"lit_{x}")) for x in "ab")
         pairs = complements.join(a, ["doc_id", "a"]).join(b, ["doc_id", "b"])
@@ -157,12 +164,18 @@ def violations(annotations: DataFrame, **names: str) -> DataFrame:
     return out.distinct()
 
 
-def repair_offsets(entities: DataFrame, docs: DataFrame) -> DataFrame:
-    """Entities whose claimed place does not hold their span move to the nearest place that does (null where there is none)."""
+def repair_offsets(entities: DataFrame, docs: DataFrame, reworded: bool = False) -> DataFrame:
+    """Entities whose claimed place does not hold their span move to the nearest place that does (null where there is none). With ``reworded``, a span that is nowhere gives way to the words of the text that align with it."""
+    from argloom.functions.aligned import aligned
     from argloom.functions.text import candidates
 
     df = entities.join(docs.select("doc_id", "text"), "doc_id")
     right = F.substr("text", F.col("start") + 1, F.length("span")) == F.col("span")
     near = F.array_min(F.transform(candidates(F.col("text"), F.col("span")), lambda c: F.struct(F.abs(c - F.col("start")).alias("d"), c.alias("at"))))["at"]
     start = F.when(right, F.col("start")).otherwise(near).cast("int")
-    return df.select("doc_id", "ent_id", "kind", start.alias("start"), (start + F.length("span")).cast("int").alias("end"), "span")
+    moved = df.select("doc_id", "ent_id", "kind", start.alias("start"), (start + F.length("span")).cast("int").alias("end"), "span", *(["text"] if reworded else []))
+    if not reworded:
+        return moved
+    moved = moved.withColumn("near", aligned(F.when(F.col("start").isNull(), F.col("text")), F.col("span")))
+    a, b = F.col("near")[0], F.col("near")[1]
+    return moved.select("doc_id", "ent_id", "kind", F.coalesce("start", a).alias("start"), F.coalesce("end", b).alias("end"), F.when(F.col("near").isNotNull(), F.substr("text", a + 1, b - a)).otherwise(F.col("span")).alias("span"))
