@@ -10,6 +10,8 @@ from argloom.functions.aligned import aligned
 
 ACCENTED = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿ’"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy'"
+# Signs that stand for one another in spans.
+QUOTES, APOSTROPHES, DASHES = "“”", "’‘`", "‐‑‒–—−"
 
 
 def has(text: Column | str, pattern: str) -> Column:
@@ -71,26 +73,37 @@ def trimmed(text: Column, edges: str = " ,;:") -> Column:
     return F.btrim(text, F.lit(edges))
 
 
-def candidates(text: Column, span: Column) -> Column:
-    """0-based places where a span occurs: as it is, or else folded with any blanks alike."""
-    def places(t: Column, s: Column) -> Column:
-        parts = F.split(t, F.concat(F.lit("\\Q"), s, F.lit("\\E")), -1)
-        walk = F.aggregate(
-            parts, F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS ARRAY<INT>)").alias("out")),
-            lambda a, p: F.struct((a["at"] + F.length(p) + F.length(s)).alias("at"), F.array_append(a["out"], a["at"] + F.length(p)).alias("out")), lambda a: a["out"],
+def occurrences(text: Column, span: Column) -> Column:
+    """Places {start, end} where a span occurs: as it is, or else folded, with quotes and dashes of any kind and runs of blanks of any length. Line breaks are no blanks."""
+    none = F.expr("CAST(array() AS ARRAY<STRUCT<start: INT, end: INT>>)")
+
+    def places(t: Column, pattern: Column) -> Column:
+        # what lies between the matches, and how long each match is
+        parts, sizes = F.split(t, pattern, -1), F.transform(F.regexp_extract_all(t, pattern, F.lit(0)), F.length)
+        steps = F.filter(F.arrays_zip(F.transform(parts, F.length).alias("skip"), sizes.alias("size")), lambda z: z["size"].isNotNull())
+        return F.aggregate(
+            steps, F.struct(F.lit(0).alias("at"), none.alias("out")),
+            lambda a, z: F.struct((a["at"] + z["skip"] + z["size"]).alias("at"), F.array_append(a["out"], F.struct((a["at"] + z["skip"]).alias("start"), (a["at"] + z["skip"] + z["size"]).alias("end"))).alias("out")), lambda a: a["out"],
         )
-        return F.slice(walk, 1, F.size(parts) - 1)
 
-    exact = F.when(F.length(span) > 0, places(text, span)).otherwise(F.expr("CAST(array() AS ARRAY<INT>)"))
-    blanks = lambda c: F.translate(fold(c), "\t\n\r «»“”", '    """"')
-    return F.when(F.size(exact) > 0, exact).otherwise(F.when(F.length(span) > 0, places(blanks(text), blanks(span))).otherwise(F.expr("CAST(array() AS ARRAY<INT>)")))
+    quoted = lambda s: F.concat(F.lit("\\Q"), F.replace(s, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    alike = lambda c: F.translate(fold(c), QUOTES + APOSTROPHES + DASHES, '"' * len(QUOTES) + "'" * len(APOSTROPHES) + "-" * len(DASHES))
+    tolerant = F.regexp_replace(quoted(alike(span)), r"[ \t]+", r"\\E[ \\t]+\\Q")
+    full = F.length(span) > 0
+    exact = F.when(full, places(text, quoted(span))).otherwise(none)
+    return F.when(F.size(exact) > 0, exact).otherwise(F.when(full, places(alike(text), tolerant)).otherwise(none))
+
+
+def candidates(text: Column, span: Column) -> Column:
+    """0-based places where a span occurs, see ``occurrences``."""
+    return F.transform(occurrences(text, span), lambda x: x["start"])
 
 
 def locate_span(text: Column, span: Column, offset: Column | int = 0, reworded: bool = False) -> Column:
     """{start, end} of the first occurrence of a span, edge punctuation aside; null if there is none. With ``reworded``, words that align count where nothing else is found."""
     bare = F.btrim(span, F.lit(" \t\n\"'«».,;:"))
-    at = F.get(candidates(text, bare), F.lit(0))
-    found = F.when(at.isNotNull(), F.struct((at + offset).cast("int").alias("start"), (at + offset + F.length(bare)).cast("int").alias("end")))
+    at = F.get(occurrences(text, bare), F.lit(0))
+    found = F.when(at.isNotNull(), F.struct((at["start"] + offset).cast("int").alias("start"), (at["end"] + offset).cast("int").alias("end")))
     if not reworded:
         return found
     near = aligned(F.when(at.isNull(), text), bare)

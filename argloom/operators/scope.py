@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from argloom.functions.text import candidates, content_words
+from argloom.functions.text import content_words, occurrences
 
 SPANS = "CAST(array() AS ARRAY<STRUCT<start: INT, end: INT>>)"
 
@@ -49,9 +49,8 @@ def exploded(segments: DataFrame, enumerations: DataFrame) -> DataFrame:
     items = F.when(F.size("items") > 1, F.col("items"))
 
     def place(a: Column, m: Column) -> Column:
-        at = F.get(candidates(F.substr("seg_text", a["at"] + 1), m), F.lit(0))
-        begin = (a["at"] + at).cast("int")
-        end = (begin + F.length(m)).cast("int")
+        at = F.get(occurrences(F.substr("seg_text", a["at"] + 1), m), F.lit(0))
+        begin, end = (a["at"] + at["start"]).cast("int"), (a["at"] + at["end"]).cast("int")
         found = F.struct(end.alias("at"), F.array_append(a["out"], F.struct(begin.alias("start"), end.alias("end"))).alias("out"))
         return F.when(at.isNull(), a).otherwise(found)
 

@@ -67,6 +67,11 @@ def graphs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return _made[key]
 
 
+def forget() -> None:
+    """Makes the next query extract anew, as a benchmark of single queries must."""
+    _made.clear()
+
+
 def _quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 

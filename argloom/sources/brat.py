@@ -167,13 +167,14 @@ def violations(annotations: DataFrame, **names: str) -> DataFrame:
 def repair_offsets(entities: DataFrame, docs: DataFrame, reworded: bool = False) -> DataFrame:
     """Entities whose claimed place does not hold their span move to the nearest place that does (null where there is none). With ``reworded``, a span that is nowhere gives way to the words of the text that align with it."""
     from argloom.functions.aligned import aligned
-    from argloom.functions.text import candidates
+    from argloom.functions.text import occurrences
 
     df = entities.join(docs.select("doc_id", "text"), "doc_id")
     right = F.substr("text", F.col("start") + 1, F.length("span")) == F.col("span")
-    near = F.array_min(F.transform(candidates(F.col("text"), F.col("span")), lambda c: F.struct(F.abs(c - F.col("start")).alias("d"), c.alias("at"))))["at"]
-    start = F.when(right, F.col("start")).otherwise(near).cast("int")
-    moved = df.select("doc_id", "ent_id", "kind", start.alias("start"), (start + F.length("span")).cast("int").alias("end"), "span", *(["text"] if reworded else []))
+    near = F.array_min(F.transform(occurrences(F.col("text"), F.col("span")), lambda c: F.struct(F.abs(c["start"] - F.col("start")).alias("d"), c["start"].alias("at"), c["end"].alias("to"))))
+    start = F.when(right, F.col("start")).otherwise(near["at"]).cast("int")
+    end = F.when(right, F.col("start") + F.length("span")).otherwise(near["to"]).cast("int")
+    moved = df.select("doc_id", "ent_id", "kind", start.alias("start"), end.alias("end"), "span", *(["text"] if reworded else []))
     if not reworded:
         return moved
     moved = moved.withColumn("near", aligned(F.when(F.col("start").isNull(), F.col("text")), F.col("span")))

@@ -56,6 +56,17 @@ def test_reworded_spans(spark):
     assert moved == {"T1": (6, 65, source[6:65]), "T2": (0, 4, "Hier"), "T3": (None, None, list(cases)[2])}
 
 
+def test_tolerant_spans(spark):
+    cases = [
+        ("Il dit : “Éléments   clés” – puis s’en va", '"elements cles" - puis s\'en va', (9, 41)), ("un  deux\tun deux", "UN deux", (0, 8)), ("un\ndeux", "un deux", None), ("a \\E b (c)*", "A \\e  B (C)*", (0, 11)), ("a \\E b", "\\E b", (2, 6)),
+        ("rien", "", None), ("", "rien", None),
+    ]
+    df = spark.createDataFrame([(k, t, s) for k, (t, s, _) in enumerate(cases)], "k int, t string, s string")
+    got = {r.k: [(x.start, x.end) for x in r.x] for r in df.select("k", text.occurrences(F.col("t"), F.col("s")).alias("x")).collect()}
+    assert [got[k][0] if got[k] else None for k in range(len(cases))] == [want for _, _, want in cases]
+    assert got[1] == [(0, 8), (9, 16)]
+
+
 def test_atoms_and_programs(spark):
     entities = spark.createDataFrame([(1, "T1", "Option", 0, 4, "abcd"), (1, "T2", "Context", 5, 9, 'ef"\t\nh')], "doc_id long, ent_id string, kind string, start int, end int, span string")
     events = spark.createDataFrame([(1, "E1", "rule", "T1", [("Condition", "T2"), ("Effect", "T1")])], f"doc_id long, ev_id string, kind string, trigger string, roles {ROLES}")
