@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from argloom.llm import byte_bpe, exact_dedup, jaccard, mixing, quality, secrets, substring_dedup, token_count, toxicity, warc
+from argloom.llm import byte_bpe, exact_dedup, jaccard, kd_shards, mixing, quality, secrets, substring_dedup, token_count, toxicity, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -68,6 +68,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(documents(spark, sf_dir), _tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = kd_shards.shard(documents(spark, sf_dir), dims=("source", "lang", "n_chars"), shards=16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 OP5_SQL = r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -120,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_mixing": op9_mixing,
     "op10_byte_bpe": op10_byte_bpe,
+    "op13_sharding": op13_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op9_mixing": OP9_SQL}
