@@ -114,6 +114,49 @@ SELECT doc_id, size, source_size, target,
 FROM cum JOIN aimed ON cum.source IS NOT DISTINCT FROM aimed.source
 """
 
+#: The table of CRC-32, and the checksum of the bytes of which ``hexes`` are the hexadecimal digits.
+CRC_TABLE = """crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crcs)"""
+
+
+def _crc(hexes: str) -> str:
+    octets = f"list_transform(regexp_extract_all({hexes}, '..'), lambda x: ('0x' || x)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _op13_level(k: int) -> str:
+    """One level of the tree: ends of the nodes, their widest dimension, and the rows that go left."""
+    spread = [f"CASE WHEN w{c} > 0 THEN (b{c} - a{c}) / w{c} ELSE 0.0::DOUBLE END" for c in range(3)]
+    return f"""
+n{k} AS (SELECT node, sum(size) / 2 AS want, {", ".join(f"min(c{c}) AS a{c}, max(c{c}) AS b{c}" for c in range(3))} FROM l{k} GROUP BY node),
+x{k} AS (SELECT node, want, {", ".join(f"{e} AS s{c}" for c, e in enumerate(spread))} FROM n{k}, ends),
+o{k} AS (SELECT l.*, want, CASE WHEN s0 >= s1 AND s0 >= s2 THEN c0 WHEN s1 >= s2 THEN c1 ELSE c2 END AS key FROM l{k} l JOIN x{k} USING (node)),
+p{k} AS (SELECT *, 2 * sum(size) OVER (PARTITION BY node ORDER BY key, k1, k2, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size <= 2 * want AS goes_left FROM o{k}),
+l{k + 1} AS (SELECT * EXCLUDE (node, want, key, goes_left), 2 * node + CASE WHEN goes_left THEN 0 ELSE 1 END AS node FROM p{k})"""
+
+
+def _op13_shared(column: str) -> str:
+    """Hexadecimal digits that all values of a column have at their start, whole bytes."""
+    ends = f"min(hex(encode({column}))) AS a, max(hex(encode({column}))) AS b"
+    return f"(SELECT coalesce(max(i), 0) // 2 * 2 FROM (SELECT a, b, unnest(range(1, 1 + least(len(a), len(b)))) AS i FROM (SELECT {ends} FROM documents)) WHERE a[1:i] = b[1:i])"
+
+
+OP13_SQL = f"""
+WITH {CRC_TABLE},
+chars AS (SELECT min(n_chars)::DOUBLE AS least, max(n_chars)::DOUBLE AS most FROM documents),
+l0 AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, {_crc("hex(encode(coalesce(text, '')))")} AS text_crc32,
+         coalesce(('0x' || rpad(substr(hex(encode(source)), 1 + {_op13_shared("source")}, 12), 12, '0'))::BIGINT, -1) AS c0,
+         coalesce(('0x' || rpad(substr(hex(encode(lang)), 1 + {_op13_shared("lang")}, 12), 12, '0'))::BIGINT, -1) AS c1,
+         coalesce(CASE WHEN least = most THEN 0 ELSE floor((n_chars::DOUBLE - least) / (most - least) * 281474976710655.0::DOUBLE)::BIGINT END, -1) AS c2,
+         ('0x' || md5(coalesce(text, ''))[1:12])::BIGINT AS k1, ('0x' || md5(coalesce(doc_id::VARCHAR, ''))[1:12])::BIGINT AS k2, 1 AS node
+  FROM documents, crc_table, chars),
+ends AS (SELECT {", ".join(f"max(c{c}) - min(c{c}) AS w{c}" for c in range(3))} FROM l0),{",".join(map(_op13_level, range(4)))}
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, (node - 16)::INT AS shard,
+       row_number() OVER (PARTITION BY node ORDER BY xor(k1, k2), doc_id) - 1 AS slot, NULL::INT AS grown_shard
+FROM l4
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -128,4 +171,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_sharding": op13_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op9_mixing": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op9_mixing": OP9_SQL, "op13_sharding": OP13_SQL}
