@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from argloom.llm import byte_bpe, exact_dedup, jaccard, kd_shards, mixing, quality, secrets, substring_dedup, token_count, toxicity, warc
+from argloom.llm import byte_bpe, conversation_trie, exact_dedup, jaccard, kd_shards, mixing, quality, secrets, substring_dedup, token_count, toxicity, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -68,6 +68,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(documents(spark, sf_dir), _tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.family_trie(table(spark, sf_dir, "conversations"), family=100, heads=6)
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = kd_shards.shard(documents(spark, sf_dir), dims=("source", "lang", "n_chars"), shards=16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -157,6 +161,29 @@ SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, (node - 16)::IN
 FROM l4
 """
 
+OP11_SQL = f"""
+WITH {CRC_TABLE},
+turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, md5(coalesce(role, '')) || md5(coalesce(text, '')) AS mark, len(coalesce(text, '')) AS chars
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, count(*) AS own, {_crc("hex(encode(c::VARCHAR))")} % 6 AS h, c - c % 100 AS host FROM turns, crc_table GROUP BY c, crcs),
+heads AS (SELECT v.c, v.h, v.host, least(v.h, coalesce(w.own, 0)) AS taken FROM convs v LEFT JOIN convs w ON w.c = v.host),
+rebuilt AS (
+  SELECT h.c, pos, mark, chars FROM heads h JOIN turns t ON t.c = h.host WHERE pos <= taken
+  UNION ALL SELECT h.c, pos - h + taken, mark, chars FROM heads h JOIN turns t ON t.c = h.c WHERE pos > h),
+whole AS (SELECT c, coalesce(list(mark ORDER BY pos) FILTER (mark IS NOT NULL), []) AS marks, list(chars ORDER BY pos) FILTER (mark IS NOT NULL) AS chars FROM heads LEFT JOIN rebuilt USING (c) GROUP BY c),
+starts AS (SELECT c, marks, chars, unnest(range(0, len(marks) + 1)) AS depth FROM whole),
+nodes AS (
+  SELECT array_to_string(marks[1:depth], '') AS node, depth, min(c) AS conv_id, count(*) AS n, max(coalesce(chars[depth], 0)) AS chars,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (depth = len(marks)), '')) AS ends_sha256
+  FROM starts GROUP BY ALL),
+children AS (SELECT node[1:64 * (depth - 1)] AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+tall AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (node)),
+above AS (SELECT node[1:64 * i] AS node, sum((n - 1) * chars) AS saved, count(*) FILTER (n_children = 0) AS leaves FROM (SELECT *, unnest(range(0, depth + 1)) AS i FROM tall) GROUP BY ALL)
+SELECT t.conv_id, t.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, t.n AS n_convs, t.n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens, t.ends_sha256
+FROM tall t JOIN above USING (node) LEFT JOIN nodes p ON t.depth > 0 AND p.node = t.node[1:64 * (t.depth - 1)]
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -168,7 +195,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_mixing": op9_mixing,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_conversation_trie": op11_conversation_trie,
     "op13_sharding": op13_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op9_mixing": OP9_SQL, "op13_sharding": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op9_mixing": OP9_SQL, "op11_conversation_trie": OP11_SQL, "op13_sharding": OP13_SQL}
