@@ -68,10 +68,10 @@ def codes(rows: DataFrame, dims: tuple[str, ...]) -> list[Column]:
 
 
 def measure(docs: DataFrame, dims: tuple[str, ...], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """n (a number for the row), id, size, crc, c0, c1, ... (dimensions), k1, k2 (text, id) of every row: written once, without texts."""
+    """node (1), n (a number for the row), id, size, crc, c0, c1, ... (dimensions), k1, k2 (text, id) of every row: written once, without texts."""
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     return cut(docs.select(
-        F.monotonically_increasing_id().alias("n"), F.col(doc_id).alias("id"), (F.octet_length(body) + 1).cast("long").alias("size"),
+        F.lit(1).cast("long").alias("node"), F.monotonically_increasing_id().alias("n"), F.col(doc_id).alias("id"), (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(body).alias("crc"), *[c.alias(f"c{k}") for k, c in enumerate(codes(docs, dims))], _hash(F.col(text)).alias("k1"), _hash(F.col(doc_id)).alias("k2"),
     ))
 
@@ -158,7 +158,7 @@ def medians(rows: DataFrame, nodes: DataFrame, n_dims: int) -> DataFrame:
 def tree(rows: DataFrame, n_dims: int, shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
     """rows with ``shard``: the leaf of the k-d tree that a row falls into, numbered from left to right. Rows are those of ``measure``."""
     # of a row's node: its number, its leaves, and the leaves to their left
-    rows = rows.withColumns({"node": F.lit(1).cast("long"), "leaves": F.lit(1).cast("long"), "first": F.lit(0).cast("long")})
+    rows = rows.withColumns({"leaves": F.lit(1).cast("long"), "first": F.lit(0).cast("long")})
     whole = _nodes(rows, n_dims).first()
     if whole is None:
         return rows.withColumnRenamed("first", "shard").drop("node", "leaves")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from argloom.llm import byte_bpe, conversation_trie, exact_dedup, jaccard, kd_shards, mixing, quality, secrets, substring_dedup, token_count, toxicity, warc
+from argloom.llm import byte_bpe, conversation_trie, exact_dedup, jaccard, kd_shards, mixing, quality, secrets, substring_dedup, token_count, toxicity, warc, whitening
 
 
 def _tokenizer(name: str) -> str:
@@ -72,6 +72,11 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.family_trie(table(spark, sf_dir, "conversations"), family=100, heads=6)
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
+    return white.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = kd_shards.shard(documents(spark, sf_dir), dims=("source", "lang", "n_chars"), shards=16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -196,6 +201,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_conversation_trie": op11_conversation_trie,
+    "op12_embedding_whitening": op12_embedding_whitening,
     "op13_sharding": op13_sharding,
 }
 
