@@ -1,4 +1,4 @@
-"""Scalar text functions, of built-in expressions but for the alignment of reworded spans."""
+"""Scalar text functions, of built-in expressions."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from argloom.functions import cues
-from argloom.functions.aligned import aligned
 
 ACCENTED = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿ’"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy'"
@@ -99,15 +98,15 @@ def candidates(text: Column, span: Column) -> Column:
     return F.transform(occurrences(text, span), lambda x: x["start"])
 
 
-def locate_span(text: Column, span: Column, offset: Column | int = 0, reworded: bool = False) -> Column:
-    """{start, end} of the first occurrence of a span, edge punctuation aside; null if there is none. With ``reworded``, words that align count where nothing else is found."""
-    bare = F.btrim(span, F.lit(" \t\n\"'«».,;:"))
-    at = F.get(occurrences(text, bare), F.lit(0))
-    found = F.when(at.isNotNull(), F.struct((at["start"] + offset).cast("int").alias("start"), (at["end"] + offset).cast("int").alias("end")))
-    if not reworded:
-        return found
-    near = aligned(F.when(at.isNull(), text), bare)
-    return F.coalesce(found, F.when(near.isNotNull(), F.struct((near[0] + offset).cast("int").alias("start"), (near[1] + offset).cast("int").alias("end"))))
+def trimmed_span(span: Column) -> Column:
+    """A span without the punctuation at its edges."""
+    return F.btrim(span, F.lit(" \t\n\"'«».,;:"))
+
+
+def locate_span(text: Column, span: Column, offset: Column | int = 0) -> Column:
+    """{start, end} of the first occurrence of a span, edge punctuation aside; null if there is none. ``aligned.located`` finds reworded ones too."""
+    at = F.get(occurrences(text, trimmed_span(span)), F.lit(0))
+    return F.when(at.isNotNull(), F.struct((at["start"] + offset).cast("int").alias("start"), (at["end"] + offset).cast("int").alias("end")))
 
 
 def atom_id(identifier: Column) -> Column:

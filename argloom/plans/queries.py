@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from argloom.functions import cues, text
+from argloom.functions import aligned, cues, text
 from argloom.operators import evaluate, graph, relate, scope, score, vote
 from argloom.operators.segment import segments
 from argloom.plans import parsing
@@ -130,15 +130,19 @@ def located_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, CASE WHEN p_partkey % 4 < 3 THEN 5 END AS start, CASE WHEN p_partkey % 4 < 3 THEN CAST(5 + length('Le dépôt garde la pièce numéro  pour un an') + length(p_name) AS INT) END AS "end" FROM part""")
+SELECT p_partkey, CASE WHEN p_partkey % 8 < 6 THEN 5 END AS start, CASE WHEN p_partkey % 8 < 6 THEN CAST(5 + length('Le dépôt garde la pièce numéro  pour un an') + length(p_name) AS INT) END AS "end" FROM part""")
 def reworded_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans as they are, without accents and reworded are found; invented ones are not."""
+    """Spans as they are, without accents, with a word more, fewer, swapped or replaced are found; invented ones and those with three other words of eleven are not."""
     sentence = lambda a, b: F.concat(F.lit(a), "p_name", F.lit(b))
     said = sentence("Le dépôt garde la pièce numéro ", " pour un an")
-    k = F.col("p_partkey") % 4
-    claim = F.when(k == 0, said).when(k == 1, sentence("Le depot garde la piece numero ", " pour un an")).when(k == 2, sentence("le dépôt garde donc la pièce numéro ", ", pour un an")).otherwise(F.lit("rien de tout cela ne figure ici"))
+    claims = [
+        said, sentence("Le depot garde la piece numero ", " pour un an"), sentence("le dépôt garde donc la pièce numéro ", ", pour un an"), sentence("Le dépôt garde la pièce ", " pour un an"),
+        sentence("Le dépôt garde pièce la numéro ", " pour un an"), sentence("le dépôt conserve la pièce numéro ", " pour un an"), F.lit("rien de tout cela ne figure ici"), sentence("Le dépôt vend une pièce ancienne ", " pour un an"),
+    ]
+    claim = F.coalesce(*[F.when(F.col("p_partkey") % 8 == k, c) for k, c in enumerate(claims)])
     whole = F.concat(F.lit("Oui, "), said, F.lit(". Mais rien de plus."))
-    return table(spark, sf_dir, "part").select("p_partkey", text.locate_span(whole, claim, reworded=True).alias("x")).select("p_partkey", "x.start", "x.end")
+    rows = table(spark, sf_dir, "part").select("p_partkey", whole.alias("text"), claim.alias("span"))
+    return aligned.located(rows, ["p_partkey"]).select("p_partkey", "at.start", "at.end")
 
 
 # --- relations

@@ -166,17 +166,19 @@ def violations(annotations: DataFrame, **names: str) -> DataFrame:
 
 def repair_offsets(entities: DataFrame, docs: DataFrame, reworded: bool = False) -> DataFrame:
     """Entities whose claimed place does not hold their span move to the nearest place that does (null where there is none). With ``reworded``, a span that is nowhere gives way to the words of the text that align with it."""
-    from argloom.functions.aligned import aligned
-    from argloom.functions.text import occurrences
+    from argloom.functions.aligned import places
+    from argloom.functions.text import occurrences, trimmed_span
 
     df = entities.join(docs.select("doc_id", "text"), "doc_id")
     right = F.substr("text", F.col("start") + 1, F.length("span")) == F.col("span")
     near = F.array_min(F.transform(occurrences(F.col("text"), F.col("span")), lambda c: F.struct(F.abs(c["start"] - F.col("start")).alias("d"), c["start"].alias("at"), c["end"].alias("to"))))
     start = F.when(right, F.col("start")).otherwise(near["at"]).cast("int")
     end = F.when(right, F.col("start") + F.length("span")).otherwise(near["to"]).cast("int")
-    moved = df.select("doc_id", "ent_id", "kind", start.alias("start"), end.alias("end"), "span", *(["text"] if reworded else []))
+    moved = df.select("doc_id", "ent_id", "kind", start.alias("start"), end.alias("end"), "span", "text")
     if not reworded:
-        return moved
-    moved = moved.withColumn("near", aligned(F.when(F.col("start").isNull(), F.col("text")), F.col("span")))
-    a, b = F.col("near")[0], F.col("near")[1]
-    return moved.select("doc_id", "ent_id", "kind", F.coalesce("start", a).alias("start"), F.coalesce("end", b).alias("end"), F.when(F.col("near").isNotNull(), F.substr("text", a + 1, b - a)).otherwise(F.col("span")).alias("span"))
+        return moved.drop("text")
+    keys = ["doc_id", "ent_id"]
+    lost = moved.where("start IS NULL").select(*keys, "text", trimmed_span(F.col("span")).alias("span"))
+    found = places(lost, keys).select(*keys, F.col("start").alias("a"), F.col("end").alias("b"))
+    span = F.when(F.col("a").isNotNull(), F.substr("text", F.col("a") + 1, F.col("b") - F.col("a"))).otherwise(F.col("span"))
+    return moved.join(found, keys, "left").select(*keys, "kind", F.coalesce("start", "a").cast("int").alias("start"), F.coalesce("end", "b").cast("int").alias("end"), span.alias("span"))

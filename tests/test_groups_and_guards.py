@@ -1,10 +1,11 @@
 import json
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from argloom.functions import text
+from argloom.functions import aligned, text
 from argloom.operators import evaluate, graph, scope
 from argloom.operators.segment import segments
 from argloom.sources import brat, corpus
@@ -49,13 +50,52 @@ def test_reworded_spans(spark):
         "Hier le client du mois": None,  # shared, but over too long a stretch
     }
     df = spark.createDataFrame([(k, source, s) for k, s in enumerate(cases)] + [(8, None, "a b c d e"), (9, source, None)], "k int, t string, s string")
-    got = {r.k: r.x and (r.x.start, r.x.end) for r in df.select("k", text.locate_span(F.col("t"), F.col("s"), reworded=True).alias("x")).collect()}
+    got = {r.k: r.x and (r.x.start, r.x.end) for r in aligned.located(df, ["k"], "t", "s").select("k", F.col("at").alias("x")).collect()}
     assert got == dict(enumerate(cases.values())) | {8: None, 9: None}
     claims = spark.createDataFrame([(1, "T1", "Option", 0, 9, list(cases)[1]), (1, "T2", "Option", 0, 4, "Hier"), (1, "T3", "Option", 0, 4, list(cases)[2])], "doc_id long, ent_id string, kind string, start int, end int, span string")
     moved = {r.ent_id: (r.start, r.end, r.span) for r in brat.repair_offsets(claims, spark.createDataFrame([(1, source)], "doc_id long, text string"), reworded=True).collect()}
     assert moved == {"T1": (6, 65, source[6:65]), "T2": (0, 4, "Hier"), "T3": (None, None, list(cases)[2])}
 
 
+def held(words, sought):
+    """Every stretch, and the longest common subsequence in each."""
+    best = None
+    for a in range(len(words)):
+        row, reach = [0] * (len(sought) + 1), int(len(sought) * 1.4)
+        for b in range(a, min(len(words), a + reach)):
+            new = row[:]
+            for j, w in enumerate(sought):
+                new[j + 1] = max(new[j], row[j + 1], row[j] + (w == words[b]))
+            row = new
+            if row[-1] >= 0.8 * len(sought):
+                best = max(best or (0,), (row[-1], a - b, -a))
+    return best and (-best[2], -best[2] - best[1])
+
+
+def test_stretches_against_brute_force(spark):
+    draw = random.Random(11)
+    rows, want = [], {}
+    for k in range(150):
+        text_words = [draw.choice("abcdefgh") * draw.randint(1, 2) for _ in range(draw.randint(0, 60))]
+        at = draw.randint(0, 40)
+        sought = text_words[at : at + draw.randint(5, 12)]
+        for _ in range(draw.randint(0, 3)):
+            if sought:
+                x = draw.randrange(len(sought))
+                sought = draw.choice([sought[:x] + sought[x + 1 :], sought[:x] + ["neu"] + sought[x:], sought[:x] + sought[x : x + 2][::-1] + sought[x + 2 :], sought[:x] + ["alt"] + sought[x + 1 :]])
+        spread, text = [], ""
+        for w in text_words:
+            text += draw.choice([" ", ", ", "\n"])
+            spread.append((len(text), len(text) + len(w)))
+            text += w
+        rows.append((k, text, " ".join(sought)))
+        place = held(text_words, sought) if len(sought) >= 5 else None
+        if place:
+            want[k] = (spread[place[0]][0], spread[place[1]][1])
+    df = spark.createDataFrame([*rows, (900, None, "a b c d e"), (901, "a b c d e", None), (902, "", "a b c d e")], "k int, text string, span string")
+    assert {r.k: (r.start, r.end) for r in aligned.places(df, ["k"]).collect()} == want and 60 < len(want) < 150
+
+
 def test_tolerant_spans(spark):
     cases = [
         ("Il dit : “Éléments   clés” – puis s’en va", '"elements cles" - puis s\'en va', (9, 41)), ("un  deux\tun deux", "UN deux", (0, 8)), ("un\ndeux", "un deux", None), ("a \\E b (c)*", "A \\e  B (C)*", (0, 11)), ("a \\E b", "\\E b", (2, 6)),
