@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from argloom.functions import cues
 from argloom.functions.text import fold, stems
-from argloom.operators import parsed, relate
+from argloom.operators import parsed, relate, verify
 from argloom.operators.segment import segments
 from argloom.session import cut
 
@@ -42,13 +42,14 @@ def rules(features: DataFrame, grounds: DataFrame) -> DataFrame:
     return one.select("doc_id", number.alias("rule_no"), "conclusion", (F.col("v") + 1).alias("variant_no"), "conditions")
 
 
-def keys(features: DataFrame, grounds: DataFrame, proven: DataFrame) -> DataFrame:
-    """doc_id, seg_no, kind (Option or Context), entity (segment whose span stands for it)."""
+def keys(features: DataFrame, grounds: DataFrame, proven: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """doc_id, seg_no, kind (Option or Context), entity (segment whose span stands for it). labelled: doc_id, seg_no of propositions besides those that proofs show."""
     concluded = grounds.select("doc_id", F.col("conclusion").alias("seg_no")).distinct().withColumn("is_option", F.lit(True))
     used = grounds.select("doc_id", F.col("premise").alias("seg_no")).distinct().withColumn("is_used", F.lit(True))
     ends = proven.where("NOT premise_out AND (conclusion_out OR can_conclude)").select("doc_id", F.col("premise").alias("seg_no")).unionAll(
         proven.where("NOT conclusion_out AND can_conclude").select("doc_id", F.col("conclusion").alias("seg_no"))
-    ).distinct().withColumn("is_proposition", F.lit(True))
+    )
+    ends = (ends if labelled is None else ends.unionByName(labelled)).distinct().withColumn("is_proposition", F.lit(True))
     no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
     younger = F.col("younger") if "younger" in features.columns else F.lit(False)
     df = features.select("doc_id", "seg_no", "seg_text", "ranking", "recall", younger.alias("younger")).join(concluded, ["doc_id", "seg_no"], "left").join(used, ["doc_id", "seg_no"], "left").join(ends, ["doc_id", "seg_no"], "left")
@@ -206,17 +207,39 @@ def option_scopes(grounds: DataFrame) -> DataFrame:
     return sets.groupBy("doc_id", "scenario").agg(F.sort_array(F.collect_list("conclusion")).alias("members")).where(F.size("members") > 1).select("doc_id", "members")
 
 
-def extract(docs: DataFrame, tokens: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All tables of the argument graphs of docs (doc_id, text). With tokens of a parser (see ``parsed``), coordinated subordinates are siblings."""
+def extract(docs: DataFrame, tokens: DataFrame | None = None, replies: DataFrame | None = None, strategy: str = "hybrid") -> dict[str, DataFrame]:
+    """All tables of the argument graphs of docs (doc_id, text).
+
+    With tokens of a parser (see ``parsed``), coordinated subordinates are siblings, and what
+    can conclude or condition is as the parse says. With replies of a model (see ``verify``),
+    grounds are what proofs and replies make stand; ``questions`` holds, by stage, what
+    there is to ask, the answered questions included.
+    """
     features = cut(relate.featured(segments(docs) if tokens is None else parsed.divided(segments(docs), tokens)))
     siblings = None if tokens is None else parsed.siblings(features)
+    own_tokens = None if tokens is None else parsed.moved(tokens, features)
+    able = None if tokens is None else cut(parsed.able(features, own_tokens))
     edge_rows = cut(relate.edges(features))
     proven = cut(relate.proofs(features, edge_rows, siblings=siblings))
-    ground = cut(relate.grounds(features, proven, siblings))
-    key_rows = cut(keys(features, ground, proven))
+    labelled, questions = None, {}
+    if replies is None:
+        ground = relate.grounds(features, proven, siblings)
+        if able is not None:
+            ends = lambda side, flag: able.where(flag).select("doc_id", F.col("seg_no").alias(side))
+            ground = ground.join(ends("conclusion", "can_conclude"), ["doc_id", "conclusion"], "left_semi").join(ends("premise", "can_condition"), ["doc_id", "premise"], "left_semi")
+    else:
+        flow = features.where("NOT out_of_flow")
+        labelled = cut(verify.labelled(flow, replies))
+        sure = proven.where("NOT premise_out AND NOT conclusion_out").select("doc_id", "premise", "conclusion")
+        shown = sure.select("doc_id", F.explode(F.array("premise", "conclusion")).alias("seg_no"))
+        singular_of = None if own_tokens is None else lambda pairs: parsed.singular_events(pairs, parsed.tense(parsed.fragments(own_tokens)))
+        questions = verify.run(features, shown.unionByName(labelled).distinct(), sure, replies, strategy, siblings, singular_of, able)
+        ground = questions.pop("grounds")
+    ground = cut(ground)
+    key_rows = cut(keys(features, ground, proven, labelled))
     rule_rows = cut(rules(features, ground))
     rank = cut(ranking_rows(features, ground, key_rows))
     prefs = cut(preferences(rank, rule_rows))
     metas = meta_preferences(prefs)
     seg = features.select("doc_id", "seg_no", "start", "end", "seg_text", "gap", "paragraph", "speaker")
-    return {"segments": seg, "features": features, "edges": edge_rows, "proofs": proven, "grounds": ground, "keys": key_rows, "rules": rule_rows, "rankings": rank, "preferences": prefs, "meta_preferences": metas, "complements": complements(rank), "scopes": option_scopes(ground)}
+    return {"segments": seg, "features": features, "edges": edge_rows, "proofs": proven, "grounds": ground, "keys": key_rows, "rules": rule_rows, "rankings": rank, "preferences": prefs, "meta_preferences": metas, "complements": complements(rank), "scopes": option_scopes(ground), **({"questions": questions} if questions else {})}

@@ -113,7 +113,7 @@ def coordinated_cuts(t: Column) -> Column:
 
 
 def divided(segments: DataFrame, tokens: DataFrame, least: int = LEAST) -> DataFrame:
-    """segments cut before coordinated subordinates and numbered again, with ``younger``: whether a row continues the one before it. Pieces under the least length go to the gap."""
+    """segments cut before coordinated subordinates and numbered again, with ``younger``: whether a row continues the one before it, and old_no and shift: the segment it was and its place there. Pieces under the least length go to the gap."""
     cuts = fragments(tokens).select("doc_id", "seg_no", coordinated_cuts(F.col("t")).alias("cuts"))
     rows = segments.join(cuts, ["doc_id", "seg_no"], "left")
     bounds = F.concat(F.array(F.lit(0)), F.coalesce("cuts", F.expr("CAST(array() AS ARRAY<INT>)")), F.array(F.length("seg_text")))
@@ -133,9 +133,27 @@ def divided(segments: DataFrame, tokens: DataFrame, least: int = LEAST) -> DataF
     rows = rows.withColumn("gap", gap).withColumn("bare", F.rtrim("gap", F.lit(" \t\r\n")))
     before = F.when(F.col("bare") != "", F.right("bare", F.lit(1))).when(inner, F.substr("seg_text", F.col("last.e"), F.lit(1))).otherwise(F.col("prefix_end"))
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("at"))
+    rows = rows.withColumn("old_no", F.col("seg_no")).withColumn("shift", F.col("x.s"))
     moved = rows.withColumn("prefix_end", before).withColumn("at", F.col("start") + F.col("x.s")).withColumn("end", F.col("start") + F.col("x.e"))
     moved = moved.withColumn("seg_no", number).withColumn("start", F.col("at")).withColumn("seg_text", F.substr("seg_text", F.col("x.s") + 1, F.col("x.e") - F.col("x.s")))
-    return moved.withColumn("younger", F.coalesce(F.col("last.k") == F.col("x.k") - 1, F.lit(False))).select(*segments.columns, "younger")
+    return moved.withColumn("younger", F.coalesce(F.col("last.k") == F.col("x.k") - 1, F.lit(False))).select(*segments.columns, "younger", "old_no", "shift")
+
+
+def moved(tokens: DataFrame, divided_rows: DataFrame) -> DataFrame:
+    """Tokens of the pieces of ``divided``: numbered and placed anew; what hangs from a word of another piece is a root."""
+    pieces = divided_rows.select("doc_id", "seg_no", "old_no", "shift", F.length("seg_text").alias("long"))
+    own = tokens.withColumnRenamed("seg_no", "old_no").join(pieces, ["doc_id", "old_no"]).where("start >= shift AND start < shift + long")
+    whole = Window.partitionBy("doc_id", "seg_no")
+    own = own.withColumns({"least": F.min("i").over(whole), "most": F.max("i").over(whole)})
+    head = F.when(F.col("head").between(F.col("least"), F.col("most")), F.col("head")).otherwise(F.col("i")) - F.col("least")
+    return own.withColumn("head", head).withColumns({"i": F.col("i") - F.col("least"), "start": F.col("start") - F.col("shift")}).select(*tokens.columns)
+
+
+def able(features: DataFrame, tokens: DataFrame) -> DataFrame:
+    """doc_id, seg_no, can_conclude, can_condition of all segments: as the surface says, and as the parse does where there is one."""
+    frags = fragments(tokens).select("doc_id", "seg_no", can_conclude(F.col("t")).alias("ends"), can_condition(F.col("t")).alias("begins"))
+    both = features.select("doc_id", "seg_no", "can_conclude").join(frags, ["doc_id", "seg_no"], "left")
+    return both.select("doc_id", "seg_no", (F.col("can_conclude") & F.coalesce("ends", F.lit(True))).alias("can_conclude"), F.coalesce("begins", F.lit(True)).alias("can_condition"))
 
 
 def siblings(divided_rows: DataFrame) -> DataFrame:

@@ -11,13 +11,13 @@ from pyspark.sql.window import WindowSpec
 from argloom.functions import aligned, cues, text
 from argloom.operators import evaluate, graph, relate, scope, score, vote
 from argloom.operators.segment import segments
-from argloom.plans import parsing
+from argloom.plans import parsing, replies
 from argloom.plans.textgen import corpus, expected_sql, graphs
 from argloom.sources import brat
 from argloom.sources import corpus as corpora
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(parsing.QUERIES)
-ORACLE_SQL: dict[str, str] = dict(parsing.ORACLE_SQL)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = parsing.QUERIES | replies.QUERIES
+ORACLE_SQL: dict[str, str] = parsing.ORACLE_SQL | replies.ORACLE_SQL
 
 
 def query(sql: str | None = None) -> Callable:

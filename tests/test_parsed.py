@@ -105,7 +105,7 @@ def test_coordinated_siblings(spark):
     docs = spark.createDataFrame([(1, f"{fragment}, le trajet est annulé."), (2, f"{fragment}, le trajet est annulé.")], "doc_id long, text string")
     plain = segments(docs)
     rows = parsed.divided(plain, sister_tokens(spark, 1, fragment))
-    assert rows.columns == [*plain.columns, "younger"]
+    assert rows.columns == [*plain.columns, "younger", "old_no", "shift"]
     got = sorted((r.doc_id, r.seg_no, r.seg_text, r.gap, r.prefix_end, r.younger, r.end - r.start) for r in rows.collect())
     assert got[:3] == [(1, 1, "Comme le prix baisse", "", "", False, 20), (1, 2, "et que la pluie tombe", " ", "e", True, 21), (1, 3, "le trajet est annulé", ", ", ",", False, 20)]
     assert [g[2] for g in got[3:]] == [fragment, "le trajet est annulé"]
