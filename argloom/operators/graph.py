@@ -215,6 +215,8 @@ def extract(docs: DataFrame, tokens: DataFrame | None = None, replies: DataFrame
     grounds are what proofs and replies make stand; ``questions`` holds, by stage, what
     there is to ask, the answered questions included.
     """
+    # dealt by document once: windows and joins by document that follow find their rows in place
+    docs = docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     features = cut(relate.featured(segments(docs) if tokens is None else parsed.divided(segments(docs), tokens)))
     siblings = None if tokens is None else parsed.siblings(features)
     own_tokens = None if tokens is None else parsed.moved(tokens, features)

@@ -21,6 +21,8 @@ CUT, GLUE = "\\u0001", "\u0001\u0002"
 IN = r"[^\u0001]"
 #: A search inside a piece starts at the piece or after the cut before, nowhere else: long pieces are walked once.
 FROM = r"(?:\G|(?<=\u0001))"
+#: What is somewhere in a text, in lower case, if a ranking is: stems of all cues and comparatives, any letter for an accented one.
+STEMS = r"p(?:r(?:im|.vaut|.f.r|iorit|ivil)|ass)|emporte|supplante|d.triment|le pas"
 #: What a ranking looks like in folded text.
 RANKS = "(?U)" + "|".join([r"(?<!\w)(?:" + "|".join(sorted(cues.RANKING_FOLDED, key=len, reverse=True)) + r")(?!\w)", cues.COMPARATIVE_FOLDED, cues.ELIDED_WINNER_FOLDED, cues.ELIDED_LOSER_FOLDED])
 
@@ -83,7 +85,16 @@ def measured(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     df = df.withColumn("cast", F.array_distinct(F.filter("name", lambda x: x.isNotNull())))
     df = df.withColumn("turn", F.transform("name", lambda x, i: F.when(x.isNotNull(), i + 1).otherwise(0)))
     df = ran(df, "earlier", ["turn"], lambda z: z["turn"], F.greatest)
-    return df.select("doc_id", "text", "cast", "name", F.arrays_zip("x", "at", "opened", "paragraph", F.transform(F.arrays_zip("turn", "earlier"), lambda z: F.greatest(z["turn"], z["earlier"])).alias("turn")).alias("x"))
+    # where sentences end, of texts with a ranking: pieces with a mark that opens the next, and with one that ends the last
+    df = df.withColumn("ranked", F.lower("text").rlike(STEMS))
+    for name, has in (("open", lambda x: x["mark"] > 0), ("stop", lambda x: x["p"].rlike(r"[.\n]"))):
+        df = df.withColumn("v", F.when(F.col("ranked"), F.transform("x", has)).otherwise(F.expr("CAST(array() AS ARRAY<BOOLEAN>)")))
+        df = df.withColumn(f"{name}s", F.filter(F.transform("v", lambda x, i: F.when(x, i)), lambda i: i.isNotNull()))
+        df = ran(df, f"{name}s_before", ["v"], lambda z: z["v"].cast("int"), add)
+    return df.select(
+        "doc_id", "text", "cast", "name", "ranked", "opens", "opens_before", "stops", "stops_before",
+        F.arrays_zip("x", "at", "opened", "paragraph", F.transform(F.arrays_zip("turn", "earlier"), lambda z: F.greatest(z["turn"], z["earlier"])).alias("turn")).alias("x"),
+    )
 
 
 def ran(df: DataFrame, name: str, of: list[str], value: Callable[[Column], Column], over: Callable[[Column, Column], Column]) -> DataFrame:
@@ -131,15 +142,32 @@ def segments(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         return F.when(i == j, one).otherwise(F.concat(F.substr(x(i)["p"], x(i)["lead"] + 1), F.array_join(middle, ""), F.substr(x(j)["p"], F.lit(1), x(j)["n"] - x(j)["tail"])))
 
     found = F.transform("runs", lambda r, k: F.struct(
-        (k + 1).alias("seg_no"), (y(r["i"])["at"] + x(r["i"])["lead"]).alias("start"), (y(r["j"])["at"] + x(r["j"])["n"] - x(r["j"])["tail"]).alias("end"),
+        r.alias("r"), (k + 1).alias("seg_no"), (y(r["i"])["at"] + x(r["i"])["lead"]).alias("start"), (y(r["j"])["at"] + x(r["j"])["n"] - x(r["j"])["tail"]).alias("end"),
         words(r).alias("seg_text"), between(r["before"], r["i"]).alias("gap"), F.when(r["before"] >= 0, F.right(F.substr(x(r["before"])["p"], F.lit(1), x(r["before"])["n"] - x(r["before"])["tail"]), F.lit(1))).otherwise("").alias("last"),
         F.when(x(r["i"])["lead_mark"] > 0, y(r["i"])["at"] + x(r["i"])["lead_mark"]).otherwise(y(r["i"])["opened"]).alias("sentence_open"), y(r["i"])["paragraph"].alias("paragraph"),
         F.when(y(r["i"])["turn"] > 0, F.array_position(F.col("cast"), F.get(F.col("name"), y(r["i"])["turn"] - 1)) - 1).otherwise(F.lit(0)).cast("int").alias("speaker"),
     ))
-    rest = lambda s: F.regexp_extract(F.substr("text", s["end"] + 1), r"^[^.\n]*+[.\n]?", 0)
-    sentence = lambda s: F.when(fold(s["seg_text"]).rlike(RANKS), F.concat(F.substr("text", s["sentence_open"] + 1, s["end"] - s["sentence_open"]), rest(s)))
+    def sentence(r: Column, seg_text: Column) -> Column:
+        """From the last mark before a segment to the next one after it, put together of the pieces in between."""
+        i, j = r["i"], r["j"]
+        opener = F.coalesce(F.get("opens", F.get("opens_before", i) - 1), F.lit(-1))
+        inside = x(i)["lead_mark"]
+        before = F.when(inside > 0, F.substr(x(i)["p"], inside + 1, x(i)["lead"] - inside)).otherwise(F.concat(
+            F.when(opener < 0, "").otherwise(F.right(x(opener)["p"], x(opener)["n"] - x(opener)["mark"])),
+            F.array_join(F.transform(F.slice("x", opener + 2, i - opener - 1), lambda z: z["x"]["p"]), ""), F.substr(x(i)["p"], F.lit(1), x(i)["lead"]),
+        ))
+        tail = F.right(x(j)["p"], x(j)["tail"])
+        stop = F.coalesce(F.get("stops", F.get("stops_before", j) + x(j)["p"].rlike(r"[.\n]").cast("int")), F.size("x"))
+        upto = lambda t: F.regexp_extract(t, r"^[^.\n]*+[.\n]?", 0)
+        onward = F.concat(tail, F.array_join(F.transform(F.slice("x", j + 2, stop - j - 1), lambda z: z["x"]["p"]), ""), F.coalesce(upto(x(stop)["p"]), F.lit("")))
+        return F.concat(before, seg_text, F.when(tail.rlike(r"[.\n]"), upto(tail)).otherwise(onward))
+
     fields = ["seg_no", "start", "end", "seg_text", "gap", "last", "sentence_open", "paragraph", "speaker"]
-    df = df.withColumn("found", found).withColumn("found", F.transform("found", lambda s: F.struct(*[s[f].alias(f) for f in fields], sentence(s).alias("sentence"))))
+    df = df.withColumn("found", found)
+    zipped = F.arrays_zip(F.col("found").alias("s"), F.array_repeat("ranked", F.size("found")).alias("ranked"))
+    df = df.withColumn("found", F.transform(zipped, lambda z: F.struct(
+        *[z["s"][f].alias(f) for f in fields], F.when(z["ranked"], F.when(fold(z["s"]["seg_text"]).rlike(RANKS), sentence(z["s"]["r"], z["s"]["seg_text"]))).alias("sentence"),
+    )))
     # outer, as else a filter on the array's size is inferred and all of the above is worked out again for it
     one = df.select("doc_id", F.inline_outer("found")).where("seg_no IS NOT NULL").withColumn("bare", F.rtrim("gap", F.lit(" \t\r\n")))
     return one.select("doc_id", "seg_no", "start", "end", "seg_text", "gap", F.when(F.col("bare") != "", F.right("bare", F.lit(1))).otherwise(F.col("last")).alias("prefix_end"), "sentence", "sentence_open", "paragraph", "speaker")
