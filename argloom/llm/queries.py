@@ -30,7 +30,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return secrets.scan(docs, secrets.train(secrets.labelled(docs)))
+    return secrets.scan(docs, *secrets.fit(secrets.labelled(docs)))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
