@@ -80,12 +80,55 @@ def score(produced: tuple[DataFrame, DataFrame], reference: tuple[DataFrame, Dat
 
 def ratios(counts: DataFrame, *by: str) -> DataFrame:
     """Micro precision, recall and F1 of counts, by the columns named; nothing expected and nothing given is perfect."""
-    total = counts.groupBy(*by).agg(*[F.sum(c).cast("long").alias(c) for c in ("correct", "given", "expected")])
+    return with_ratios(counts.groupBy(*by).agg(*[F.sum(c).cast("long").alias(c) for c in ("correct", "given", "expected")]))
+
+
+def with_ratios(total: DataFrame) -> DataFrame:
     p = F.when(F.col("given") > 0, F.col("correct") / F.col("given")).when(F.col("expected") == 0, 1.0).otherwise(0.0)
     r = F.when(F.col("expected") > 0, F.col("correct") / F.col("expected")).otherwise(1.0)
     return total.withColumn("precision", p).withColumn("recall", r).withColumn("f1", F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0))
 
 
+def report(counts: DataFrame, corpora: DataFrame) -> DataFrame:
+    """corpus, doc_id, kind and ratios: of every document, of every corpus (doc_id null) and of all (both null), in one aggregation. corpora: doc_id, corpus. Besides the kinds, "entities" and "priorities" (both kinds of rankings) are told."""
+    more = F.when(F.col("kind").isin(*KINDS), F.array("kind", F.lit("entities"))).when(F.col("kind").isin("prefer", "meta_prefer"), F.array("kind", F.lit("priorities"))).otherwise(F.array("kind"))
+    told = counts.join(corpora, "doc_id").select("corpus", "doc_id", F.explode(more).alias("kind"), "correct", "given", "expected")
+    sets = told.groupingSets([["corpus", "doc_id", "kind"], ["corpus", "kind"], ["kind"]], "corpus", "doc_id", "kind")
+    total = sets.agg(*[F.sum(c).cast("long").alias(c) for c in ("correct", "given", "expected")])
+    return with_ratios(total)
+
+
+def causes_of_entities(produced: DataFrame, reference: DataFrame, names: DataFrame, reach: int = 200) -> DataFrame:
+    """doc_id, ent_id, fault (invented or missed), cause of entities without a partner: ``boundary`` if one of their kind overlaps, ``kind`` if one of another does, else ``absent``.
+
+    Spans meet by the buckets of ``reach`` characters that they touch, so a span is
+    compared with those near it only.
+    """
+    def touching(df: DataFrame, name: str) -> DataFrame:
+        part = df.select("doc_id", F.col("ent_id").alias(name), F.col("kind").alias(f"{name}_kind"), F.col("start").alias(f"{name}_start"), F.col("end").alias(f"{name}_end"))
+        return part.withColumn("bucket", F.explode(F.sequence(F.floor(F.col(f"{name}_start") / reach), F.floor(F.greatest(F.col(f"{name}_end") - 1, F.col(f"{name}_start")) / reach))))
+
+    def side(own: DataFrame, other: DataFrame, fault: str) -> DataFrame:
+        met = touching(own, "a").join(touching(other, "b"), ["doc_id", "bucket"]).where("a_start < b_end AND b_start < a_end")
+        best = met.groupBy("doc_id", F.col("a").alias("ent_id")).agg(F.max(F.when(F.col("a_kind") == F.col("b_kind"), 2).otherwise(1)).alias("near"))
+        why = F.when(F.col("near") == 2, "boundary").when(F.col("near") == 1, "kind").otherwise("absent")
+        return own.select("doc_id", "ent_id").join(best, ["doc_id", "ent_id"], "left").select("doc_id", "ent_id", F.lit(fault).alias("fault"), why.alias("cause"))
+
+    invented = produced.join(names.select("doc_id", "ent_id"), ["doc_id", "ent_id"], "left_anti")
+    missed = reference.join(names.select("doc_id", F.col("ref_id").alias("ent_id")), ["doc_id", "ent_id"], "left_anti")
+    return side(invented, reference, "invented").unionByName(side(missed, produced, "missed"))
+
+
+def causes_of_rules(produced: DataFrame, reference: DataFrame, names: DataFrame) -> DataFrame:
+    """doc_id, ev_id, cause of reference rules (events) that no produced rule equals: ``effect`` if none concludes the same, else ``conditions``."""
+    got, want = signatures(produced, names).where("kind = 'rule'"), signatures(reference).where("kind = 'rule'")
+    effect = F.get(F.split("signature", r"\|"), F.lit(1)).alias("effect")
+    missed = want.join(got.select("doc_id", "signature").distinct(), ["doc_id", "signature"], "left_anti").select("doc_id", "ev_id", effect)
+    target = produced.where("kind = 'rule'").select("doc_id", F.explode("roles").alias("r")).where("r.role = 'Effect'").select("doc_id", F.col("r.target").alias("ent_id"))
+    concluded = target.join(names, ["doc_id", "ent_id"]).select("doc_id", F.col("ref_id").alias("effect")).distinct().withColumn("near", F.lit(True))
+    return missed.join(concluded, ["doc_id", "effect"], "left").select("doc_id", "ev_id", F.when(F.col("near"), "conditions").otherwise("effect").alias("cause"))
+
+
 def pollution(negatives: DataFrame, entities: DataFrame, events: DataFrame) -> DataFrame:
     """One row: documents that should be empty, how many are not, and events invented in them."""
     own = negatives.select("doc_id").distinct()

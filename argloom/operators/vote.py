@@ -47,6 +47,35 @@ def realigned(ballot: DataFrame, expected: DataFrame, keys: list[str]) -> DataFr
     return df.select(*keys, item.alias("item"), "value").where("item IS NOT NULL")
 
 
+def repaired(ballots: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, ballot_no, item, value: ballots (keys, ballot_no, item, value) under the numbers that were asked for (expected: keys, item).
+
+    A number given twice counts as it was first (by value). A ballot whose numbers are as
+    many as were asked, follow each other without a gap and begin at 1 or are all others
+    than those asked was counted anew: its places go to the items in order. From any
+    other, numbers that were not asked for are dropped.
+    """
+    asked = expected.groupBy(*keys).agg(F.sort_array(F.collect_set("item")).alias("items"))
+    once = ballots.groupBy(*keys, "ballot_no", "item").agg(F.min("value").alias("value"))
+    given = once.groupBy(*keys, "ballot_no").agg(F.sort_array(F.collect_list(F.struct("item", "value"))).alias("given"))
+    both = given.join(asked, keys)
+    numbers = F.transform("given", lambda x: x["item"])
+    run = (F.size("given") == F.size("items")) & (F.element_at(numbers, -1) - F.element_at(numbers, 1) == F.size("items") - 1)
+    run = run & ((F.element_at(numbers, 1) == 1) | ~F.arrays_overlap(numbers, "items"))
+    anew = F.transform("given", lambda x, k: F.struct(F.get("items", k).alias("item"), x["value"].alias("value")))
+    own = F.filter("given", lambda x: F.array_contains("items", x["item"]))
+    return both.select(*keys, "ballot_no", F.inline(F.when(run & (numbers != F.col("items")), anew).otherwise(own)))
+
+
+def fullest(ballots: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each key the ballots that answer all that was asked; if none does, the one that answers most (of equals the first)."""
+    asked = expected.groupBy(*keys).agg(F.count_distinct("item").alias("asked"))
+    held = ballots.groupBy(*keys, "ballot_no").agg(F.count_distinct("item").alias("n")).join(asked, keys)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "ballot_no"))
+    kept = held.withColumn("rank", rank).where("n = asked OR rank = 1").select(*keys, "ballot_no")
+    return ballots.join(kept, [*keys, "ballot_no"], "left_semi")
+
+
 def missing(ballot: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
     """What was asked for and not answered."""
     return expected.join(ballot.select(*keys, "item").distinct(), [*keys, "item"], "left_anti")

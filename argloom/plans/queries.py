@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,6 +14,7 @@ from argloom.operators import evaluate, graph, relate, scope, score, vote
 from argloom.operators.segment import segments
 from argloom.plans import parsing, replies
 from argloom.plans.textgen import corpus, expected_sql, graphs
+from argloom.session import shared_dir
 from argloom.sources import brat
 from argloom.sources import corpus as corpora
 
@@ -360,6 +362,50 @@ def pollution_of_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.pollution(g["docs"].where("doc_id % 5 IN (2, 3)"), g["entities"], g["events"])
 
 
+REPORT = """
+WITH doc AS (SELECT docs.doc_id, family, c_mktsegment AS corpus FROM docs JOIN customer ON c_custkey = docs.doc_id),
+own AS (
+  SELECT doc_id, kind, CAST(count_if(NOT (kind = 'Marker' AND doc_id % 3 = 0)) AS BIGINT) AS correct, count(*) AS expected FROM ent GROUP BY doc_id, kind),
+each AS (
+  SELECT doc_id, kind, correct, correct + CASE WHEN kind = 'Context' AND doc_id % 4 = 0 THEN 1 ELSE 0 END AS given, expected FROM own UNION ALL
+  SELECT doc_id, 'rule', n, n, n FROM doc JOIN (SELECT family, count(*) AS n FROM rule_x GROUP BY family) USING (family) UNION ALL
+  SELECT doc_id, kind, CASE WHEN doc_id % 2 = 0 THEN 0 ELSE n END, CASE WHEN doc_id % 2 = 0 THEN 0 ELSE n END, n
+  FROM doc JOIN (SELECT family, 'prefer' AS kind, count(*) AS n FROM pref_x GROUP BY family UNION ALL SELECT family, 'meta_prefer', count(*) FROM meta_x GROUP BY family
+                 UNION ALL SELECT family, 'unanchored', count(*) FROM (SELECT family FROM pref_x UNION ALL SELECT family FROM meta_x) GROUP BY family) USING (family)),
+told AS (
+  SELECT corpus, each.* FROM each JOIN doc USING (doc_id) UNION ALL
+  SELECT corpus, doc_id, CASE WHEN kind IN ('Context', 'Option', 'Marker') THEN 'entities' ELSE 'priorities' END, correct, given, expected FROM each JOIN doc USING (doc_id) WHERE kind NOT IN ('rule', 'unanchored')),
+summed AS (
+  SELECT corpus, doc_id, kind, CAST(sum(correct) AS BIGINT) AS correct, CAST(sum(given) AS BIGINT) AS given, CAST(sum(expected) AS BIGINT) AS expected
+  FROM told GROUP BY GROUPING SETS ((corpus, doc_id, kind), (corpus, kind), (kind))),
+ratio AS (
+  SELECT *, CASE WHEN given > 0 THEN correct::DOUBLE / given WHEN expected = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS precision,
+         CASE WHEN expected > 0 THEN correct::DOUBLE / expected ELSE 1.0::DOUBLE END AS recall FROM summed)
+SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0::DOUBLE END AS f1 FROM ratio"""
+
+
+def _spoiled(g: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Entities and events with markers and rankings missing and a context of one letter invented."""
+    invented = g["docs"].where("doc_id % 4 = 0").select("doc_id", F.lit("T99").alias("ent_id"), F.lit("Context").alias("kind"), F.lit(0).alias("start"), F.lit(1).alias("end"), F.left("text", F.lit(1)).alias("span"))
+    return g["entities"].where("NOT (kind = 'Marker' AND doc_id % 3 = 0)").unionByName(invented), g["events"].where("kind = 'rule' OR doc_id % 2 = 1")
+
+
+@query(expected_sql("SELECT * FROM (" + REPORT.strip() + ")"))
+def score_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A spoiled graph against what it was made from: every document, every market segment as a corpus, and all."""
+    g = graphs(spark, sf_dir)
+    counts = score.score(_spoiled(g), (g["entities"], g["events"]))
+    return score.report(counts, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_mktsegment").alias("corpus")))
+
+
+@query(expected_sql("""SELECT doc_id, ent_id, 'missed' AS fault, 'absent' AS cause FROM ent WHERE kind = 'Marker' AND doc_id % 3 = 0 UNION ALL
+SELECT doc_id, 'T99', 'invented', CASE (SELECT kind FROM ent e WHERE e.doc_id = docs.doc_id AND e.start = 0) WHEN 'Context' THEN 'boundary' ELSE 'kind' END FROM docs WHERE doc_id % 4 = 0"""))
+def causes_of_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = graphs(spark, sf_dir)
+    produced = _spoiled(g)[0]
+    return score.causes_of_entities(produced, g["entities"], score.alignment(produced, g["entities"]))
+
+
 # --- votes, corpora
 
 
@@ -393,6 +439,43 @@ def batch_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpora.manifest(docs, docs.where("doc_id % 7 <> 0").select("doc_id", output.alias("output")))
 
 
+@query("""
+WITH n AS (SELECT user_id, count(*) AS calls FROM events WHERE event_type = 'click' GROUP BY user_id),
+m AS (SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN 'ok' ELSE 'error' END AS status, doc_id % 7 <> 0 AND coalesce(text, '') = '' AS is_empty, coalesce(calls, 0) AS llm_calls FROM documents LEFT JOIN n ON user_id = doc_id)
+SELECT *, count(*) OVER () AS total, CAST(count_if(status = 'ok') OVER () AS BIGINT) AS succeeded, CAST(count_if(is_empty) OVER () AS BIGINT) AS empty, CAST(sum(llm_calls) OVER () AS BIGINT) AS all_calls, true AS timed FROM m""")
+def recorded_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of a run as it was written and read again, with its summary."""
+    docs, replies = table(spark, sf_dir, "documents"), table(spark, sf_dir, "events").where("event_type = 'click'").select(F.col("user_id").alias("doc_id"))
+    rows = corpora.manifest(docs, docs.where("doc_id % 7 <> 0").select("doc_id", F.coalesce("text", F.lit("")).alias("output")), replies)
+    path = f"{shared_dir(spark)}/manifest-{uuid.uuid4().hex}"
+    corpora.recorded(spark, rows, path, source=f"{sf_dir}/documents.parquet", stage="hybrid", votes=3)
+    written = spark.read.schema("doc_id long, status string, is_empty boolean, llm_calls long").json(f"{path}/documents")
+    told = F.from_json("value", "summary struct<total: long, succeeded: long, empty: long, llm_calls: long, duration_s: double>")["summary"]
+    summary = spark.read.text(f"{path}/summary").select(told.alias("s")).select("s.total", "s.succeeded", "s.empty", F.col("s.llm_calls").alias("all_calls"), (F.col("s.duration_s") > 0).alias("timed"))
+    return written.join(F.broadcast(summary))  # one row
+
+
+BALLOT_SQL = """
+WITH line AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS r, count(*) OVER (PARTITION BY l_orderkey) AS n, l_returnflag AS v FROM lineitem)
+"""
+
+
+@query(BALLOT_SQL + "SELECT k, CAST(3 * r AS INT) AS item, v AS value FROM line WHERE NOT (k % 5 IN (2, 3) AND r = 1) UNION ALL SELECT k, 3, 'x' FROM line WHERE k % 5 = 3 AND n = 1")
+def repaired_ballots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ballots as asked, counted from 1, with the first answer left out (in two ballots, one of which has the last left out too), and counted from 101; the fullest are kept."""
+    n = F.row_number().over(_by_order())
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), n.alias("r"), F.col("l_returnflag").alias("value"), F.count("*").over(Window.partitionBy("l_orderkey")).alias("n"))
+    asked, way = (3 * F.col("r")).cast("int"), F.col("k") % 5
+    given = F.when(way == 1, F.col("r")).when(way == 4, F.col("r") + 100).otherwise(asked).cast("int")
+    first = lines.where(~(way.isin(2, 3) & (F.col("r") == 1))).select("k", F.lit(2).alias("ballot_no"), given.alias("item"), "value")
+    # a number that was not asked for (alone, it stands for the only line), and a ballot that stops short
+    stray = lines.where((way == 3) & (F.col("r") == 1)).select("k", F.lit(2).alias("ballot_no"), F.lit(7).alias("item"), F.lit("x").alias("value"))
+    short = lines.where((way == 2) & (F.col("r") > 1) & (F.col("r") < F.col("n"))).select("k", F.lit(1).alias("ballot_no"), asked.alias("item"), F.lit("y").alias("value"))
+    expected = lines.select("k", asked.alias("item"))
+    whole = vote.repaired(first.unionByName(stray).unionByName(short), expected, ["k"])
+    return vote.fullest(whole, expected, ["k"]).select("k", "item", "value")
+
+
 @query("SELECT count(*) AS total, CAST(count_if(doc_id % 7 <> 0) AS BIGINT) AS succeeded, CAST(count_if(doc_id % 7 = 0) AS BIGINT) AS failed, CAST(count_if(doc_id % 7 <> 0 AND (doc_id % 5 = 0 OR coalesce(text, '') = '')) AS BIGINT) AS empty FROM documents")
 def manifest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpora.summary(batch_manifest(spark, sf_dir))

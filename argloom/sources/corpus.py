@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
 import posixpath
+import time
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 PAIRS = "document STRING, a ARRAY<BIGINT>, b ARRAY<BIGINT>, a_texte STRING, b_texte STRING, ecart BIGINT, etiquette STRING, durete STRING"
@@ -48,11 +50,37 @@ def output_path(path: Column, kind: str = "ann") -> Column:
     return F.when(path.rlike(r"(?i)\.txt$"), F.regexp_replace(path, r"(?i)\.txt$", f".{kind}")).otherwise(F.raise_error(F.concat(F.lit("not a .txt file: "), path)))
 
 
-def manifest(docs: DataFrame, outputs: DataFrame) -> DataFrame:
-    """Per document: source_sha256, output_sha256, status, is_empty. outputs: doc_id, output (null: failed)."""
+def manifest(docs: DataFrame, outputs: DataFrame, replies: DataFrame | None = None) -> DataFrame:
+    """Per document: source_sha256, output_sha256, status, is_empty. outputs: doc_id, output (null: failed). With replies of a model (a row each), also llm_calls."""
     joined = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("source_sha256")).join(outputs.select("doc_id", "output"), "doc_id", "left")
     ok = F.col("output").isNotNull()
-    return joined.select("doc_id", "source_sha256", F.when(ok, F.sha2("output", 256)).alias("output_sha256"), F.when(ok, "ok").otherwise("error").alias("status"), (ok & (F.col("output") == "")).alias("is_empty"))
+    columns = ["doc_id", "source_sha256", F.when(ok, F.sha2("output", 256)).alias("output_sha256"), F.when(ok, "ok").otherwise("error").alias("status"), (ok & (F.col("output") == "")).alias("is_empty")]
+    if replies is None:
+        return joined.select(*columns)
+    calls = replies.groupBy("doc_id").agg(F.count("*").alias("calls"))
+    return joined.join(calls, "doc_id", "left").select(*columns, F.coalesce("calls", F.lit(0)).cast("long").alias("llm_calls"))
+
+
+def recorded(spark: SparkSession, rows: DataFrame, path: str, source: str | None = None, **configuration) -> dict:
+    """Writes rows of ``manifest`` as JSON to path/documents and the run's summary to path/summary, and returns that.
+
+    The summary's counts are observed in the pass that writes, so the rows are worked out
+    once; its duration is that of the pass. A path that would replace ``source`` is an error.
+    """
+    if source:
+        guard(spark, source, path)
+    calls = [F.sum("llm_calls").alias("llm_calls")] if "llm_calls" in rows.columns else []
+    seen = Observation("manifest")
+    watched = rows.observe(
+        seen, F.count("*").alias("total"), F.count_if(F.col("status") == "ok").alias("succeeded"), F.count_if(F.col("status") == "error").alias("failed"),
+        F.count_if("is_empty").alias("empty"), *calls,
+    )
+    began = time.monotonic()
+    watched.write.json(f"{path}/documents")
+    told = {k: v or 0 for k, v in seen.get.items()} | {"duration_s": round(time.monotonic() - began, 3)}
+    whole = json.dumps({"schema_version": 1, "configuration": configuration, "summary": told}, ensure_ascii=False)
+    spark.range(1).select(F.lit(whole).alias("value")).coalesce(1).write.text(f"{path}/summary")
+    return told
 
 
 def summary(rows: DataFrame) -> DataFrame:

@@ -1,4 +1,7 @@
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from argloom.operators import graph, relate, score, vote
 from argloom.operators.segment import segments
@@ -135,3 +138,38 @@ def test_long_texts_of_many_segments(spark):
     text = "Quand le client paie, le dépôt livre le mardi. " * 20_000  # 180,000 words
     got = segments(spark.createDataFrame([(1, text)], "doc_id long, text string")).selectExpr("count(*) AS n", "max(`end`) AS last", "count(DISTINCT seg_text) AS texts").first()
     assert (got.n, got.last, got.texts) == (40_000, len(text) - 2, 2)
+
+
+def test_repaired_ballots(spark):
+    asked = spark.createDataFrame([("k", n) for n in (2, 3, 9)] + [("z", 5)], "key string, item int")
+    given = {0: [(2, "a"), (3, "b"), (9, "c")], 1: [(1, "a"), (2, "b"), (3, "c")], 2: [(9, "c"), (8, "x")], 3: [(20, "a"), (21, "b"), (22, "c")], 4: [(2, "a"), (2, "b"), (3, "c")], 5: [(3, "a"), (4, "b"), (5, "c")]}
+    ballots = spark.createDataFrame([("k", b, *x) for b, rows in given.items() for x in rows] + [("z", 0, 6, "one"), ("z", 1, 5, "two")], "key string, ballot_no int, item int, value string")
+    whole = vote.repaired(ballots, asked, ["key"])
+    got = {b: sorted((r.item, r.value) for r in whole.where(f"key = 'k' AND ballot_no = {b}").collect()) for b in given}
+    full = [(2, "a"), (3, "b"), (9, "c")]
+    assert got == {0: full, 1: full, 2: [(9, "c")], 3: full, 4: [(2, "a"), (3, "c")], 5: [(3, "a")]}
+    assert {r.ballot_no for r in vote.fullest(whole.where("key = 'k'"), asked, ["key"]).collect()} == {0, 1, 3}
+    partial = whole.where("key = 'k' AND ballot_no IN (2, 4, 5)")
+    assert {r.ballot_no for r in vote.fullest(partial, asked, ["key"]).collect()} == {4}
+    assert sorted((r.ballot_no, r.item, r.value) for r in whole.where("key = 'z'").collect()) == [(0, 5, "one"), (1, 5, "two")]
+
+
+def test_causes_of_rules(spark):
+    ddl = "doc_id long, ev_id string, kind string, trigger string, roles array<struct<role: string, target: string>>"
+    rule = lambda n, effect, *conditions: (1, n, "rule", None, [("Effect", effect), *[("Condition", c) for c in conditions]])
+    reference = spark.createDataFrame([rule("E1", "T1", "T2"), rule("E2", "T3", "T4", "T5"), rule("E3", "T6", "T2")], ddl)
+    produced = spark.createDataFrame([rule("E1", "P1", "P2"), rule("E2", "P3", "P4")], ddl)
+    names = spark.createDataFrame([(1, f"P{n}", f"T{n}") for n in (1, 2, 3, 4)], "doc_id long, ent_id string, ref_id string")
+    assert {(r.ev_id, r.cause) for r in score.causes_of_rules(produced, reference, names).collect()} == {("E2", "conditions"), ("E3", "effect")}
+
+
+def test_long_texts_of_rankings(spark):
+    """The time of segmentation grows with the text's length, rankings or not."""
+    line, took = "Mais en hiver, le rabais de la maison l'emporte sur le refus de livraison. Le client attend. ", {}
+    for n in (2_000, 20_000):
+        df = spark.createDataFrame([(1, line * n)], "doc_id long, text string")
+        began = time.time()
+        last = segments(df).agg(F.count("*").alias("n"), F.count_if(F.trim("sentence") == line[:-18].strip()).alias("ranked")).first()
+        took[n] = time.time() - began
+        assert (last.n, last.ranked) == (3 * n, n)
+    assert took[20_000] < 30 + 10 * took[2_000]
