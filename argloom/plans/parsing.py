@@ -1,6 +1,6 @@
 """Registered queries of what needs a parse, over token tables made from the relational tables, and their SQL.
 
-Each customer is a document of two fragments, of the families key modulo 4 and the one
+Each customer is a document of two fragments, of the families key modulo 5 and the one
 after it; ``{n}`` stands for the customer's nation.
 """
 
@@ -23,6 +23,7 @@ FAMILIES = [
         (" ", "demande", "demande", "VERB", "ROOT", 8, "Tense=Pres|VerbForm=Fin"),
     ],
     [("", "facture", "facture", "NOUN", "ROOT", 0, ""), (" ", "{n}", "{n}", "PROPN", "nmod", 0, ""), (" ", "impayée", "impayé", "ADJ", "amod", 0, "")],
+    [("", "sauf", "sauf", "ADP", "case", 2, ""), (" ", "lorsque", "lorsque", "SCONJ", "mark", 2, ""), (" ", "pluie", "pluie", "NOUN", "ROOT", 2, ""), (" ", "{n}", "{n}", "PROPN", "nmod", 2, ""), (" ", "hier", "hier", "ADV", "advmod", 2, "")],
     [("", "la", "le", "DET", "det", 1, ""), (" ", "foudre", "foudre", "NOUN", "nsubj", 3, ""), (" ", "est", "être", "AUX", "aux:tense", 3, "Tense=Pres|VerbForm=Fin"), (" ", "tombée", "tomber", "VERB", "ROOT", 3, "Tense=Past|VerbForm=Part")],
 ]
 
@@ -82,12 +83,12 @@ def nearby_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (parsed_logical_forms, parsed_features, parsed_edges, singular_pairs, nearby_lines)}
 
 ORACLE_SQL = {
-    "parsed_logical_forms": BASE + """SELECT doc_id, seg_no, CASE family WHEN 0 THEN '-accorder(depot, rabais)' WHEN 1 THEN 'demander(depot)' WHEN 3 THEN 'tomber(foudre)'
-ELSE left('facture_' || trim(regexp_replace(lower(n), '[^a-z0-9]+', '_', 'g'), '_') || '_impaye', 60) END AS literal FROM f""",
-    "parsed_features": BASE + "SELECT doc_id, seg_no, family <> 2 AS opens, family <> 1 AS concludes, true AS conditions, family IN (0, 3) AS past, family = 3 AS compound, false AS dated FROM f",
+    "parsed_logical_forms": BASE + """SELECT doc_id, seg_no, CASE family WHEN 0 THEN '-accorder(depot, rabais)' WHEN 1 THEN 'demander(depot)' WHEN 4 THEN 'tomber(foudre)'
+WHEN 3 THEN left('pluie_' || trim(regexp_replace(lower(n), '[^a-z0-9]+', '_', 'g'), '_'), 60) ELSE left('facture_' || trim(regexp_replace(lower(n), '[^a-z0-9]+', '_', 'g'), '_') || '_impaye', 60) END AS literal FROM f""",
+    "parsed_features": BASE + "SELECT doc_id, seg_no, family NOT IN (2, 3) AS opens, family <> 1 AS concludes, family <> 3 AS conditions, family IN (0, 4) AS past, family = 4 AS compound, family = 3 AS dated FROM f",
     "parsed_edges": BASE + """SELECT doc_id, seg_no, 0 AS condition_start, CAST(length(n) + 21 AS INT) AS condition_end, CAST(length(n) + 21 AS INT) AS conclusion_start, CAST(length(n) + 39 AS INT) AS conclusion_end
 FROM f WHERE family = 1""",
-    "singular_pairs": "SELECT c_custkey AS doc_id, c_custkey % 4 = 3 AS singular FROM customer",
+    "singular_pairs": "SELECT c_custkey AS doc_id, c_custkey % 5 > 1 AS singular FROM customer",
     "nearby_lines": """SELECT DISTINCT a.l_orderkey AS doc_id, a.l_linenumber AS target, b.l_linenumber AS seg_no FROM lineitem a JOIN lineitem b
 ON a.l_orderkey = b.l_orderkey AND abs(a.l_linenumber - b.l_linenumber) <= 2 WHERE a.l_returnflag = 'R' AND b.l_returnflag <> 'R'""",
 }
