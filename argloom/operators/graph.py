@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from argloom.functions import cues
 from argloom.functions.text import fold, stems
-from argloom.operators import parsed, relate, verify
+from argloom.operators import parsed, ranked, relate, scope, verify
 from argloom.operators.segment import segments
 from argloom.session import cut
 
@@ -146,11 +146,22 @@ def ranking_rows(features: DataFrame, grounds: DataFrame, key_rows: DataFrame) -
 
     folded = sides.select("doc_id", F.aggregate("found", F.expr(f"CAST(array() AS ARRAY<{ROW}>)"), step).alias("rows")).where(F.size("rows") > 0)
 
+    return folded.withColumn("scenarios", scenarios("rows"))
+
+
+def scenarios(rows: str) -> Column:
+    """Of rankings in order, what each holds in: its contexts, those it takes up again, and the scenario of the latest ranking that these belong to."""
     def scenario(done: Column, r: Column) -> Column:
         parent = F.get(F.reverse(F.filter(done, lambda s: F.arrays_overlap(s, r["reactivates"]))), F.lit(0))
         return F.array_append(done, F.sort_array(F.array_union(F.coalesce(parent, F.expr(INTS)), F.array_union(r["delta"], r["reactivates"]))))
 
-    return folded.withColumn("scenarios", F.aggregate("rows", F.expr("CAST(array() AS ARRAY<ARRAY<INT>>)"), scenario))
+    return F.aggregate(rows, F.expr("CAST(array() AS ARRAY<ARRAY<INT>>)"), scenario)
+
+
+def shown_groups(rank: DataFrame) -> DataFrame:
+    """The surface's rankings as rows of groups of one option each: doc_id, row_no, marker_n, preferred, contrasted, delta, reactivates, marker_start, marker_end."""
+    one = rank.select("doc_id", F.posexplode("rows").alias("row_no", "r")).select("doc_id", "row_no", "r.*")
+    return one.select("doc_id", "row_no", "marker_n", F.array("winner").alias("preferred"), F.array("loser").alias("contrasted"), "delta", "reactivates", "marker_start", "marker_end")
 
 
 def ranked_groups(groups: DataFrame, rule_rows: DataFrame) -> DataFrame:
@@ -180,12 +191,14 @@ def opposed(groups: DataFrame) -> DataFrame:
     return pairs.where("winner <> loser").select("doc_id", F.least("winner", "loser").alias("a"), F.greatest("winner", "loser").alias("b")).distinct()
 
 
-def preferences(rank: DataFrame, rule_rows: DataFrame) -> DataFrame:
-    """doc_id, row_no, pref_no, winner_rule, loser_rule, winner, loser, when_contexts, marker span: one per distinct ranking of two rules."""
-    one = rank.select("doc_id", F.posexplode(F.arrays_zip("rows", "scenarios")).alias("row_no", "z")).select("doc_id", "row_no", "z.rows.*", F.col("z.scenarios").alias("scenario"))
+def preferences(groups: DataFrame, rule_rows: DataFrame) -> DataFrame:
+    """doc_id, row_no, pref_no, winner_rule, loser_rule, winner, loser, when_contexts, scenario, marker span of groups (see ``shown_groups``): one per distinct ranking of two rules."""
+    fields = ["row_no", "marker_n", "preferred", "contrasted", "delta", "reactivates", "marker_start", "marker_end"]
+    rows = groups.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("rows"))
+    rows = rows.withColumn("scenarios", scenarios("rows"))
+    one = rows.select("doc_id", F.inline(F.arrays_zip("rows", "scenarios"))).select("doc_id", "rows.*", F.col("scenarios").alias("scenario"))
     when = F.when(F.size("delta") > 0, F.col("delta")).otherwise(F.col("scenario"))
-    single = one.withColumns({"preferred": F.array("winner"), "contrasted": F.array("loser"), "when_contexts": F.sort_array(when)}).drop("winner", "loser")
-    return ranked_groups(single, rule_rows)
+    return ranked_groups(one.withColumn("when_contexts", F.sort_array(when)), rule_rows)
 
 
 def meta_preferences(prefs: DataFrame) -> DataFrame:
@@ -196,11 +209,6 @@ def meta_preferences(prefs: DataFrame) -> DataFrame:
     return pairs.withColumn("k", first).where("k = 1").select("doc_id", F.col("a_pref_no").alias("winner_pref"), F.col("b_pref_no").alias("loser_pref"), F.array_except("a_scenario", "b_scenario").alias("when_contexts"))
 
 
-def complements(rank: DataFrame) -> DataFrame:
-    """doc_id, a, b: unordered pairs of options that a ranking opposes."""
-    return rank.select("doc_id", F.explode("rows").alias("r")).select("doc_id", F.least("r.winner", "r.loser").alias("a"), F.greatest("r.winner", "r.loser").alias("b")).distinct()
-
-
 def option_scopes(grounds: DataFrame) -> DataFrame:
     """doc_id, members: options that share all their premises, two or more."""
     sets = grounds.groupBy("doc_id", "conclusion").agg(F.sort_array(F.collect_set("premise")).alias("scenario"))
@@ -212,12 +220,20 @@ def extract(docs: DataFrame, tokens: DataFrame | None = None, replies: DataFrame
 
     With tokens of a parser (see ``parsed``), coordinated subordinates are siblings, and what
     can conclude or condition is as the parse says. With replies of a model (see ``verify``),
-    grounds are what proofs and replies make stand; ``questions`` holds, by stage, what
-    there is to ask, the answered questions included.
+    enumerations fall into their items, grounds are what proofs and replies make stand, and
+    rankings that the surface leaves open are as named; ``questions`` holds, by stage, what
+    there is to ask, the answered questions included, ``ambiguous`` the rankings against
+    "the others" that no set near by settles. (With tokens, items of enumerations are no
+    sets, as segments are cut again.)
     """
     # dealt by document once: windows and joins by document that follow find their rows in place
     docs = docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-    features = cut(relate.featured(segments(docs) if tokens is None else parsed.divided(segments(docs), tokens)))
+    cut_up, lists = segments(docs), None
+    if replies is not None:
+        said = verify.voted_enumerations(replies)
+        cut_up = cut(scope.listed(cut_up, said))
+        lists, cut_up = cut_up.where("scope IS NOT NULL").groupBy("doc_id", "scope").agg(F.sort_array(F.collect_list("seg_no")).alias("members")).drop("scope"), cut_up.drop("scope")
+    features = cut(relate.featured(cut_up if tokens is None else parsed.divided(cut_up, tokens)))
     siblings = None if tokens is None else parsed.siblings(features)
     own_tokens = None if tokens is None else parsed.moved(tokens, features)
     able = None if tokens is None else cut(parsed.able(features, own_tokens))
@@ -241,7 +257,12 @@ def extract(docs: DataFrame, tokens: DataFrame | None = None, replies: DataFrame
     key_rows = cut(keys(features, ground, proven, labelled))
     rule_rows = cut(rules(features, ground))
     rank = cut(ranking_rows(features, ground, key_rows))
-    prefs = cut(preferences(rank, rule_rows))
+    groups, more = shown_groups(rank), {}
+    if replies is not None:
+        near = option_scopes(ground) if tokens is not None else option_scopes(ground).unionByName(lists)
+        added, more["ambiguous"] = ranked.answered(features, key_rows, groups, near, replies)
+        groups = cut(groups.unionByName(added))
+    prefs = cut(preferences(groups, rule_rows))
     metas = meta_preferences(prefs)
     seg = features.select("doc_id", "seg_no", "start", "end", "seg_text", "gap", "paragraph", "speaker")
-    return {"segments": seg, "features": features, "edges": edge_rows, "proofs": proven, "grounds": ground, "keys": key_rows, "rules": rule_rows, "rankings": rank, "preferences": prefs, "meta_preferences": metas, "complements": complements(rank), "scopes": option_scopes(ground), **({"questions": questions} if questions else {})}
+    return {"segments": seg, "features": features, "edges": edge_rows, "proofs": proven, "grounds": ground, "keys": key_rows, "rules": rule_rows, "rankings": rank, "preferences": prefs, "meta_preferences": metas, "complements": opposed(groups), "scopes": option_scopes(ground), **more, **({"questions": questions} if questions else {})}

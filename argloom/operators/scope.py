@@ -63,29 +63,48 @@ def exploded(segments: DataFrame, enumerations: DataFrame) -> DataFrame:
     return parts.select("doc_id", number.alias("seg_no"), (F.col("base") + F.col("span.start")).alias("start"), (F.col("base") + F.col("span.end")).alias("end"), F.col("seg_no").alias("old_no"), F.when(F.col("split"), F.col("seg_no")).alias("scope"))
 
 
+def listed(segments: DataFrame, enumerations: DataFrame) -> DataFrame:
+    """segments with enumerations (doc_id, seg_no, items) exploded, numbered again, gaps and marks before them worked out anew, and ``scope`` (see ``exploded``)."""
+    old = segments.select(*[F.col(c).alias(f"old_{c}" if c in ("seg_no", "start", "end", "seg_text", "gap") else c) for c in segments.columns]).withColumnRenamed("old_seg_no", "old_no").drop("prefix_end")
+    rows = exploded(segments, enumerations).join(old, ["doc_id", "old_no"])
+    w = Window.partitionBy("doc_id").orderBy("seg_no")
+    rows = rows.withColumn("seg_text", F.substr("old_seg_text", F.col("start") - F.col("old_start") + 1, F.col("end") - F.col("start")))
+    rows = rows.withColumns({"last_end": F.lag("end").over(w), "last_no": F.lag("old_no").over(w), "last_text": F.lag("seg_text").over(w)})
+    left = F.lag(F.substr("old_seg_text", F.col("end") - F.col("old_start") + 1)).over(w)  # what an item leaves of its segment
+    same = F.coalesce(F.col("last_no") == F.col("old_no"), F.lit(False))
+    opened = F.concat(F.coalesce(left, F.lit("")), "old_gap", F.substr("old_seg_text", F.lit(1), F.col("start") - F.col("old_start")))
+    rows = rows.withColumn("gap", F.when(same, F.substr("old_seg_text", F.col("last_end") - F.col("old_start") + 1, F.col("start") - F.col("last_end"))).otherwise(opened))
+    bare = F.rtrim("gap", F.lit(" \t\r\n"))
+    rows = rows.withColumn("prefix_end", F.when(bare != "", F.right(bare, F.lit(1))).otherwise(F.coalesce(F.right("last_text", F.lit(1)), F.lit(""))))
+    return rows.select(*segments.columns, "scope")
+
+
 def complements(preferences: DataFrame, scopes: DataFrame, options: DataFrame, blocks: DataFrame) -> DataFrame:
-    """doc_id, pref_no, complement (sorted options), status (RESOLVED or AMBIGUOUS): what a preferred set is preferred to, when the text says "the others".
+    """doc_id, pref_no, others (sorted options), status (RESOLVED or AMBIGUOUS): what a preferred set is preferred to, when the text says "the others".
 
     preferences: doc_id, pref_no, marker_n, preferred; scopes (enumerations): doc_id,
     scope_no, members; options: doc_id, seg_no; blocks: doc_id, seg_no, block. A parent
     is a strict superset in the same block before the marker: an earlier preferred set
     or an enumeration, nearest first, sets before enumerations at one distance. None,
-    or two different ones at the least distance, is ambiguous.
+    or two different ones at the least distance, is ambiguous. A set meets only those
+    that hold its first option, by an index of members.
     """
-    known = options.groupBy("doc_id").agg(F.array_sort(F.collect_set("seg_no")).alias("options"))
-    at = lambda df, number: df.join(blocks.select("doc_id", F.col("seg_no").alias(number), "block"), ["doc_id", number]).join(known, "doc_id")
+    at = lambda df, number: df.join(blocks.select("doc_id", F.col("seg_no").alias(number), "block"), ["doc_id", number])
     targets = preferences.select("doc_id", "pref_no", "marker_n", F.array_sort(F.array_distinct("preferred")).alias("preferred"))
     placed = at(targets, "marker_n")
-    sets = placed.select("doc_id", "block", F.col("marker_n").alias("place"), F.lit(0).alias("kind"), F.col("pref_no").alias("no"), F.array_sort(F.array_intersect("preferred", "options")).alias("parent"))
-    listed = at(scopes.select("doc_id", "scope_no", "members", F.array_max("members").alias("place")), "place")
-    lists = listed.select("doc_id", "block", "place", F.lit(1).alias("kind"), F.col("scope_no").alias("no"), F.array_sort(F.array_distinct(F.array_intersect("members", "options"))).alias("parent"))
+    sets = placed.select("doc_id", "block", F.col("marker_n").alias("place"), F.lit(0).alias("kind"), F.col("pref_no").alias("no"), F.col("preferred").alias("members"))
+    lists = at(scopes.select("doc_id", "scope_no", "members", F.array_max("members").alias("place")), "place").select("doc_id", "block", "place", F.lit(1).alias("kind"), F.col("scope_no").alias("no"), "members")
+    # members that are options, by each of them the whole set
+    index = sets.unionByName(lists).withColumn("set_no", F.struct("kind", "no")).select("*", F.explode(F.array_distinct("members")).alias("seg_no")).drop("members").join(options.select("doc_id", "seg_no").distinct(), ["doc_id", "seg_no"])
+    parents = index.groupBy("doc_id", "block", "place", "kind", "no").agg(F.sort_array(F.collect_list("seg_no")).alias("parent"))
+    by_member = parents.select("*", F.explode("parent").alias("first"))
     wider = (F.size(F.array_except("preferred", "parent")) == 0) & (F.size("parent") > F.size("preferred"))
     before = (F.col("place") < F.col("marker_n")) & ((F.col("kind") == 1) | (F.col("no") < F.col("pref_no")))
-    found = placed.join(sets.unionByName(lists), ["doc_id", "block"]).where(wider & before)
+    found = placed.withColumn("first", F.get("preferred", F.lit(0))).join(by_member, ["doc_id", "block", "first"]).where(wider & before)
     ranked = found.groupBy("doc_id", "pref_no").agg(F.sort_array(F.collect_list(F.struct((F.col("marker_n") - F.col("place")).alias("far"), "kind", (-F.col("no")).alias("late"), "parent"))).alias("all"))
     best = F.get("all", F.lit(0))
     tie = F.exists("all", lambda c: (c["far"] == best["far"]) & (c["kind"] == best["kind"]) & (c["parent"] != best["parent"]))
     resolved = F.coalesce(~tie, F.lit(False))
     return targets.join(ranked, ["doc_id", "pref_no"], "left").select(
-        "doc_id", "pref_no", F.when(resolved, F.array_sort(F.array_except(best["parent"], F.col("preferred")))).alias("complement"), F.when(resolved, "RESOLVED").otherwise("AMBIGUOUS").alias("status")
+        "doc_id", "pref_no", F.when(resolved, F.array_sort(F.array_except(best["parent"], F.col("preferred")))).alias("others"), F.when(resolved, "RESOLVED").otherwise("AMBIGUOUS").alias("status")
     )

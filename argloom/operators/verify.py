@@ -154,6 +154,14 @@ def labelled(features: DataFrame, replies: DataFrame) -> DataFrame:
     return features.select("doc_id", "seg_no").join(said, ["doc_id", "seg_no"], "left_semi")
 
 
+def voted_enumerations(replies: DataFrame) -> DataFrame:
+    """doc_id, seg_no, items: enumerations that more than half of the ballots held give alike."""
+    own, held = _votes(replies, "enumerations")
+    read = answers.enumerations(own).select("doc_id", "batch_no", "ballot_no", "item", F.col("items").alias("value"))
+    won = vote.majority_support(read, held, ["doc_id", "batch_no", "item"])
+    return won.groupBy("doc_id", F.col("item").alias("seg_no")).agg(F.min("value").alias("items"))
+
+
 def run(
     features: DataFrame, propositions: DataFrame, proven: DataFrame, replies: DataFrame, strategy: str = "hybrid",
     siblings: DataFrame | None = None, singular_of=None, able: DataFrame | None = None,

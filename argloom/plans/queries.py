@@ -277,6 +277,22 @@ def brat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("doc_id", F.col("ev_id").alias("id"), "kind", F.concat_ws(" ", "trigger", roles_text()).alias("content")).unionByName(entities.select("doc_id", F.col("ent_id").alias("id"), "kind", F.col("span").alias("content")))
 
 
+@query(expected_sql("""
+, said AS (
+  SELECT doc_id, ent_id, 'Modality' AS name, CASE doc_id % 3 WHEN 0 THEN 'obligatory' WHEN 1 THEN 'permitted' ELSE 'recommended' END AS value FROM ent WHERE kind = 'Option' UNION ALL
+  SELECT doc_id, ent_id, 'Negated', NULL FROM ent WHERE kind <> 'Marker' AND (doc_id + CAST(substr(ent_id, 2) AS INT)) % 4 = 0)
+SELECT doc_id, 'A' || row_number() OVER (PARTITION BY doc_id ORDER BY CAST(substr(ent_id, 2) AS INT), name) AS attr_id, name, ent_id, value FROM said"""))
+def brat_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes said of entities, some twice and some of none, as they are written and read again."""
+    g = graphs(spark, sf_dir)
+    ent = g["entities"]
+    modality = F.element_at(F.array(F.lit("obligatory"), F.lit("permitted"), F.lit("recommended")), (F.col("doc_id") % 3 + 1).cast("int"))
+    told = ent.where("kind = 'Option'").select("doc_id", "ent_id", F.lit("Modality").alias("name"), modality.alias("value"))
+    negated = ent.where("kind <> 'Marker'").where((F.col("doc_id") + brat.number("ent_id")) % 4 == 0).select("doc_id", "ent_id", F.lit("Negated").alias("name"), F.lit(None).cast("string").alias("value"))
+    said = told.unionByName(negated).unionByName(told).unionByName(told.withColumn("ent_id", F.lit("T900")))
+    return brat.parse(brat.render(ent, g["events"], brat.attributes(ent, said)))[2]
+
+
 @query()
 def lpp_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = graphs(spark, sf_dir)

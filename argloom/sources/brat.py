@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The lines of the annotation format.
 ENTITY = r"^(T\d+)\t(Context|Option|Marker) (\d+) (\d+)\t(.*)$"
 EVENT = r"^(E\d+)\t(rule|prefer|meta_prefer):(T\d+)((?: [A-Za-z]+:[TE]\d+)*)$"
 ATTRIBUTE = r"^(A\d+)\t(Modality|Negated|Implicit) (T\d+)(?: (\S+))?$"
@@ -86,17 +87,28 @@ def _text(rows: DataFrame) -> DataFrame:
     return listed.select("doc_id", F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("value"))
 
 
-def render(entities: DataFrame, events: DataFrame) -> DataFrame:
-    """doc_id, ann."""
+def attributes(entities: DataFrame, said: DataFrame) -> DataFrame:
+    """doc_id, attr_id, name, ent_id, value of what is said (doc_id, ent_id, name, value) of entities there are: each once, numbered by entity, name and value, so that all sinks name it alike."""
+    known = said.select("doc_id", "ent_id", "name", "value").distinct().join(entities.select("doc_id", "ent_id"), ["doc_id", "ent_id"], "left_semi")
+    order = Window.partitionBy("doc_id").orderBy(number("ent_id"), "name", "value")
+    return known.select("doc_id", F.concat(F.lit("A"), F.row_number().over(order)).alias("attr_id"), "name", "ent_id", "value")
+
+
+def render(entities: DataFrame, events: DataFrame, attribute_rows: DataFrame | None = None) -> DataFrame:
+    """doc_id, ann; attribute_rows are those of ``attributes``."""
     tab = F.lit("\t")
     e = entities.select("doc_id", F.lit(0).alias("section"), number("ent_id").alias("n"), F.concat("ent_id", tab, "kind", F.lit(" "), F.col("start").cast("string"), F.lit(" "), F.col("end").cast("string"), tab, "span").alias("line"))
     roles = F.transform("roles", lambda r: F.concat(r["role"], F.lit(":"), r["target"]))
     v = events.select("doc_id", F.lit(1).alias("section"), number("ev_id").alias("n"), F.concat("ev_id", tab, F.array_join(F.concat(F.array(F.concat("kind", F.lit(":"), "trigger")), roles), " ")).alias("line"))
-    return _text(e.unionByName(v)).withColumnRenamed("value", "ann")
+    out = e.unionByName(v)
+    if attribute_rows is not None:
+        a = attribute_rows.select("doc_id", F.lit(2).alias("section"), number("attr_id").alias("n"), F.concat("attr_id", tab, F.concat_ws(" ", "name", "ent_id", "value")).alias("line"))
+        out = out.unionByName(a)
+    return _text(out).withColumnRenamed("value", "ann")
 
 
-def render_lpp(entities: DataFrame, events: DataFrame, complements: DataFrame | None = None, forms: DataFrame | None = None, diagnostics: DataFrame | None = None) -> DataFrame:
-    """doc_id, lpp. complements: doc_id, a, b (entity ids of options); forms: doc_id, ent_id, form (logical form, stands before the label); diagnostics: doc_id, n, message (comments, in order)."""
+def render_lpp(entities: DataFrame, events: DataFrame, complements: DataFrame | None = None, forms: DataFrame | None = None, diagnostics: DataFrame | None = None, attribute_rows: DataFrame | None = None) -> DataFrame:
+    """doc_id, lpp. attribute_rows (see ``attributes``) stand at the end as comments that name the component; complements: doc_id, a, b (entity ids of options); forms: doc_id, ent_id, form (logical form, stands before the label); diagnostics: doc_id, n, message (comments, in order)."""
     quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
     own = Window.partitionBy("doc_id", "kind").orderBy("start", "end")
     literal = entities.where("kind <> 'Marker'").withColumn("lit", F.concat(F.when(F.col("kind") == "Context", "c").otherwise("o"), F.row_number().over(own).cast("string")))
@@ -125,6 +137,9 @@ def render_lpp(entities: DataFrame, events: DataFrame, complements: DataFrame |
         a, b = (literal.select("doc_id", F.col("ent_id").alias(x), F.col("lit").alias(f"lit_{x}")) for x in "ab")
         pairs = complements.join(a, ["doc_id", "a"]).join(b, ["doc_id", "b"])
         out = out.unionByName(pairs.select("doc_id", F.lit(2).alias("section"), number("lit_a").alias("n"), F.format_string("complement(%s, %s).", F.col("lit_a"), F.col("lit_b")).alias("line")))
+    if attribute_rows is not None:
+        named = attribute_rows.join(literal.select("doc_id", "ent_id", "lit"), ["doc_id", "ent_id"])
+        out = out.unionByName(named.select("doc_id", F.lit(4).alias("section"), number("attr_id").alias("n"), F.concat(F.lit("% "), F.concat_ws(" ", "attr_id", "name", "lit", "value")).alias("line")))
     return _text(out).withColumnRenamed("value", "lpp")
 
 

@@ -29,7 +29,7 @@ def test_complements(spark):
     scopes = spark.createDataFrame([(1, 1, [1, 2, 3]), (2, 1, [1, 2]), (2, 2, [1, 3, 2])], "doc_id long, scope_no int, members array<int>")
     options = spark.createDataFrame([(d, n) for d in (1, 2) for n in (1, 2, 3)], "doc_id long, seg_no int")
     blocks = spark.createDataFrame([(d, n, 0 if n < 15 else 1) for d in (1, 2) for n in range(1, 22)], "doc_id long, seg_no int, block int")
-    got = {(r.doc_id, r.pref_no): (r.complement, r.status) for r in scope.complements(prefs, scopes, options, blocks).collect()}
+    got = {(r.doc_id, r.pref_no): (r.others, r.status) for r in scope.complements(prefs, scopes, options, blocks).collect()}
     assert got[1, 1] == ([2, 3], "RESOLVED") and got[1, 2] == ([1], "RESOLVED")
     assert got[1, 3] == ([3], "RESOLVED")  # the preferred set before is nearer than the enumeration
     assert got[1, 4] == (None, "AMBIGUOUS")  # nothing in its block

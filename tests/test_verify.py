@@ -92,6 +92,7 @@ def test_replies_reach_the_graph(spark):
     assert {(r.doc_id, r.premise, r.conclusion) for r in made["grounds"].collect()} == proven | {(1, 1, 2)}
     assert sorted((r.doc_id, r.conclusion, tuple(r.conditions)) for r in made["rules"].collect()) == [(1, 2, (1,)), (1, 4, (3,)), (2, 4, (3,))]
     assert {(r.seg_no, r.kind) for r in made["keys"].where("doc_id = 1").collect()} == {(1, "Context"), (2, "Option"), (3, "Context"), (4, "Option")}
+    # in one question, each supports the other
     mutual = labels + reply("support", [{"c": 2, "g": [1]}, {"c": 1, "g": [2]}])
     assert grounds(mutual, strategy="group") == {(1, 1, 2)}
     pairs = labels + reply("relations", [{"n": 1, "r": "B_TO_A"}]) + reply("narrative", [{"n": 1, "r": "N"}])
@@ -106,3 +107,34 @@ def test_parse_bars_conclusions_and_premises(spark):
     assert grounds(words(*free)) == [(1, 2)]
     assert grounds(words((2, 0, 1, 0, "le", "le", "SCONJ", "mark"), free[1])) == []
     assert grounds(words(*free, (1, 0, 0, 0, "Même", "même", "ADV", "advmod"), (1, 1, 1, 6, "route", "route", "SCONJ", "ROOT"))) == []
+
+
+def test_the_others_resolve_inside_the_graph(spark):
+    menu = "Quand le banquet a lieu, il faut agneau ou porc ou poulet ou poisson. "
+    text = menu + "La cuisine préfère le porc aux trois autres. Le chef privilégie le vent plutôt que la mer."
+    docs = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+    listed = reply("enumerations", [{"n": 2, "items": ["il faut agneau", "porc", "poulet", "poisson"]}])
+    plain = {(r.doc_id, r.seg_no): r.seg_text for r in graph.extract(docs)["segments"].collect()}
+    made = graph.extract(docs, replies=spark.createDataFrame(listed, REPLIES))
+    seg = {(r.doc_id, r.seg_no): r for r in made["segments"].collect()}
+    assert {k[1]: v for k, v in plain.items() if k[0] == 2} == {k[1]: v.seg_text for k, v in seg.items() if k[0] == 2}
+    assert all(text[r.start : r.end] == r.seg_text for r in seg.values())
+    first = "".join(r.gap + r.seg_text for _, r in sorted(seg.items()) if r.doc_id == 1)
+    assert text.startswith(first) and [seg[1, n].seg_text for n in (2, 3, 4, 5)] == ["il faut agneau", "porc", "poulet", "poisson"]
+    marker = next(n for (d, n), r in seg.items() if d == 1 and "aux trois autres" in r.seg_text)
+    other = next(n for (d, n), r in seg.items() if d == 1 and "le vent" in r.seg_text)
+    given = listed + reply("labels", [{"n": n, "p": "Y"} for n in range(1, 6)])
+    given += reply("relations", [{"n": n, "r": "A_TO_B"} for n in range(1, 11)]) + reply("narrative", [{"n": n, "r": "N"} for n in range(1, 11)])
+    given += reply("support", [{"c": n, "g": [1]} for n in (3, 4, 5)])
+    rank = {"preferred": ["le porc"], "contrasted": ["les trois autres"], "marker_n": marker, "marker": "préfère"}
+    lost = {"preferred": [3], "contrasted": ["les autres"], "marker_n": other, "marker": "privilégie", "delta": [99]}
+    full = given + reply("preferences", [rank, {"preferred": [3], "contrasted": [4], "marker_n": marker, "marker": "nulle part"}])
+    made = graph.extract(docs, replies=spark.createDataFrame(full, REPLIES))
+    conclusions = {r.conclusion for r in made["rules"].where("doc_id = 1").collect()}
+    assert conclusions == {2, 3, 4, 5}
+    got = sorted((r.doc_id, r.winner, r.loser) for r in made["preferences"].collect() if r.row_no > 1000)
+    assert got == [(1, 3, 2), (1, 3, 4), (1, 3, 5)] and made["ambiguous"].count() == 0
+    far = [*full[:-1], *reply("preferences", [lost])]
+    text2 = text.replace(" Le chef", "\n\nLe chef")
+    made = graph.extract(spark.createDataFrame([(1, text2)], "doc_id long, text string"), replies=spark.createDataFrame(far, REPLIES))
+    assert [(r.doc_id, r.marker_n) for r in made["ambiguous"].collect()] == [(1, other)] and not [r for r in made["preferences"].collect() if r.row_no > 1000]
