@@ -12,14 +12,14 @@ from pyspark.sql.window import WindowSpec
 from argloom.functions import aligned, cues, text
 from argloom.operators import evaluate, graph, relate, scope, score, vote
 from argloom.operators.segment import segments
-from argloom.plans import parsing, replies
+from argloom.plans import parsing, phrasings, replies
 from argloom.plans.textgen import corpus, expected_sql, graphs
 from argloom.session import shared_dir
 from argloom.sources import brat
 from argloom.sources import corpus as corpora
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = parsing.QUERIES | replies.QUERIES
-ORACLE_SQL: dict[str, str] = parsing.ORACLE_SQL | replies.ORACLE_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = parsing.QUERIES | replies.QUERIES | phrasings.QUERIES
+ORACLE_SQL: dict[str, str] = parsing.ORACLE_SQL | replies.ORACLE_SQL | phrasings.ORACLE_SQL
 
 
 def query(sql: str | None = None) -> Callable:
@@ -503,7 +503,15 @@ def output_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", corpora.output_path(path).alias("ann"), corpora.output_path(path, "lpp").alias("lpp"))
 
 
-@query()
+@query(r"""
+WITH body AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g') AS body FROM pages),
+p AS (SELECT page_id, unnest(list_zip(found, range(len(found)))) AS x FROM (SELECT page_id, regexp_extract_all(body, '(?is)<p\b[^>]*>(.*?)</p\s*>', 1) AS found FROM body)),
+bare AS (SELECT page_id, x[2] AS pos, regexp_replace(x[1], '(?s)<[^>]*>', '', 'g') AS t FROM p),
+read AS (
+  SELECT page_id, pos, replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&') AS t FROM bare),
+plain AS (SELECT page_id, pos, trim(regexp_replace(t, '[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) AS paragraph FROM read),
+one AS (SELECT page_id, paragraph, row_number() OVER (PARTITION BY page_id ORDER BY min(pos)) - 1 AS par_no FROM plain GROUP BY page_id, paragraph)
+SELECT page_id, CAST(par_no AS INT) AS par_no, paragraph FROM one WHERE length(paragraph) BETWEEN 20 AND 100000 AND paragraph LIKE '%.' AND paragraph NOT LIKE '%;.'""")
 def page_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpora.paragraphs(table(spark, sf_dir, "pages"), shortest=20, longest=100_000)
 

@@ -76,7 +76,7 @@ def _quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _values(rows: list[tuple], names: str) -> str:
+def values(rows: list[tuple], names: str) -> str:
     show = lambda x: _quote(x) if isinstance(x, str) else str(x)
     return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) AS v({names}))"
 
@@ -87,15 +87,15 @@ def expected_sql(tail: str) -> str:
     flat = lambda lists: [(f, *row) for f, rows in enumerate(lists) for row in rows]
     return f"""
 WITH docs AS (SELECT c_custkey AS doc_id, c_custkey % {len(FAMILIES)} AS family, CAST(c_custkey AS VARCHAR) AS k, n_name AS n FROM customer JOIN nation ON c_nationkey = n_nationkey),
-piece AS {_values(pieces, "family, seg_no, sep, template")},
+piece AS {values(pieces, "family, seg_no, sep, template")},
 filled AS (SELECT doc_id, docs.family, seg_no, sep, replace(replace(template, '{{k}}', k), '{{n}}', n) AS seg_text FROM docs JOIN piece ON docs.family = piece.family),
 placed AS (SELECT *, CAST(sum(length(sep) + length(seg_text)) OVER (PARTITION BY doc_id ORDER BY seg_no) AS INT) AS "end" FROM filled),
 seg AS (SELECT doc_id, family, seg_no, sep, seg_text, CAST("end" - length(seg_text) AS INT) AS start, "end" FROM placed),
-rule_x AS {_values(flat(RULES), "family, rule_no, conclusion, variant_no, conditions")},
-pref_x AS {_values(flat(PREFERENCES), "family, pref_no, winner, loser, whens")},
-meta_x AS {_values(flat(METAS), "family, winner_pref, loser_pref, whens")},
-kind_x AS {_values(flat(KINDS), "family, seg_no, kind")},
-mark_x AS {_values(flat(MARKERS), "family, seg_no, shift, marker")},
+rule_x AS {values(flat(RULES), "family, rule_no, conclusion, variant_no, conditions")},
+pref_x AS {values(flat(PREFERENCES), "family, pref_no, winner, loser, whens")},
+meta_x AS {values(flat(METAS), "family, winner_pref, loser_pref, whens")},
+kind_x AS {values(flat(KINDS), "family, seg_no, kind")},
+mark_x AS {values(flat(MARKERS), "family, seg_no, shift, marker")},
 spot AS (SELECT doc_id, seg.family, seg.seg_no, kind, start, "end", seg_text AS span FROM seg JOIN kind_x ON seg.family = kind_x.family AND seg.seg_no = kind_x.seg_no
          UNION ALL SELECT doc_id, seg.family, seg.seg_no, 'Marker', start + shift, start + shift + length(marker), marker FROM seg JOIN mark_x ON seg.family = mark_x.family AND seg.seg_no = mark_x.seg_no),
 ent AS (SELECT *, 'T' || row_number() OVER (PARTITION BY doc_id ORDER BY start, "end", kind) AS ent_id FROM spot)
