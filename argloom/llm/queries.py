@@ -91,10 +91,10 @@ FROM t WINDOW w AS (PARTITION BY norm)
 
 OP6_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-q AS (SELECT page_id, strlen(html) AS n, sha1(html) AS d, max(page_id) OVER (PARTITION BY html) AS leader FROM p)
+q AS (SELECT page_id, strlen(html) AS n, sha1(html) AS d, max(page_id) OVER (PARTITION BY html) AS leader, row_number() OVER (PARTITION BY html ORDER BY page_id DESC NULLS LAST) AS nth FROM p)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
-       CASE WHEN n >= 1000 AND page_id < leader THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN n >= 1000 AND page_id < leader THEN leader END AS refers_to
+       CASE WHEN n >= 1000 AND nth > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND nth > 1 THEN leader END AS refers_to
 FROM q
 """
 

@@ -1,7 +1,7 @@
 """WARC archives: a writer with revisit records, and a salvage reader.
 
-Writing: of equal payloads of at least ``least`` bytes the largest id is a response,
-the others are revisits that refer to it; equality is decided by SHA-256 of the whole
+Writing: of equal payloads of at least ``least`` bytes the largest id is a response (of
+repeated rows one; null ids are the least), the others are revisits that refer to it; equality is decided by SHA-256 of the whole
 payload, combined within each task first. Records go out through Spark's text sink, so
 any file system Spark knows will do; without compression the record separator is the
 line separator. With gzip every record is a member of its own, so that damage costs the
@@ -10,7 +10,7 @@ of any bytes; the line separator is a zero byte, the last one of a member of les
 16 MB, and an empty member follows a larger one. The sink names such files .txt, not .gz.
 
 Reading: files are read whole through Spark (so keep them below some hundred MB: the
-writer bounds records per file). A record counts if its version line, header, length,
+writer bounds records per file, not bytes). A record counts if its version line, header, length,
 closing blank lines and digest agree. After a failed check the reader looks for the
 next version line (in gzip: the next valid member) and goes on there; the bytes between
 are logged as a gap with file, place and reason. Of a member that breaks off, all that
@@ -41,19 +41,22 @@ MAGIC = b"\x1f\x8b\x08"
 
 
 def roles(pages: DataFrame, least: int = 1000) -> DataFrame:
-    """id, url, html, n (bytes), sha1, leader (the response that a revisit refers to, else null)."""
+    """id, url, html, n (bytes), sha1, again (whether it is a revisit), leader (the id of the response it refers to)."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    known = pages.select(F.col("page_id").alias("id"), F.col("url").alias("url"), html.alias("html")).withColumn("n", F.octet_length("html").cast("long")).withColumn("key", F.sha2("html", 256))
-    twice = known.where(F.col("n") >= least).groupBy("key").agg(F.max("id").alias("leader"), F.count("*").alias("c")).where("c > 1").select("key", "leader")
-    leader = F.when(~F.col("id").eqNullSafe(F.col("leader")), F.col("leader"))
-    return known.join(twice, "key", "left").select("id", "url", "html", "n", F.sha1("html").alias("sha1"), leader.alias("leader"))
+    known = pages.select(F.col("page_id").alias("id"), F.col("url").alias("url"), html.alias("html"), F.monotonically_increasing_id().alias("row"))
+    known = known.withColumn("n", F.octet_length("html").cast("long")).withColumn("key", F.sha2("html", 256))
+    first = F.max(F.struct("id", "row"))
+    twice = known.where(F.col("n") >= least).groupBy("key").agg(first.alias("first"), F.count("*").alias("c")).where("c > 1").select("key", F.col("first.id").alias("leader"), F.col("first.row").alias("leader_row"))
+    leader = F.when(F.col("row") != F.col("leader_row"), F.col("leader"))
+    again = F.coalesce(F.col("row") != F.col("leader_row"), F.lit(False))
+    return known.join(twice, "key", "left").select("id", "url", "html", "n", F.sha1("html").alias("sha1"), leader.alias("leader"), again.alias("again"))
 
 
 def record(date: str) -> Column:
     """A record without its closing blank lines."""
     uri = F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"[\r\n]", "%0A")
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
-    again = F.col("leader").isNotNull()
+    again = F.col("again")
     crlf = "\r\n"
     return F.concat(
         F.lit(f"WARC/1.1{crlf}WARC-Type: "), F.when(again, F.lit("revisit")).otherwise(F.lit("response")),
