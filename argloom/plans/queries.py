@@ -338,6 +338,32 @@ def consequences_all_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.conclusions(programs, evaluate.trials(programs)).select("doc_id", "trial_no", joined("concluded").alias("concluded"))
 
 
+TRIED, CONCLUDED = CONSEQUENCES[: CONSEQUENCES.index("SELECT t.doc_id, CAST")], CONSEQUENCES[CONSEQUENCES.index("SELECT t.doc_id, CAST") :]
+NEUTRALISED = """WHERE list_contains(w.active, c.ent_id) AND NOT EXISTS (
+  SELECT 1 FROM meta_x m JOIN own mc ON mc.seg_no = m.whens[1] WHERE m.family = p.family AND m.loser_pref = p.pref_no AND mc.doc_id = w.doc_id AND list_contains(w.active, mc.ent_id))"""
+
+
+@query(expected_sql(TRIED.replace("WHERE list_contains(w.active, c.ent_id)", NEUTRALISED) + CONCLUDED))
+def neutralised_consequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consequences where a preference that an active one between preferences beats defeats nothing."""
+    g = graphs(spark, sf_dir)
+    programs = evaluate.programs(g["entities"], g["events"])
+    return evaluate.conclusions(programs, evaluate.trials(programs), meta_effective=True, all_whens=True).select("doc_id", "trial_no", joined("concluded").alias("concluded"))
+
+
+@query(expected_sql(TRIED + """, want AS (SELECT doc_id, trial_no, count(DISTINCT option) AS n FROM stands GROUP BY ALL),
+got AS (SELECT doc_id, trial_no, count(DISTINCT option) AS n FROM appl GROUP BY ALL),
+told AS (
+  SELECT t.doc_id, count(*) AS trials, CAST(count_if(coalesce(w.n, 0) = coalesce(g.n, 0)) AS BIGINT) AS agreements, CAST(sum(coalesce(w.n, 0)) AS BIGINT) AS expected, CAST(sum(coalesce(g.n, 0)) AS BIGINT) AS given
+  FROM trial t LEFT JOIN want w ON w.doc_id = t.doc_id AND w.trial_no = t.trial_no LEFT JOIN got g ON g.doc_id = t.doc_id AND g.trial_no = t.trial_no GROUP BY t.doc_id)
+SELECT *, expected AS common, expected::DOUBLE / given AS precision, 1.0::DOUBLE AS recall, 2 * (expected::DOUBLE / given) / (expected::DOUBLE / given + 1) AS f1 FROM told"""))
+def weakened_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Programs against themselves without preferences: what is defeated in the one is concluded in the other."""
+    g = graphs(spark, sf_dir)
+    whole, rules = evaluate.programs(g["entities"], g["events"]), evaluate.programs(g["entities"], g["events"].where("kind = 'rule'"))
+    return evaluate.compare(whole, rules)
+
+
 @query()
 def uniform_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = graphs(spark, sf_dir)
