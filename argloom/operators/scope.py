@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from argloom.functions.text import content_words, occurrences
 
+#: Words of mentions and options that meet by sets of words, of which there are two to that power.
+SHORT = 8
 SPANS = "CAST(array() AS ARRAY<STRUCT<start: INT, end: INT>>)"
 
 
@@ -14,15 +16,35 @@ def mentioned_options(mentions: DataFrame, options: DataFrame, least: float = 0.
     """doc_id, mention_no, seg_no: the option that shares most content words with a mention, if that is half of the mention's or more.
 
     mentions: doc_id, mention_no, mention; options: doc_id, seg_no, seg_text. Of equal
-    shares the shorter option counts, then the earlier. Words meet in an equi-join, so
-    a mention is never compared with options it has no word of.
+    shares the shorter option counts, then the earlier. A mention and an option of at
+    most SHORT words meet in a set of words that both have: of all options with a set
+    only the one that would win is kept, so the work is the sets of each row and not the
+    pairs. Longer ones meet word by word in an equi-join.
     """
-    said = mentions.withColumn("words", content_words(F.col("mention"))).select("doc_id", "mention_no", F.size("words").alias("n"), F.explode("words").alias("word"))
-    offered = options.select("doc_id", "seg_no", F.length("seg_text").alias("long"), F.explode(content_words(F.col("seg_text"))).alias("word"))
-    shared = said.join(offered, ["doc_id", "word"]).groupBy("doc_id", "mention_no", "n", "seg_no", "long").agg(F.count("*").alias("common")).where(F.col("common") >= least * F.col("n"))
+    said = mentions.select("doc_id", "mention_no", content_words(F.col("mention")).alias("words")).withColumn("n", F.size("words"))
+    offered = options.select("doc_id", "seg_no", F.length("seg_text").alias("long"), content_words(F.col("seg_text")).alias("words"))
+    short = F.size("words") <= SHORT
+    # by sets: the largest set of a mention that an option has is all that they share
+    best = offered.where(short).select("doc_id", F.struct("long", "seg_no").alias("option"), F.explode(_sets(F.col("words"))).alias("set")).groupBy("doc_id", "set").agg(F.min("option").alias("option"))
+    sets = F.filter(_sets(F.col("words")), lambda x: F.size(x) >= least * F.col("n"))
+    by_set = said.where(short).select("doc_id", "mention_no", F.explode(sets).alias("set")).join(best.hint("merge"), ["doc_id", "set"])
+    by_set = by_set.select("doc_id", "mention_no", F.size("set").cast("long").alias("common"), "option.long", "option.seg_no")
+    # word by word: what is longer, on either side
+    word = lambda df, *more: df.select("doc_id", *more, F.explode("words").alias("word"))
+    met = lambda a, b: word(a, "mention_no", "n").join(word(b, "seg_no", "long").hint("merge"), ["doc_id", "word"])
+    pairs = met(said.where(~short), offered).unionByName(met(said.where(short), offered.where(~short)))
+    counted = pairs.groupBy("doc_id", "mention_no", "n", "seg_no", "long").agg(F.count("*").alias("common")).where(F.col("common") >= least * F.col("n"))
+    shared = by_set.unionByName(counted.select("doc_id", "mention_no", "common", "long", "seg_no"))
     return shared.groupBy("doc_id", "mention_no").agg(F.min_by("seg_no", F.struct(-F.col("common"), F.col("long"), F.col("seg_no"))).alias("seg_no"))
 
 
+def _sets(words: Column) -> Column:
+    """All sets of one or more of distinct words, each sorted."""
+    none = F.expr("CAST(array() AS ARRAY<ARRAY<STRING>>)")
+    add = lambda a, w: F.concat(a, F.transform(a, lambda x: F.array_append(x, w)), F.array(F.array(w)))
+    return F.aggregate(F.array_sort(words), none, add)
+
+
 def nearby(targets: DataFrame, others: DataFrame, reach: int = 12) -> DataFrame:
     """doc_id, target, seg_no: segments of others within reach of a target, by an equi-join on buckets of numbers."""
     bucket = F.floor(F.col("seg_no") / reach)
