@@ -1,9 +1,10 @@
 """What supports what, where grammar leaves it open: the questions to put to a model, and what stands of its replies.
 
 Nothing is called from here. Replies are a table: doc_id, stage (labels, support,
-relations, narrative), batch_no, ballot_no, payload. ``run`` gives the questions of each
-stage that the replies so far lead to, and the grounds that follow from them, so a caller
-answers one stage after the other; with no replies, only what is proven stands.
+relations, narrative), batch_no, ballot_no, payload. ``steps`` gives the questions of one
+stage after the other to a caller who answers them, and the grounds that follow. ``run``
+does so with one table of replies, which may answer some stages only; with no replies,
+only what is proven stands.
 
 Strategies: ``group`` asks which propositions support a conclusion and takes the reply;
 ``pairs`` asks for the direction of every pair within reach; ``hybrid`` asks for support
@@ -15,6 +16,8 @@ All is sets of pairs: a pair (doc_id, l, r) has l before r, a direction premise
 
 from __future__ import annotations
 
+from collections.abc import Generator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,15 +165,14 @@ def voted_enumerations(replies: DataFrame) -> DataFrame:
     return won.groupBy("doc_id", F.col("item").alias("seg_no")).agg(F.min("value").alias("items"))
 
 
-def run(
-    features: DataFrame, propositions: DataFrame, proven: DataFrame, replies: DataFrame, strategy: str = "hybrid",
-    siblings: DataFrame | None = None, singular_of=None, able: DataFrame | None = None,
-) -> dict[str, DataFrame]:
-    """Questions of each stage (support, relations, narrative) and the grounds (doc_id, conclusion, premise).
+def steps(
+    features: DataFrame, propositions: DataFrame, proven: DataFrame, strategy: str = "hybrid", siblings: DataFrame | None = None, singular_of=None, able: DataFrame | None = None,
+) -> Generator[tuple[str, DataFrame], DataFrame, None]:
+    """Yields each stage (support, relations, narrative) with its questions, takes the replies to them, and at last yields "grounds" (doc_id, conclusion, premise).
 
     propositions: doc_id, seg_no. singular_of: pairs -> pairs with ``singular`` (see
     ``parsed.singular_events``). able: doc_id, seg_no, can_conclude, can_condition; by
-    default what the surface says.
+    default what the surface says. Each stage is worked out once.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy is one of {', '.join(STRATEGIES)}")
@@ -180,7 +182,6 @@ def run(
     block = lambda side: features.select("doc_id", F.col("seg_no").alias(side), F.struct("paragraph", "speaker").alias(f"{side}_block"))
     either = alternatives(features)
     proofs = without(proven.select("doc_id", *_pair("premise", "conclusion"), "premise", "conclusion"), siblings, either)
-    asked: dict[str, DataFrame] = {}
     if strategy == "pairs":
         pairs = relate.candidate_pairs(placed).select(*PAIR)
     else:
@@ -190,24 +191,35 @@ def run(
             sound = sound.join(able.where("can_condition").select("doc_id", F.col("seg_no").alias("premise")), ["doc_id", "premise"], "left_semi")
             settled = sound.select("doc_id", F.explode(F.array("premise", "conclusion")).alias("seg_no"))
             examined = examined.join(settled, ["doc_id", "seg_no"], "left_anti").join(able.where("can_conclude"), ["doc_id", "seg_no"], "left_semi")
-        asked["support"] = cut(support_questions(examined, placed))
-        proposed = voted_support(asked["support"], placed, replies)
+        asked = cut(support_questions(examined, placed))
+        proposed = voted_support(asked, placed, (yield "support", asked))
         if strategy == "group":
-            return asked | {"grounds": one_way(proposed)}
+            yield "grounds", one_way(proposed)
+            return
         named = proposed.select("doc_id", *_pair("premise", "conclusion")).distinct()
         same = named.join(block("l"), ["doc_id", "l"]).join(block("r"), ["doc_id", "r"]).where("l_block = r_block").select(*PAIR)
         pairs = same.unionByName(proofs.select(*PAIR)).distinct()
     pairs = cut(without(pairs, siblings, either))
     left = open_pairs(pairs, proofs, None if singular_of is None else singular_of(pairs))
-    asked["relations"] = cut(pair_questions(left))
-    way = cut(directed(pairs, proofs, voted_pairs(asked["relations"], replies, "relations")))
-    asked["narrative"] = cut(pair_questions(way.where("NOT proven")))
-    kept = refuted(way, voted_pairs(asked["narrative"], replies, "narrative"))
-    return asked | {"grounds": stands(kept, able, siblings, either)}
+    asked = cut(pair_questions(left))
+    way = cut(directed(pairs, proofs, voted_pairs(asked, (yield "relations", asked), "relations")))
+    asked = cut(pair_questions(way.where("NOT proven")))
+    kept = refuted(way, voted_pairs(asked, (yield "narrative", asked), "narrative"))
+    yield "grounds", stands(kept, able, siblings, either)
+
+
+def run(features: DataFrame, propositions: DataFrame, proven: DataFrame, replies: DataFrame, *args, **options) -> dict[str, DataFrame]:
+    """All that ``steps`` yields, with one table of replies to the questions of all stages."""
+    going, out = steps(features, propositions, proven, *args, **options), {}
+    stage, found = next(going)
+    while stage != "grounds":
+        out[stage] = found
+        stage, found = going.send(replies)
+    return out | {stage: found}
 
 
 def costs(asked: dict[str, DataFrame]) -> DataFrame:
-    """doc_id, stage, questions, items: what the stages of ``run`` ask."""
+    """doc_id, stage, questions, items: what the stages of ``steps`` ask."""
     size = {"support": F.size("examined"), "relations": F.lit(1), "narrative": F.lit(1)}
     rows = [asked[s].select("doc_id", F.lit(s).alias("stage"), "batch_no", size[s].alias("n")) for s in size if s in asked]
     out = rows[0]

@@ -8,6 +8,8 @@ SQL works out what must stand without any question.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,14 +46,14 @@ def _ballots(said: DataFrame, stage: str, entries: Column) -> DataFrame:
     return said.groupBy("doc_id", "batch_no").agg(three.alias("p")).select("doc_id", F.lit(stage).alias("stage"), "batch_no", F.posexplode("p").alias("ballot_no", "payload"))
 
 
-def _answer(asked: dict[str, DataFrame], features: DataFrame, stage: str) -> DataFrame:
+def _answer(asked: DataFrame, features: DataFrame, stage: str) -> DataFrame:
     """Replies to the questions of a stage."""
     of = lambda n, *columns: features.select("doc_id", F.col("seg_no").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in columns])
     if stage == "support":
-        each = asked[stage].select("doc_id", "batch_no", F.explode("examined").alias("c"), "candidates").select("doc_id", "batch_no", "c", F.explode("candidates").alias("g"))
+        each = asked.select("doc_id", "batch_no", F.explode("examined").alias("c"), "candidates").select("doc_id", "batch_no", "c", F.explode("candidates").alias("g"))
         named = each.join(of("c", "p"), ["doc_id", "c"]).join(of("g", "p"), ["doc_id", "g"]).where("(c_p + g_p) % 3 = 0").groupBy("doc_id", "batch_no", "c").agg(F.collect_list("g").alias("g"))
         return _ballots(named, stage, F.collect_list(F.struct("c", "g")))
-    rows = asked[stage].join(of("l", "p", "s"), ["doc_id", "l"]).join(of("r", "p", "s"), ["doc_id", "r"])
+    rows = asked.join(of("l", "p", "s"), ["doc_id", "l"]).join(of("r", "p", "s"), ["doc_id", "r"])
     if stage == "relations":
         said = rows.withColumn("v", F.get(F.array(F.lit("A_TO_B"), F.lit("b_to_a"), F.lit("NONE")), ((F.col("l_p") + F.col("r_p")) % 4).cast("int")))
     else:
@@ -59,31 +61,44 @@ def _answer(asked: dict[str, DataFrame], features: DataFrame, stage: str) -> Dat
     return _ballots(said.where("v IS NOT NULL"), stage, F.collect_list(F.struct(F.col("item").alias("n"), F.col("v").alias("r"))))
 
 
-def _dialogue(spark: SparkSession, sf_dir: str, strategy: str) -> dict[str, DataFrame]:
-    """All questions of a strategy, asked and answered stage by stage, and the grounds in the end."""
-    given = _settings(spark, sf_dir)
-    replies = spark.createDataFrame([], "doc_id long, stage string, batch_no int, ballot_no int, payload string")
-    ask = lambda: verify.run(given["features"], given["features"].select("doc_id", "seg_no"), given["proven"], replies, strategy, siblings=given["siblings"], able=given["features"])
-    for stage in {"group": ["support"], "pairs": ["relations", "narrative"], "hybrid": ["support", "relations", "narrative"]}[strategy]:
-        replies = replies.unionByName(cut(_answer(ask(), given["features"], stage)))
-    return ask()
+def _dialogue(given: dict[str, DataFrame], strategy: str) -> Iterator[tuple[str, DataFrame]]:
+    """What a strategy asks, each stage answered once before the next, and the grounds in the end."""
+    lines = given["features"]
+    going = verify.steps(lines, lines.select("doc_id", "seg_no"), given["proven"], strategy, siblings=given["siblings"], able=lines)
+    stage, found = next(going)
+    while stage != "grounds":
+        yield stage, found
+        stage, found = going.send(cut(_answer(found, lines, stage)))
+    yield stage, found
+
+
+def _grounds(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
+    return dict(_dialogue(_settings(spark, sf_dir), strategy))["grounds"]
 
 
 def grounds_of_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dialogue(spark, sf_dir, "hybrid")["grounds"]
+    return _grounds(spark, sf_dir, "hybrid")
 
 
 def grounds_of_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dialogue(spark, sf_dir, "pairs")["grounds"]
+    return _grounds(spark, sf_dir, "pairs")
 
 
 def grounds_of_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dialogue(spark, sf_dir, "group")["grounds"]
+    return _grounds(spark, sf_dir, "group")
 
 
 def question_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each strategy asks of all documents."""
-    rows = [verify.costs(_dialogue(spark, sf_dir, s)).groupBy("stage").agg(F.sum("questions").alias("questions"), F.sum("items").alias("items")).withColumn("strategy", F.lit(s)) for s in verify.STRATEGIES]
+    """What each strategy asks of all documents; its last answers are not needed."""
+    given, last = _settings(spark, sf_dir), {"group": "support", "pairs": "narrative", "hybrid": "narrative"}
+    rows = []
+    for strategy in verify.STRATEGIES:
+        asked = {}
+        for stage, questions in _dialogue(given, strategy):
+            asked[stage] = questions
+            if stage == last[strategy]:
+                break
+        rows.append(verify.costs(asked).groupBy("stage").agg(F.sum("questions").alias("questions"), F.sum("items").alias("items")).withColumn("strategy", F.lit(strategy)))
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 

@@ -6,6 +6,8 @@ import contextlib
 import io
 
 from argloom.functions import aligned
+from argloom.operators import verify
+from argloom.plans import replies
 
 
 def plan(df) -> str:
@@ -19,3 +21,10 @@ def test_reworded_spans_broadcast_nothing(spark, tmp_path):
     found = aligned.located(spark.read.parquet(f"{tmp_path}/t"), ["k"])
     assert "Broadcast" not in plan(found)
     assert tuple(found.select("at.start", "at.end").first()) == (5, 51)
+
+
+def test_each_stage_is_worked_out_once(spark, monkeypatch):
+    calls, of = [], verify.support_questions
+    monkeypatch.setattr(verify, "support_questions", lambda *a, **b: calls.append(1) or of(*a, **b))
+    assert replies.grounds_of_groups(spark, "/root/testdata/sf0.001").count() == 2430
+    assert len(calls) == 1
