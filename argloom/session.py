@@ -22,6 +22,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder: used by many plans, and safe from lost executors."""
+    """df, computed once and kept in the shared folder: used by many plans, and safe from lost executors.
+
+    Spark goes on taking it for as large as its plan was estimated, where rows that were
+    exploded count once. So joins with it are to be merged: a broadcast would bring it
+    whole to the driver.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return df.checkpoint().hint("merge")

@@ -5,9 +5,12 @@ from __future__ import annotations
 import contextlib
 import io
 
+from pyspark.sql import functions as F
+
 from argloom.functions import aligned
 from argloom.operators import verify
 from argloom.plans import replies
+from argloom.session import cut
 
 
 def plan(df) -> str:
@@ -23,6 +26,13 @@ def test_reworded_spans_broadcast_nothing(spark, tmp_path):
     assert tuple(found.select("at.start", "at.end").first()) == (5, 51)
 
 
+def test_joins_of_cut_tables_broadcast_nothing(spark, tmp_path):
+    spark.range(10).selectExpr("id AS doc_id", "array(1, 2, 3) AS n").write.parquet(f"{tmp_path}/t")
+    rows = cut(spark.read.parquet(f"{tmp_path}/t").select("doc_id", F.explode("n").alias("n")))
+    both = rows.join(rows.select("doc_id", (F.col("n") + 1).alias("n")).distinct(), ["doc_id", "n"])
+    assert "Broadcast" not in plan(both) and both.count() == 20
+
+
 def test_each_stage_is_worked_out_once(spark, monkeypatch):
     calls, of = [], verify.support_questions
     monkeypatch.setattr(verify, "support_questions", lambda *a, **b: calls.append(1) or of(*a, **b))
