@@ -1,10 +1,10 @@
 """Secret scan with built-in functions only: patterns, and character Markov models for what no pattern names.
 
 Two bigram models, one of random strings and one of ordinary identifiers, are counted
-from labelled samples and held as one table of log-likelihood ratios. ``labelled`` takes
-the samples from the table that is scanned: the keys that patterns find and seeded
+from labelled words and held as one table of log-likelihood ratios. ``labelled`` takes
+them from every row of the table that is scanned: the keys that patterns find and seeded
 digests are random; identifiers and words outside all patterns' matches are ordinary,
-from about ``SAMPLE`` rows chosen by hash. ``fit`` trains on four fifths of them and sets
+each distinct one with how often it stands there. ``fit`` trains on four fifths of them and sets
 the threshold so that FALSE_RATE of the other ordinary runs exceed it. A run of key
 characters is a secret if the ratio, summed over its bigrams, exceeds the threshold; it
 is added as a ``random`` span unless a pattern's span overlaps it. In every other run,
@@ -37,8 +37,6 @@ KINDS = [
     ("hex", r"[0-9a-f]+", 0, 24),
 ]
 CANDIDATE = r"[A-Za-z0-9+/_=-]{12,}"
-#: About so many rows are learned from.
-SAMPLE = 20_000
 #: Longest pattern runs are found by their first characters; a maximal hex run is the same with its least length in the pattern.
 HEX_RUN = r"[0-9a-f]{24,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
@@ -56,27 +54,45 @@ def digests(spark: SparkSession, n: int = 4000) -> DataFrame:
     return spark.range(n).select(random.alias("word"), F.lit(1).alias("label"))
 
 
-def labelled(docs: DataFrame, rows: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """word, label (1 random, 0 ordinary) of about ``rows`` rows, chosen by a hash of id and text, and seeded digests. Ordinary words are of eight characters or more, outside all matches. Read once."""
-    share = max(1, docs.count() // rows)
-    chosen = docs.where(F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(share)) == 0).select(F.col(text).alias("t"))
+def labelled(docs: DataFrame, text: str = "text") -> DataFrame:
+    """word, label (1 random, 0 ordinary), times: the distinct ones of all rows, and seeded digests. Ordinary words are of eight characters or more, outside all matches."""
     access = r"AKIA[A-Z0-9]{16,}"
     keys = F.concat(*[F.regexp_extract_all("t", F.lit(p), F.lit(0)) for p in (HEX_RUN, access)])
     rest = F.regexp_replace("t", f"{KINDS[0][1]}|{HEX_RUN}|{access}", " ")
     words = F.regexp_extract_all(rest, F.lit(r"[A-Za-z0-9+/_=-]{8,}"), F.lit(0))
     of = lambda c, label: F.transform(c, lambda w: F.struct(w.alias("word"), F.lit(label).alias("label")))
-    found = chosen.where("t IS NOT NULL").select(F.inline(F.concat(of(keys, 1), of(words, 0))))
-    return cut(found.unionAll(digests(docs.sparkSession)))
+    found = docs.select(F.col(text).alias("t")).where("t IS NOT NULL").select(F.inline(F.concat(of(keys, 1), of(words, 0))))
+    return cut(found.unionAll(digests(docs.sparkSession)).groupBy("word", "label").agg(F.count("*").alias("times")))
 
 
 def fit(samples: DataFrame) -> tuple[list[float], float]:
-    """The table of ratios, from four fifths of the samples, and the threshold that at most FALSE_RATE of the ordinary runs among the rest exceeds."""
+    """The table of ratios, from four fifths of the words (word, label, and times if they are distinct), and the threshold that at most FALSE_RATE of the ordinary runs among the rest exceeds."""
+    samples = samples if "times" in samples.columns else samples.withColumn("times", F.lit(1))
     part = F.pmod(F.xxhash64("word"), F.lit(5))
     table = train(samples.where(part < 4))
     held = samples.where((part == 4) & (F.col("label") == 0) & F.col("word").rlike(f"^{CANDIDATE}$"))
     score = F.aggregate(ratios("word", table), F.lit(0.0), lambda a, v: a + v)
-    top = held.select(score.alias("s")).agg(F.expr(f"percentile(s, {1 - FALSE_RATE})")).first()[0]
-    return table, max(LEAST_THRESHOLD, top or 0.0)
+    return table, max(LEAST_THRESHOLD, exceeded(cut(held.select(score.alias("s"), "times")), FALSE_RATE))
+
+
+def exceeded(scores: DataFrame, share: float, ranges: int = 1024) -> float:
+    """The least score (s, so many times) that at most a share of all exceeds; 0 for none. Counts of ranges, narrowed to the one that holds it until that has a single score, so no task sorts them."""
+    n, low, high = scores.agg(F.coalesce(F.sum("times"), F.lit(0)), F.min("s"), F.max("s")).first()
+    if not n:
+        return 0.0
+    above, allowed = 0, math.floor(share * n)
+    while low < high:
+        width = (high - low) / ranges
+        at = F.least(F.floor((F.col("s") - low) / width), F.lit(ranges - 1)) if width > 0 else F.lit(0)
+        inside = scores.where(F.col("s").between(low, high)).groupBy(at.alias("k")).agg(F.sum("times").alias("n"), F.min("s").alias("low"), F.max("s").alias("high")).collect()  # a row a range
+        for r in sorted(inside, key=lambda r: -r["k"]):
+            if above + r["n"] > allowed:
+                break
+            above += r["n"]
+        if len(inside) == 1:  # ranges as narrow as doubles get
+            return r["high"]
+        low, high = r["low"], r["high"]
+    return low
 
 
 def bigrams(word: Column) -> Column:
@@ -89,11 +105,12 @@ def bigrams(word: Column) -> Column:
 def train(labelled: DataFrame) -> list[float]:
     """Log-likelihood ratio of each bigram, random over ordinary, with one added to each count; characters outside the alphabet are dropped."""
     k = len(ALPHABET)
-    clean = labelled.select(F.regexp_replace("word", r"[^A-Za-z0-9+/_=-]", "").alias("word"), "label").where("length(word) > 1")
-    seen = clean.select("label", F.explode(bigrams(F.col("word"))).alias("pair"))
+    times = F.col("times") if "times" in labelled.columns else F.lit(1)
+    clean = labelled.select(F.regexp_replace("word", r"[^A-Za-z0-9+/_=-]", "").alias("word"), "label", times.alias("times")).where("length(word) > 1")
+    seen = clean.select("label", "times", F.explode(bigrams(F.col("word"))).alias("pair"))
     counts = [[1.0] * (k * k), [1.0] * (k * k)]
-    for r in seen.groupBy("label", "pair").count().collect():  # at most two rows a bigram
-        counts[r.label][r.pair] += r["count"]
+    for r in seen.groupBy("label", "pair").agg(F.sum("times").alias("n")).collect():  # at most two rows a bigram
+        counts[r.label][r.pair] += r["n"]
     rows = [[sum(c[i * k : i * k + k]) for i in range(k)] for c in counts]
     return [math.log(counts[1][p] / rows[1][p // k]) - math.log(counts[0][p] / rows[0][p // k]) for p in range(k * k)]
 
