@@ -20,9 +20,12 @@ least ``threshold``.
    counted exactly. The number of links of each class and a spanning forest of the
    links leave; classes of near copies are the connected components of those.
 
-No pair of documents is ever a row, and copies cost one entry per class. Large subtrees
-are cut by hash into blocks of a bounded number of classes and words, and each pair of
-blocks is a cell; cells stand one after the other in sorted partitions.
+No pair of documents is ever a row, and copies cost one entry per class. A subtree of up
+to ``cell`` classes and WORDS words is one cell. A larger one is cut by hash into blocks,
+and each pair of blocks is a cell. With k times the bound it has the square root of k
+blocks, so that the rows dealt grow with k ** 1.5 and a cell with k ** 0.5; from RATIO
+squared times the bound on, blocks stay at RATIO times the bound, which is what a task
+holds at most. Cells stand one after the other in sorted partitions.
 
 Defined cases: a text of fewer than n words has one n-gram, all its words; a text
 without words has none, is linked to nothing and is a class of its own; rows of one id
@@ -45,8 +48,8 @@ from pyspark.sql import functions as F
 from argloom.llm.util import attach, by_row, cut, map_arrow
 
 U64 = np.uint64
-#: Pairs looked at together, words in a block, and pairs a set from which on intersections are counted by a matrix product.
-PAIRS, WORDS, DENSE = 100_000, 500_000, 4
+#: Pairs looked at together, and rows of a cell on each side of them; words that need no cut, and how many times that (or ``cell``) a block has at most; pairs a set from which on intersections are counted by a matrix product.
+PAIRS, TILE, WORDS, RATIO, DENSE = 100_000, 316, 500_000, 8, 4
 
 
 def shingles(text: bytes | None, n: int) -> np.ndarray:
@@ -223,20 +226,31 @@ class Subtrees:
 
     def pairs(self):
         """Some at a time: rows a and b of pairs of a cell, and the depth that each needs."""
-        n = len(self.cell)
-        ends = np.searchsorted(self.cell, self.cell, "right")
-        at = 0
-        while at < n:
-            counts = np.cumsum(ends[at:] - np.arange(at, n) - 1)
-            to = at + max(1, int(np.searchsorted(counts, PAIRS, "right")))
-            many = ends[at:to] - np.arange(at, min(to, n)) - 1
-            a = np.repeat(np.arange(at, min(to, n)), many)
-            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many)
+        for a, b in self.places():
             x, y = self.order[a], self.order[b]
             ok = (self.tree[x] == self.tree[y]) & (~self.cross[x] | (self.block[x] != self.block[y]))
             a, b, x, y = a[ok], b[ok], x[ok], y[ok]
             yield a, b, x, y, needed(self.size[x], self.size[y], *self.options)
+
+    def places(self):
+        """Some at a time: places a < b in the order of all pairs of a cell; those of a large cell tile by tile, so that few sets are in many pairs."""
+        n = len(self.cell)
+        starts = np.flatnonzero(np.diff(self.cell, prepend=-1))
+        sizes = np.diff(starts, append=n)
+        # rows of small cells, each with those after it
+        many = np.repeat(np.where(sizes > TILE, 0, starts + sizes), sizes) - np.arange(n) - 1
+        counts = np.cumsum(np.maximum(many, 0, out=many))
+        at = 0
+        while at < n:
+            to = max(at + 1, int(np.searchsorted(counts, (counts[at - 1] if at else 0) + PAIRS, "right")))
+            a = np.repeat(np.arange(at, to), many[at:to])
+            yield a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(many[at:to]) - many[at:to], many[at:to])
             at = to
+        for start, size in zip(starts[sizes > TILE].tolist(), sizes[sizes > TILE].tolist(), strict=True):
+            for i in range(start, start + size, TILE):
+                for j in range(i, start + size, TILE):
+                    a, b = (x.ravel() for x in np.meshgrid(np.arange(i, min(i + TILE, start + size)), np.arange(j, min(j + TILE, start + size)), indexing="ij"))
+                    yield (a, b) if i < j else (a[a < b], b[a < b])
 
     def candidates(self):
         """Some at a time: pairs that meet here at the depth they need and in no tree before, and agree often enough; and the least depth needed by a row."""
@@ -267,7 +281,7 @@ def join(docs: DataFrame, **options) -> DataFrame:
     return _join(docs, **options).drop("row")
 
 
-def _join(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 20, deepest: int = 8, recall: float = 0.999, cell: int = 256, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _join(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 20, deepest: int = 8, recall: float = 0.999, cell: int = 4096, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """What ``join`` returns, and the number of each row."""
     narrow = docs.select(F.col(doc_id).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("t"))
     rows = cut(sketches(narrow.withColumn("sha", F.sha2("t", 256)), n, trees, deepest))
@@ -280,7 +294,8 @@ def _join(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 20,
     prefix = lambda t: F.xxhash64(F.lit(t), F.substring("sketch", 1 + deepest * t, shallowest))
     forest = heads.select("head", "words", F.posexplode(F.array(*[prefix(t) for t in range(trees)])).alias("tree", "key"))
     crowds = forest.groupBy("key").agg(F.count("*").alias("n"), F.sum("words").alias("words")).where("n > 1")
-    crowds = crowds.select("key", F.greatest(F.ceil(F.col("n") / cell), F.ceil(F.col("words") / WORDS)).cast("int").alias("blocks"))
+    parts = lambda c, bound: F.ceil(F.greatest(F.sqrt(F.col(c) / bound), F.col(c) / (RATIO * bound)))
+    crowds = crowds.select("key", F.greatest(parts("n", cell), parts("words", WORDS)).cast("int").alias("blocks"))
     placed = forest.drop("words").join(crowds, "key").withColumn("block", F.pmod(F.xxhash64("head"), F.col("blocks")).cast("int"))
     split = placed.select("key", "tree", "head", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     split = split.select("key", "tree", "head", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))

@@ -108,3 +108,32 @@ def test_components(spark):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     assert got == {k: v for k, v in root.items() if any(a != b and k in (a, b) for a, b in edges)}
+
+
+def test_large_crowds_are_dealt_with_less_than_the_square(spark, monkeypatch):
+    """All of a crowd are linked; with four times its rows, the rows dealt to cells grow eightfold at most, and every link is counted once."""
+    dealt, real = [], jaccard.map_arrow
+
+    def counted(df, run, schema):
+        if "block" in df.columns and "t" not in df.columns:
+            dealt.append(df.count())
+        return real(df, run, schema)
+
+    monkeypatch.setattr(jaccard, "map_arrow", counted)
+    base = " ".join(f"w{i}" for i in range(60))
+    for n in (80, 320):
+        rows = [(i, f"{base} end{i}") for i in range(n)]
+        got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), cell=16).collect()
+        assert {(r.doc_id, r.class_id, r.n_links) for r in got} == {(i, 0, n - 1) for i in range(n)}
+    assert dealt[1] <= 8 * dealt[0]
+
+
+def test_places_have_every_pair_once():
+    for sizes in ([1, 700, 2], [jaccard.TILE, jaccard.TILE + 1, 3], [50] * 20, []):
+        trie = object.__new__(jaccard.Subtrees)
+        trie.cell = np.repeat(np.arange(len(sizes)), np.array(sizes, int))
+        parts = [np.stack([a, b]) for a, b in trie.places()]
+        assert all(p.shape[1] <= jaccard.PAIRS for p in parts)
+        a, b = np.concatenate([np.zeros((2, 0), int), *parts], axis=1)
+        assert (a < b).all() and (trie.cell[a] == trie.cell[b]).all()
+        assert len(a) == len(set(zip(a.tolist(), b.tolist()))) == sum(s * (s - 1) // 2 for s in sizes)
