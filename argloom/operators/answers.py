@@ -18,9 +18,9 @@ RELATIONS = ["A_TO_B", "B_TO_A", "NONE", "AMBIGUOUS"]
 OTHERS = r"(?i)^\s*COMPLEMENT\s*$|\b(?:autres?|others?|remaining|restants?|reste)\b"
 
 
-def _entries(replies: DataFrame, stage: str, fields: str) -> DataFrame:
+def _entries(replies: DataFrame, stage: str, fields: str, *more: str) -> DataFrame:
     read = F.from_json(json_payload(F.col("payload")), f"{stage} ARRAY<STRUCT<{fields}>>")
-    return replies.select(*KEYS, F.explode(read[stage]).alias("x")).where("x IS NOT NULL")
+    return replies.select(*KEYS, *more, F.explode(read[stage]).alias("x")).where("x IS NOT NULL")
 
 
 def _whole(values: Column) -> Column:
@@ -37,10 +37,10 @@ def labels(replies: DataFrame) -> DataFrame:
     return x.select(*KEYS, F.col("x.n").try_cast("int").alias("item"), tags.alias("tags")).where("item IS NOT NULL AND tags IS NOT NULL")
 
 
-def support(replies: DataFrame) -> DataFrame:
-    """KEYS, item (conclusion), grounds (segment numbers)."""
-    x = _entries(replies, "support", "c: STRING, g: ARRAY<STRING>")
-    return x.select(*KEYS, F.col("x.c").try_cast("int").alias("item"), _whole(F.col("x.g")).alias("grounds")).where("item IS NOT NULL")
+def support(replies: DataFrame, *more: str) -> DataFrame:
+    """KEYS, more columns of the replies, item (conclusion), grounds (segment numbers)."""
+    x = _entries(replies, "support", "c: STRING, g: ARRAY<STRING>", *more)
+    return x.select(*KEYS, *more, F.col("x.c").try_cast("int").alias("item"), _whole(F.col("x.g")).alias("grounds")).where("item IS NOT NULL")
 
 
 def relations(replies: DataFrame) -> DataFrame:

@@ -118,15 +118,14 @@ def grounds(features: DataFrame, proven: DataFrame, siblings: DataFrame | None =
 
 
 def candidate_pairs(propositions: DataFrame, window: int = WINDOW, keys: tuple[str, ...] = ("doc_id", "paragraph", "speaker")) -> DataFrame:
-    """Unordered pairs of propositions within reach in one block: an equi-join on the block and a bucket of numbers, so the band costs O(window) a row."""
-    a = propositions.select(*keys, F.col("seg_no").alias("l")).withColumn("bucket", F.explode(F.array(F.floor(F.col("l") / window), F.floor(F.col("l") / window) + 1)))
-    b = propositions.select(*keys, F.col("seg_no").alias("r")).withColumn("bucket", F.floor(F.col("r") / window))
-    return a.join(b, [*keys, "bucket"]).where(f"r > l AND r - l <= {window}").select(*keys, "l", "r")
+    """Unordered pairs of propositions within reach in one block: a window over the block, so the band costs O(window) a row."""
+    reach = Window.partitionBy(*keys).orderBy("seg_no").rangeBetween(1, window)
+    placed = propositions.where(" AND ".join(f"{k} IS NOT NULL" for k in keys)).select(*keys, F.col("seg_no").alias("l"), F.collect_list("seg_no").over(reach).alias("r"))
+    return placed.select(*keys, "l", F.explode("r").alias("r"))
 
 
 def support_candidates(propositions: DataFrame, before: int = SUPPORT_BEFORE, after: int = SUPPORT_AFTER, keys: tuple[str, ...] = ("doc_id", "paragraph", "speaker")) -> DataFrame:
     """conclusion and each proposition that may support it: some before it and some after, in its block."""
     pairs = candidate_pairs(propositions, max(before, after), keys)
-    back = pairs.where(f"r - l <= {before}").select(*keys, F.col("r").alias("conclusion"), F.col("l").alias("premise"))
-    ahead = pairs.where(f"r - l <= {after}").select(*keys, F.col("l").alias("conclusion"), F.col("r").alias("premise"))
-    return back.unionAll(ahead)
+    way = lambda reach, c, p: F.when(F.col("r") - F.col("l") <= reach, F.struct(F.col(c).alias("conclusion"), F.col(p).alias("premise")))
+    return pairs.select(*keys, F.explode(F.array(way(before, "r", "l"), way(after, "l", "r"))).alias("x")).where("x IS NOT NULL").select(*keys, "x.*")

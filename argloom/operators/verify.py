@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from argloom.operators import answers, relate, vote
-from argloom.session import cut
+from argloom.session import beside, cut
 
 STRATEGIES = ("group", "pairs", "hybrid")
 # Conclusions, and pairs, of one question.
@@ -36,7 +36,7 @@ def _pair(a: str, b: str) -> list[Column]:
 
 def without(pairs: DataFrame, *others: DataFrame | None) -> DataFrame:
     for other in others:
-        pairs = pairs if other is None else pairs.join(other.select(*PAIR), PAIR, "left_anti")
+        pairs = pairs if other is None else beside(pairs, other.select(*PAIR), PAIR, "anti")
     return pairs
 
 
@@ -54,17 +54,16 @@ def open_pairs(pairs: DataFrame, proven: DataFrame, singular: DataFrame | None =
 def directed(pairs: DataFrame, proven: DataFrame, said: DataFrame) -> DataFrame:
     """doc_id, l, r, premise, conclusion, proven: pairs with the direction that a proof gives, else the one that was said (doc_id, l, r, value)."""
     shown = proven.select("doc_id", *_pair("premise", "conclusion"), "premise", "conclusion").withColumn("proven", F.lit(True))
-    sure = pairs.join(shown, PAIR)
-    told = without(pairs, shown).join(said.where("value IN ('A_TO_B', 'B_TO_A')").select(*PAIR, "value"), PAIR)
+    told = said.where("value IN ('A_TO_B', 'B_TO_A')").select(*PAIR, "value")
+    both = beside(beside(pairs.select(*PAIR), shown, PAIR, "left"), told, PAIR, "left").where("proven OR value IS NOT NULL")
     ahead = F.col("value") == "A_TO_B"
-    judged = told.select(*PAIR, F.when(ahead, F.col("l")).otherwise(F.col("r")).alias("premise"), F.when(ahead, F.col("r")).otherwise(F.col("l")).alias("conclusion"), F.lit(False).alias("proven"))
-    return sure.select(*PAIR, "premise", "conclusion", "proven").unionByName(judged)
+    way = lambda side, a, b: F.when(F.col("proven"), F.col(side)).otherwise(F.when(ahead, F.col(a)).otherwise(F.col(b))).alias(side)
+    return both.select(*PAIR, way("premise", "l", "r"), way("conclusion", "r", "l"), F.coalesce("proven", F.lit(False)).alias("proven"))
 
 
 def refuted(directed_pairs: DataFrame, told: DataFrame) -> DataFrame:
     """Directed pairs that are proven or of which it was said (doc_id, l, r, value) that they do not narrate; without a reply a pair falls."""
-    kept = directed_pairs.where("NOT proven").join(told.where("value = 'N'").select(*PAIR), PAIR, "left_semi")
-    return directed_pairs.where("proven").unionByName(kept)
+    return beside(directed_pairs, told.where("value = 'N'").select(*PAIR, F.lit(True).alias("clear")), PAIR, "left").where("proven OR clear").drop("clear")
 
 
 def pure(directed_pairs: DataFrame) -> DataFrame:
@@ -75,22 +74,23 @@ def pure(directed_pairs: DataFrame) -> DataFrame:
 
 def with_siblings(directed_pairs: DataFrame, siblings: DataFrame) -> DataFrame:
     """doc_id, conclusion, premise: a proven premise brings its siblings (doc_id, l, r)."""
-    both = siblings.select("doc_id", F.col("l").alias("premise"), F.col("r").alias("other")).unionAll(siblings.select("doc_id", "r", "l"))
-    brought = directed_pairs.where("proven").join(both, ["doc_id", "premise"]).select("doc_id", "conclusion", F.col("other").alias("premise"))
-    return directed_pairs.select("doc_id", "conclusion", "premise").unionByName(brought).distinct()
+    both = siblings.select("doc_id", F.inline(F.array(*[F.struct(F.col(a).alias("premise"), F.col(b).alias("other")) for a, b in ("lr", "rl")])))
+    others = both.groupBy("doc_id", "premise").agg(F.collect_set("other").alias("others"))
+    own = F.array("premise")
+    joint = beside(directed_pairs.select("doc_id", "conclusion", "premise", "proven"), others, ["doc_id", "premise"], "left")
+    return joint.select("doc_id", "conclusion", F.explode(F.when(F.col("proven") & F.col("others").isNotNull(), F.concat(own, "others")).otherwise(own)).alias("premise")).distinct()
 
 
 def one_way(ground_rows: DataFrame) -> DataFrame:
     """Of two that support each other, the earlier supports the later; nothing supports itself."""
-    back = ground_rows.select("doc_id", F.col("premise").alias("conclusion"), F.col("conclusion").alias("premise")).withColumn("mutual", F.lit(True))
-    both = ground_rows.join(back, ["doc_id", "conclusion", "premise"], "left")
-    return both.where("premise <> conclusion AND (mutual IS NULL OR premise < conclusion)").drop("mutual")
+    of_two, ahead = Window.partitionBy("doc_id", F.least("premise", "conclusion"), F.greatest("premise", "conclusion")), F.col("premise") < F.col("conclusion")
+    return ground_rows.withColumn("forward", F.max(ahead).over(of_two)).where("premise <> conclusion AND (NOT forward OR premise < conclusion)").drop("forward")
 
 
 def stands(directed_pairs: DataFrame, able: DataFrame, siblings: DataFrame | None = None, alternative: DataFrame | None = None) -> DataFrame:
     """doc_id, conclusion, premise of directed pairs after all guards: conclusions that can conclude and premises that can condition (able: doc_id, seg_no, can_conclude, can_condition), purity, siblings, one way."""
     ends = lambda side, flag: able.where(flag).select("doc_id", F.col("seg_no").alias(side))
-    sound = directed_pairs.join(ends("conclusion", "can_conclude"), ["doc_id", "conclusion"], "left_semi").join(ends("premise", "can_condition"), ["doc_id", "premise"], "left_semi")
+    sound = beside(beside(directed_pairs, ends("conclusion", "can_conclude"), ["doc_id", "conclusion"], "semi"), ends("premise", "can_condition"), ["doc_id", "premise"], "semi")
     kept = pure(sound)
     joint = kept.select("doc_id", "conclusion", "premise") if siblings is None else with_siblings(kept, without(siblings, alternative))
     return one_way(joint)
@@ -109,10 +109,12 @@ def support_questions(conclusions: DataFrame, propositions: DataFrame, size: int
     """doc_id, batch_no, examined, candidates: conclusions (doc_id, seg_no), so many a question, with the propositions (doc_id, paragraph, speaker, seg_no) that may support any of them."""
     asked = vote.batches(conclusions.select("doc_id", F.col("seg_no").alias("item")), size, ["doc_id"])
     near = relate.support_candidates(propositions).select("doc_id", F.col("conclusion").alias("item"), "premise")
-    own = asked.join(propositions.select("doc_id", F.col("seg_no").alias("item")), ["doc_id", "item"], "left_semi").select("doc_id", "batch_no", F.col("item").alias("premise"))
-    offered = asked.join(near, ["doc_id", "item"]).select("doc_id", "batch_no", "premise").unionByName(own)
-    examined = asked.groupBy("doc_id", "batch_no").agg(F.sort_array(F.collect_list("item")).alias("examined"))
-    return examined.join(offered.groupBy("doc_id", "batch_no").agg(F.sort_array(F.collect_set("premise")).alias("candidates")), ["doc_id", "batch_no"])
+    offered = beside(near, asked, ["doc_id", "item"]).groupBy("doc_id", "batch_no").agg(F.collect_set("premise").alias("near"))
+    own = beside(asked, propositions.select("doc_id", F.col("seg_no").alias("item"), F.col("seg_no").alias("own")), ["doc_id", "item"], "left")
+    examined = own.groupBy("doc_id", "batch_no").agg(F.sort_array(F.collect_list("item")).alias("examined"), F.collect_set("own").alias("own"))
+    candidates = F.when(F.col("near").isNull(), F.col("own")).otherwise(F.array_union("own", "near"))
+    both = beside(examined, offered, ["doc_id", "batch_no"], "left").select("doc_id", "batch_no", "examined", F.sort_array(candidates).alias("candidates"))
+    return both.where("size(candidates) > 0")
 
 
 def presented(questions: DataFrame, segments: DataFrame) -> DataFrame:
@@ -135,18 +137,20 @@ def voted_pairs(questions: DataFrame, replies: DataFrame, stage: str) -> DataFra
     own, _ = _votes(replies, stage)
     read, otherwise = (answers.relations, "NONE") if stage == "relations" else (answers.narratives, "Y")
     said = vote.majority(read(own), ["doc_id", "batch_no", "item"], fallback=otherwise)
-    return questions.join(said, ["doc_id", "batch_no", "item"]).select(*PAIR, "value")
+    return beside(questions, said, ["doc_id", "batch_no", "item"]).select(*PAIR, "value")
 
 
 def voted_support(questions: DataFrame, propositions: DataFrame, replies: DataFrame) -> DataFrame:
     """doc_id, conclusion, premise: what most ballots name as support of an examined conclusion, propositions only."""
-    own, held = _votes(replies, "support")
-    named = answers.support(own).select("doc_id", "batch_no", "ballot_no", "item", F.explode("grounds").alias("value"))
-    won = vote.majority_support(named, held, ["doc_id", "batch_no", "item"])
+    held = F.size(F.collect_set("ballot_no").over(Window.partitionBy("doc_id", "batch_no")))  # unreadable ballots too; replies are read once
+    own = answers.support(replies.where("stage = 'support'").withColumn("ballots", held), "ballots")
+    named = own.select("doc_id", "batch_no", "ballot_no", "ballots", "item", F.explode("grounds").alias("value"))
+    tally = named.groupBy("doc_id", "batch_no", "item", "value").agg(F.size(F.collect_set("ballot_no")).alias("n"), F.max("ballots").alias("ballots"))
     asked = questions.select("doc_id", "batch_no", F.explode("examined").alias("item"))
     premises = propositions.select("doc_id", F.col("seg_no").alias("premise"))
-    found = won.join(asked, ["doc_id", "batch_no", "item"], "left_semi").select("doc_id", F.col("item").alias("conclusion"), F.col("value").alias("premise"))
-    return found.where("premise <> conclusion").join(premises, ["doc_id", "premise"], "left_semi").select("doc_id", "conclusion", "premise").distinct()
+    won = tally.where("n * 2 > ballots").select("doc_id", "batch_no", "item", F.col("value").alias("premise")).where("premise <> item")
+    found = beside(won, asked, ["doc_id", "batch_no", "item"], "semi").select("doc_id", F.col("item").alias("conclusion"), "premise")
+    return beside(found, premises, ["doc_id", "premise"], "semi").select("doc_id", "conclusion", "premise").distinct()
 
 
 def labelled(features: DataFrame, replies: DataFrame) -> DataFrame:
@@ -166,19 +170,20 @@ def voted_enumerations(replies: DataFrame) -> DataFrame:
 
 
 def steps(
-    features: DataFrame, propositions: DataFrame, proven: DataFrame, strategy: str = "hybrid", siblings: DataFrame | None = None, singular_of=None, able: DataFrame | None = None,
+    features: DataFrame, propositions: DataFrame, proven: DataFrame, strategy: str = "hybrid", siblings: DataFrame | None = None, singular_of=None, able: DataFrame | None = None, keep=cut,
 ) -> Generator[tuple[str, DataFrame], DataFrame, None]:
     """Yields each stage (support, relations, narrative) with its questions, takes the replies to them, and at last yields "grounds" (doc_id, conclusion, premise).
 
     propositions: doc_id, seg_no. singular_of: pairs -> pairs with ``singular`` (see
     ``parsed.singular_events``). able: doc_id, seg_no, can_conclude, can_condition; by
-    default what the surface says. Each stage is worked out once.
+    default what the surface says. Each stage is worked out once and held by ``keep``; with
+    ``session.dealt`` over all tables by doc_id no stage is shuffled.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy is one of {', '.join(STRATEGIES)}")
     if able is None:
         able = features.select("doc_id", "seg_no", "can_conclude", F.lit(True).alias("can_condition"))
-    placed = cut(features.select("doc_id", "paragraph", "speaker", "seg_no").join(propositions, ["doc_id", "seg_no"], "left_semi"))
+    placed = keep(beside(features.select("doc_id", "paragraph", "speaker", "seg_no"), propositions, ["doc_id", "seg_no"], "semi"))
     block = lambda side: features.select("doc_id", F.col("seg_no").alias(side), F.struct("paragraph", "speaker").alias(f"{side}_block"))
     either = alternatives(features)
     proofs = without(proven.select("doc_id", *_pair("premise", "conclusion"), "premise", "conclusion"), siblings, either)
@@ -187,23 +192,23 @@ def steps(
     else:
         examined = placed.select("doc_id", "seg_no")
         if strategy == "hybrid":
-            sound = proofs.join(able.where("can_conclude").select("doc_id", F.col("seg_no").alias("conclusion")), ["doc_id", "conclusion"], "left_semi")
-            sound = sound.join(able.where("can_condition").select("doc_id", F.col("seg_no").alias("premise")), ["doc_id", "premise"], "left_semi")
+            sound = beside(proofs, able.where("can_conclude").select("doc_id", F.col("seg_no").alias("conclusion")), ["doc_id", "conclusion"], "semi")
+            sound = beside(sound, able.where("can_condition").select("doc_id", F.col("seg_no").alias("premise")), ["doc_id", "premise"], "semi")
             settled = sound.select("doc_id", F.explode(F.array("premise", "conclusion")).alias("seg_no"))
-            examined = examined.join(settled, ["doc_id", "seg_no"], "left_anti").join(able.where("can_conclude"), ["doc_id", "seg_no"], "left_semi")
-        asked = cut(support_questions(examined, placed))
+            examined = beside(beside(examined, settled, ["doc_id", "seg_no"], "anti"), able.where("can_conclude"), ["doc_id", "seg_no"], "semi")
+        asked = keep(support_questions(examined, placed))
         proposed = voted_support(asked, placed, (yield "support", asked))
         if strategy == "group":
             yield "grounds", one_way(proposed)
             return
         named = proposed.select("doc_id", *_pair("premise", "conclusion")).distinct()
-        same = named.join(block("l"), ["doc_id", "l"]).join(block("r"), ["doc_id", "r"]).where("l_block = r_block").select(*PAIR)
+        same = beside(beside(named, block("l"), ["doc_id", "l"]), block("r"), ["doc_id", "r"]).where("l_block = r_block").select(*PAIR)
         pairs = same.unionByName(proofs.select(*PAIR)).distinct()
-    pairs = cut(without(pairs, siblings, either))
+    pairs = keep(without(pairs, siblings, either))
     left = open_pairs(pairs, proofs, None if singular_of is None else singular_of(pairs))
-    asked = cut(pair_questions(left))
-    way = cut(directed(pairs, proofs, voted_pairs(asked, (yield "relations", asked), "relations")))
-    asked = cut(pair_questions(way.where("NOT proven")))
+    asked = keep(pair_questions(left))
+    way = keep(directed(pairs, proofs, voted_pairs(asked, (yield "relations", asked), "relations")))
+    asked = keep(pair_questions(way.where("NOT proven")))
     kept = refuted(way, voted_pairs(asked, (yield "narrative", asked), "narrative"))
     yield "grounds", stands(kept, able, siblings, either)
 

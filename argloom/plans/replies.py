@@ -14,29 +14,28 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from argloom.operators import verify
-from argloom.session import cut
+from argloom.session import beside, dealt
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    t = t.withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")))
-    return t.select(
-        F.col("l_orderkey").alias("doc_id"), F.col("n").alias("seg_no"), F.when(F.col("n") > 4, 1).otherwise(0).alias("paragraph"), F.lit(0).alias("speaker"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"),
-        (F.col("l_quantity").cast("long") % 10 != 3).alias("can_conclude"), (F.col("l_quantity").cast("long") % 10 != 7).alias("can_condition"), F.lit(False).alias("alternative"),
-    )
+def _kept(df: DataFrame) -> DataFrame:
+    return dealt(df, "doc_id")
 
 
 def _settings(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Features, proofs and siblings of the lines."""
-    lines = cut(_lines(spark, sf_dir))
-    after = lines.select("doc_id", (F.col("seg_no") - 1).cast("int").alias("seg_no"), F.col("paragraph").alias("next"))
-    pairs = lines.join(after, ["doc_id", "seg_no"]).withColumn("other", (F.col("seg_no") + 1).cast("int"))
+    """Features, proofs and siblings of the lines, which are shuffled here and never again."""
+    # lines that are alike up to the quantity are alike in all that is taken from them, so the price need not part them
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    last, quantity = F.lead(F.lit(False), 1, True).over(w), F.col("l_quantity").cast("long")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        F.col("l_orderkey").alias("doc_id"), F.row_number().over(w).alias("seg_no"), F.lit(0).alias("speaker"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"),
+        (quantity % 10 != 3).alias("can_conclude"), (quantity % 10 != 7).alias("can_condition"), F.coalesce(F.lag("l_suppkey").over(w) % 11 == 0, F.lit(False)).alias("alternative"), last.alias("last"),
+    )
+    features = _kept(lines.withColumn("paragraph", F.when(F.col("seg_no") > 4, 1).otherwise(0)))
+    pairs = features.where("NOT last").withColumn("other", (F.col("seg_no") + 1).cast("int"))
     ahead = F.col("p") % 2 == 0
-    proven = pairs.where("p % 5 = 0 AND paragraph = next").select("doc_id", F.when(ahead, F.col("seg_no")).otherwise(F.col("other")).alias("premise"), F.when(ahead, F.col("other")).otherwise(F.col("seg_no")).alias("conclusion"))
+    proven = pairs.where("p % 5 = 0 AND seg_no <> 4").select("doc_id", F.when(ahead, F.col("seg_no")).otherwise(F.col("other")).alias("premise"), F.when(ahead, F.col("other")).otherwise(F.col("seg_no")).alias("conclusion"))
     siblings = pairs.where("s % 7 = 0").select("doc_id", F.col("seg_no").alias("l"), F.col("other").alias("r"))
-    either = pairs.where("s % 11 = 0").select("doc_id", F.col("other").alias("seg_no")).withColumn("either", F.lit(True))
-    features = lines.join(either, ["doc_id", "seg_no"], "left").withColumn("alternative", F.coalesce("either", F.lit(False))).drop("either")
-    return {"features": cut(features), "proven": proven, "siblings": siblings}
+    return {"features": features, "proven": proven, "siblings": siblings}
 
 
 def _ballots(said: DataFrame, stage: str, entries: Column) -> DataFrame:
@@ -50,10 +49,11 @@ def _answer(asked: DataFrame, features: DataFrame, stage: str) -> DataFrame:
     """Replies to the questions of a stage."""
     of = lambda n, *columns: features.select("doc_id", F.col("seg_no").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in columns])
     if stage == "support":
-        each = asked.select("doc_id", "batch_no", F.explode("examined").alias("c"), "candidates").select("doc_id", "batch_no", "c", F.explode("candidates").alias("g"))
-        named = each.join(of("c", "p"), ["doc_id", "c"]).join(of("g", "p"), ["doc_id", "g"]).where("(c_p + g_p) % 3 = 0").groupBy("doc_id", "batch_no", "c").agg(F.collect_list("g").alias("g"))
-        return _ballots(named, stage, F.collect_list(F.struct("c", "g")))
-    rows = asked.join(of("l", "p", "s"), ["doc_id", "l"]).join(of("r", "p", "s"), ["doc_id", "r"])
+        offered = asked.select("doc_id", "batch_no", F.explode("candidates").alias("g")).transform(beside, of("g", "p"), ["doc_id", "g"]).groupBy("doc_id", "batch_no").agg(F.collect_list(F.struct("g", "g_p")).alias("offered"))
+        each = beside(asked.select("doc_id", "batch_no", F.explode("examined").alias("c")), of("c", "p"), ["doc_id", "c"]).transform(beside, offered, ["doc_id", "batch_no"])
+        named = each.withColumn("g", F.transform(F.filter("offered", lambda x: (F.col("c_p") + x["g_p"]) % 3 == 0), lambda x: x["g"]))
+        return _ballots(named.where("size(g) > 0"), stage, F.collect_list(F.struct("c", "g")))
+    rows = beside(beside(asked, of("l", "p", "s"), ["doc_id", "l"]), of("r", "p", "s"), ["doc_id", "r"])
     if stage == "relations":
         said = rows.withColumn("v", F.get(F.array(F.lit("A_TO_B"), F.lit("b_to_a"), F.lit("NONE")), ((F.col("l_p") + F.col("r_p")) % 4).cast("int")))
     else:
@@ -64,11 +64,11 @@ def _answer(asked: DataFrame, features: DataFrame, stage: str) -> DataFrame:
 def _dialogue(given: dict[str, DataFrame], strategy: str) -> Iterator[tuple[str, DataFrame]]:
     """What a strategy asks, each stage answered once before the next, and the grounds in the end."""
     lines = given["features"]
-    going = verify.steps(lines, lines.select("doc_id", "seg_no"), given["proven"], strategy, siblings=given["siblings"], able=lines)
+    going = verify.steps(lines, lines.select("doc_id", "seg_no"), given["proven"], strategy, siblings=given["siblings"], able=lines, keep=_kept)
     stage, found = next(going)
     while stage != "grounds":
         yield stage, found
-        stage, found = going.send(cut(_answer(found, lines, stage)))
+        stage, found = going.send(_answer(found, lines, stage))
     yield stage, found
 
 

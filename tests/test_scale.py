@@ -38,3 +38,13 @@ def test_each_stage_is_worked_out_once(spark, monkeypatch):
     monkeypatch.setattr(verify, "support_questions", lambda *a, **b: calls.append(1) or of(*a, **b))
     assert replies.grounds_of_groups(spark, "/root/testdata/sf0.001").count() == 2430
     assert len(calls) == 1
+
+
+def lines(spark, path) -> str:
+    rows = spark.range(14).selectExpr("id DIV 7 AS l_orderkey", "5 * id AS l_partkey", "id AS l_suppkey", "CAST(id % 7 AS INT) AS l_linenumber", "CAST(id AS DOUBLE) AS l_quantity")
+    rows.write.parquet(f"{path}/lineitem.parquet")
+    return str(path)
+
+
+def test_grounds_of_pairs_shuffle_nothing_after_the_lines(spark, tmp_path):
+    assert "Exchange" not in plan(replies.grounds_of_pairs(spark, lines(spark, tmp_path)))
