@@ -48,3 +48,7 @@ def lines(spark, path) -> str:
 
 def test_grounds_of_pairs_shuffle_nothing_after_the_lines(spark, tmp_path):
     assert "Exchange" not in plan(replies.grounds_of_pairs(spark, lines(spark, tmp_path)))
+
+
+def test_grounds_of_groups_shuffle_nothing_after_the_lines(spark, tmp_path):
+    assert "Exchange" not in plan(replies.grounds_of_groups(spark, lines(spark, tmp_path)))
